@@ -1,0 +1,79 @@
+"""Joins and aggregates that keep working when one key holds much of a table."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it has more than HOT_ROWS rows and belongs to the HOT_KEYS
+# largest. Any key outside the list then has at most 1 / HOT_KEYS of all rows.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 1_000
+SALTS = 64
+
+_SALT = "__salt"
+
+
+def hot_keys(
+    df: DataFrame,
+    key: str,
+    *,
+    rows: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> list:
+    """Return the keys to split; at most ``HOT_KEYS`` values reach the driver.
+
+    ``rows`` is the row count a pre-aggregated table already carries.
+    """
+    counted = df.groupBy(key).agg(
+        (F.count(F.lit(1)) if rows is None else F.sum(rows)).alias("__rows")
+    )
+    largest = (
+        counted.filter((F.col("__rows") > hot_rows) & F.col(key).isNotNull())
+        .orderBy(F.col("__rows").desc())
+        .limit(HOT_KEYS)
+        .collect()
+    )
+    return [row[0] for row in largest]
+
+
+def lookup_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    how: str,
+    *,
+    spread: Sequence[str],
+    hot: Sequence | None = None,
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join rows to a table with one row per key, salting only the hot keys.
+
+    Rows of a hot key are spread over ``salts`` sub-keys by a hash of the
+    ``spread`` columns and its single lookup row is repeated as often, so the
+    copies are bounded by keys, not rows.
+    Spark broadcasts the lookup by itself when its measured size allows.
+    """
+    if hot is None:
+        hot = hot_keys(rows, key, hot_rows=hot_rows)
+    if not hot:
+        return rows.join(lookup, key, how)
+    is_hot = F.col(key).isin(list(hot))
+    salted = rows.withColumn(
+        _SALT,
+        F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(
+            F.lit(0)
+        ),
+    )
+    copies = lookup.withColumn(
+        _SALT,
+        F.explode(
+            F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+                F.array(F.lit(0))
+            )
+        ),
+    )
+    return salted.join(copies, [key, _SALT], how).drop(_SALT)

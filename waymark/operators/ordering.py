@@ -24,6 +24,7 @@ BUCKET = "__bucket"
 ONE_TASK_ROWS = 500_000
 MAX_BUCKETS = 4096
 _SKETCH_SHARDS = 64
+LARGEST_LONG = 2**63 - 1
 
 
 def bucket_cuts(
@@ -73,7 +74,9 @@ def bucket_of(value: Column, cuts: Sequence) -> Column:
     while size <= len(cuts):
         size *= 2
     exact = all(isinstance(cut, int) for cut in cuts)
-    padding = [cuts[-1] if exact else float("nan")] * (size - 1 - len(cuts))
+    # Filler sorts after every value.
+    filler = LARGEST_LONG if exact else float("nan")
+    padding = [filler] * (size - 1 - len(cuts))
     text = ",".join(repr(cut) for cut in [*cuts, *padding])
     ladder = F.split(F.lit(text), ",").cast(
         "array<bigint>" if exact else "array<double>"

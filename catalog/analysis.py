@@ -62,9 +62,11 @@ mi AS (SELECT feature, sum(c / n * ln((c / n) / ((cb / n) * (cy / n)))) AS score
       sum(c) OVER (PARTITION BY feature) AS n FROM jt) GROUP BY feature)"""
 
 
-def _result(method: str, source: str, importance: str, direction: str) -> str:
-    return f"""SELECT feature, '{method}' AS method, round(score, 6) AS score,
-  round({importance}, 6) AS importance, {direction} AS direction FROM ({source})"""
+def _result(
+    method: str, source: str, importance: str, direction: str, digits: int = 6
+) -> str:
+    return f"""SELECT feature, '{method}' AS method, round(score, {digits}) AS score,
+  round({importance}, {digits}) AS importance, {direction} AS direction FROM ({source})"""
 
 
 def _correlation_result() -> str:
@@ -206,22 +208,24 @@ def feature_ranking(spark, sf_dir):
     )
 
 
+# Near-equal scores are ties or not by the last bit of a sum, so the twin adds in
+# the same order and one digit less is compared.
 @query(f"""WITH {EV}, o AS (
   SELECT *, CAST(label = 'matched' AS INTEGER) AS y,
     row_number() OVER (ORDER BY md5(concat('7:', row_id)), row_id) AS place,
     row_number() OVER (ORDER BY md5(concat('8:', row_id)), row_id) AS at_value,
     row_number() OVER (ORDER BY md5(concat('9:', row_id)), row_id) AS at_k FROM ev),
 lf AS (
-  SELECT '' AS feature, y, 1 / (1 + exp(-(0.02 * value - 0.05 * k - 0.5))) AS value FROM o
-  UNION ALL SELECT 'value', o.y, 1 / (1 + exp(-(0.02 * s.value - 0.05 * o.k - 0.5)))
+  SELECT '' AS feature, y, 1 / (1 + exp(-(-0.5 + 0.02 * value + -0.05 * k))) AS value FROM o
+  UNION ALL SELECT 'value', o.y, 1 / (1 + exp(-(-0.5 + 0.02 * s.value + -0.05 * o.k)))
     FROM o JOIN o s ON o.at_value = s.place
-  UNION ALL SELECT 'k', o.y, 1 / (1 + exp(-(0.02 * o.value - 0.05 * s.k - 0.5)))
+  UNION ALL SELECT 'k', o.y, 1 / (1 + exp(-(-0.5 + 0.02 * o.value + -0.05 * s.k)))
     FROM o JOIN o s ON o.at_k = s.place),
 auc AS ({_AUC}),
 loss AS (SELECT a.feature, b.score - a.score AS score FROM auc a, auc b
   WHERE b.feature = '' AND a.feature <> '')
-{_result(ranking.PERMUTATION, "SELECT feature, round(score, 6) AS score FROM loss",
-         "abs(score)", DIRECTION)}""")
+{_result(ranking.PERMUTATION, "SELECT * FROM loss", "abs(score)", DIRECTION, 5)}""",
+       digits=5)
 def permutation_importance(spark, sf_dir):
     frame = ranking.labelled_features(
         event_points(spark, sf_dir), ["value", "k"], "label", "matched", POINTS

@@ -248,7 +248,11 @@ def _data_rules(spark, sf_dir, status):
                     F.col("lo").alias("minimum"),
                     F.col("hi").alias("maximum"),
                 ),
-                F.struct(F.lit("l_quantity"), none, F.col("q")),
+                F.struct(
+                    F.lit("l_quantity").alias("feature"),
+                    none.alias("minimum"),
+                    F.col("q").alias("maximum"),
+                ),
             )
         ),
     )

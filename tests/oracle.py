@@ -32,11 +32,23 @@ def _cell(value):
     return repr(value)
 
 
+SPARK_TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "TINYINT": "tinyint",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "BOOLEAN": "boolean",
+}
+
+
 def differences(df, connection, sql):
-    """Empty text if names, row count and values agree."""
+    """Empty text if names, types, row count and values agree."""
     expected = connection.sql(sql)
-    if sorted(df.columns) != sorted(expected.columns):
-        return f"columns {sorted(df.columns)} != {sorted(expected.columns)}"
+    types = [SPARK_TYPES.get(str(t), str(t)) for t in expected.types]
+    theirs = sorted(zip(expected.columns, types))
+    if sorted(df.dtypes) != theirs:
+        return f"schema {sorted(df.dtypes)} != {theirs}"
     mine = comparable(df.columns, df.collect())
     theirs = comparable(expected.columns, expected.fetchall())
     if len(mine) != len(theirs):

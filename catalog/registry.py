@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark import Columns, configure
+from waymark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +28,9 @@ def query(sql: str | None = None, *, digits: int = 6) -> Callable[[Query], Query
     def register(build: Query) -> Query:
         @wraps(build)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(build(configure(spark), sf_dir), digits)
+            configure(spark)
+            ship_package(spark, Path(__file__).parent)
+            return rounded(build(spark, sf_dir), digits)
 
         QUERIES[build.__name__] = run
         if sql is not None:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[tuple[str, str]] = set()
+
 # All of these can be changed at run time, so they also apply to a session
 # that somebody else created.
 RUNTIME_SETTINGS = {
@@ -22,9 +26,31 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark, Path(__file__).parent)
     return spark
 
 
+def ship_package(spark: SparkSession, folder: Path) -> None:
+    """Send a Python package to the workers, once per application.
+
+    Functions that run in Python workers import it there; the workers need not
+    have it installed.
+    """
+    known = (spark.sparkContext.applicationId, str(folder))
+    if known in _SHIPPED:
+        return
+    with tempfile.TemporaryDirectory(prefix="waymark-") as clean:
+        staged = Path(clean) / "source"
+        shutil.copytree(
+            folder, staged / folder.name, ignore=shutil.ignore_patterns("__pycache__")
+        )
+        archive = shutil.make_archive(
+            str(Path(tempfile.mkdtemp(prefix="waymark-")) / folder.name), "zip", staged
+        )
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(known)
+
+
 def get_session(
     app_name: str = "waymark",
     *,

@@ -90,7 +90,7 @@ def _information_result() -> str:
 
 def _line_frame(spark, sf_dir):
     return ranking.labelled_features(
-        line_items(spark, sf_dir), LINE_FEATURES, "l_returnflag", "R", POINTS
+        line_items(spark, sf_dir, spread=True), LINE_FEATURES, "l_returnflag", "R", POINTS
     )
 
 
@@ -125,7 +125,7 @@ FROM lineitem) """
 )
 def correlation_matrix(spark, sf_dir):
     return matrix_of(
-        line_items(spark, sf_dir),
+        line_items(spark, sf_dir, spread=True),
         LINE_FEATURES,
         label="l_returnflag",
         positive="R",
@@ -162,19 +162,21 @@ def correlation_matrix_wide(spark, sf_dir):
 
 @query(f"WITH {_LONG_LINES}, {_INFORMATION} {_information_result()}")
 def mutual_information(spark, sf_dir):
-    return ranking.mutual_information(_line_frame(spark, sf_dir), LINE_FEATURES)
+    frame = _line_frame(spark, sf_dir)
+    return ranking.mutual_information(ranking.class_profile(frame, LINE_FEATURES))
 
 
 @query(f"WITH {_LONG_LINES} {_auc_result()}")
 def univariate_auc(spark, sf_dir):
-    return ranking.univariate_auc(_line_frame(spark, sf_dir), LINE_FEATURES)
+    frame = _line_frame(spark, sf_dir)
+    return ranking.univariate_auc(ranking.class_profile(frame, LINE_FEATURES))
 
 
 @query(f"WITH {_LONG_VECTORS} {_auc_result()}")
 def univariate_auc_wide(spark, sf_dir):
     points, names = embedding_features(spark, sf_dir)
     frame = ranking.labelled_features(points, names, "label", 3, POINTS)
-    return ranking.univariate_auc(frame, names)
+    return ranking.univariate_auc(ranking.class_profile(frame, names))
 
 
 @query(
@@ -198,7 +200,7 @@ UNION ALL {_information_result()} UNION ALL {_auc_result()}"""
 )
 def feature_ranking(spark, sf_dir):
     return analyze_features(
-        line_items(spark, sf_dir),
+        line_items(spark, sf_dir, spread=True),
         LINE_FEATURES,
         [ranking.CORRELATION, ranking.INFORMATION, ranking.UNIVARIATE_AUC],
         label="l_returnflag",
@@ -228,7 +230,7 @@ loss AS (SELECT a.feature, b.score - a.score AS score FROM auc a, auc b
        digits=5)
 def permutation_importance(spark, sf_dir):
     frame = ranking.labelled_features(
-        event_points(spark, sf_dir), ["value", "k"], "label", "matched", POINTS
+        event_points(spark, sf_dir, spread=True), ["value", "k"], "label", "matched", POINTS
     )
     return permutation_of(frame, LINEAR, ["value", "k"], POINTS)
 
@@ -236,6 +238,6 @@ def permutation_importance(spark, sf_dir):
 @query()
 def incremental_cv_auc(spark, sf_dir):
     frame = ranking.labelled_features(
-        event_points(spark, sf_dir), ["value", "k", "time"], "label", "matched", POINTS
+        event_points(spark, sf_dir, spread=True), ["value", "k", "time"], "label", "matched", POINTS
     )
     return incremental_auc(frame, ["value", "k", "time"], POINTS)

@@ -34,7 +34,7 @@ _WATERFALL = """SELECT row_index, CAST(step AS INTEGER) AS step, feature,
 
 def _frame(spark, sf_dir):
     return ranking.labelled_features(
-        event_points(spark, sf_dir), FEATURES, "label", "matched", POINTS
+        event_points(spark, sf_dir, spread=True), FEATURES, "label", "matched", POINTS
     )
 
 
@@ -96,7 +96,7 @@ def shap_density(spark, sf_dir):
 
 def _model(spark, sf_dir, kind, **parameters):
     return build_default_model(
-        event_points(spark, sf_dir),
+        event_points(spark, sf_dir, spread=True),
         FEATURES,
         "label",
         "matched",
@@ -108,7 +108,7 @@ def _model(spark, sf_dir, kind, **parameters):
 
 
 def _scored(spark, sf_dir, spec):
-    scored = with_model_path(event_points(spark, sf_dir), "model", spec, 0.5)
+    scored = with_model_path(event_points(spark, sf_dir, spread=True), "model", spec, 0.5)
     return scored.select("row_id", "label", "model_score", "model")
 
 

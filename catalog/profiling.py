@@ -34,7 +34,7 @@ def histogram_by_group(spark, sf_dir):
 FROM (SELECT l_extendedprice, cume_dist() OVER (ORDER BY l_extendedprice) AS c
   FROM lineitem) GROUP BY l_extendedprice""")
 def ecdf(spark, sf_dir):
-    return ecdf_of(line_items(spark, sf_dir), "l_extendedprice")
+    return ecdf_of(line_items(spark, sf_dir, spread=True), "l_extendedprice")
 
 
 @query("""SELECT l_returnflag, l_quantity, count(*) AS rows, round(max(c), 6) AS ecdf

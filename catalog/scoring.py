@@ -34,7 +34,7 @@ def _saturating(batch: pd.DataFrame) -> np.ndarray:
   CAST(least(value / 200, 1.0) >= 0.75 AS TINYINT) AS capped_path FROM ev""")
 def callable_model_path(spark, sf_dir):
     spec = ModelSpec("capped", _saturating, ("value",))
-    scored = with_model_path(event_points(spark, sf_dir), "capped_path", spec, 0.75)
+    scored = with_model_path(event_points(spark, sf_dir, spread=True), "capped_path", spec, 0.75)
     return scored.select("row_id", "capped_path_score", "capped_path")
 
 
@@ -44,7 +44,7 @@ def callable_model_path(spark, sf_dir):
 SELECT row_id, CAST(s >= 0.4 AS TINYINT) AS onnx_path FROM sc""")
 def onnx_model_path(spark, sf_dir):
     spec = ModelSpec("onnx", OnnxModel(ONNX_FILE), ("value", "k"))
-    scored = with_model_path(event_points(spark, sf_dir), "onnx_path", spec, 0.4)
+    scored = with_model_path(event_points(spark, sf_dir, spread=True), "onnx_path", spec, 0.4)
     return scored.select("row_id", "onnx_path")
 
 

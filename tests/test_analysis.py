@@ -73,15 +73,17 @@ def test_auc_and_information_match_brute_force(spark, limit):
     points, data = noisy(spark)
     frame_ = ranking.labelled_features(points, ["a", "b", "flat"], "label", "matched")
     negated = frame_.withColumn("a", -F.col("a"))
-    auc = scores(ranking.univariate_auc(frame_, ["a", "b", "flat"], one_task_rows=limit))
+    profile = ranking.class_profile(frame_, ["a", "b", "flat"], one_task_rows=limit)
+    auc = scores(ranking.univariate_auc(profile))
     for name, place in (("a", 1), ("b", 2)):
         expected = brute_auc([(r[place], r[4] == "matched") for r in data])
         assert auc[name] == pytest.approx(expected)
     assert auc["flat"] == 0.5
-    mirrored = scores(ranking.univariate_auc(negated, ["a"], one_task_rows=limit))
+    mirrored = ranking.class_profile(negated, ["a"], one_task_rows=limit)
+    mirrored = scores(ranking.univariate_auc(mirrored))
     assert auc["a"] + mirrored["a"] == pytest.approx(1.0)
 
-    found = scores(ranking.mutual_information(frame_, ["a", "b", "flat"], one_task_rows=limit))
+    found = scores(ranking.mutual_information(profile))
     n = len(data)
     k = max(2, min(10, math.isqrt(n)))
     for name, place in (("a", 1), ("b", 2), ("flat", 3)):

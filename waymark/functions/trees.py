@@ -90,9 +90,12 @@ class TreeEnsemble:
                 low = np.array([path[f][0] for f in used])
                 high = np.array([path[f][1] for f in used])
                 inside = (rows[:, used] > low) & (rows[:, used] <= high)
-                patterns, place = np.unique(inside, axis=0, return_inverse=True)
+                # A path has at most 30 splits, so a pattern is one integer.
+                bits = 1 << np.arange(len(used))
+                codes, place = np.unique(inside @ bits, return_inverse=True)
+                patterns = (codes[:, None] & bits) > 0
                 parts = np.array([product_game(p.astype(float), share) for p in patterns])
-                result[:, used] += weight * value * parts[place.ravel()]
+                result[:, used] += weight * value * parts[place]
         return result, base
 
 

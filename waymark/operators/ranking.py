@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..columns import Columns, is_numeric, require_columns
@@ -79,37 +79,52 @@ def imputed(
     Medians are computed only for features that have gaps.
     """
     require_numeric(points, features)
-    # ``features`` may repeat what ``keep`` already holds under another role.
-    numbers = {name: F.col(name).cast("double") for name in features}
-    gaps = points.agg(
-        *[
-            F.count_if(number.isNull() | F.isnan(number)).alias(f"g{i}")
-            for i, number in enumerate(numbers.values())
-        ]
-    ).first()
-    incomplete = [name for i, name in enumerate(numbers) if gaps[f"g{i}"]]
-    medians = feature_medians(points, incomplete, one_task_rows=one_task_rows)
-    filled = [
-        F.coalesce(
-            F.when(~F.isnan(number), number), F.lit(float(medians[name]))
-        ).alias(name)
-        if name in medians
-        else number.alias(name)
-        for name, number in numbers.items()
+    gaps = points.agg(*_gap_counts(features)).first()
+    return _filled(points, features, gaps, keep, one_task_rows)
+
+
+def _gap_counts(features: Sequence[str]) -> list[Column]:
+    numbers = [F.col(name).cast("double") for name in features]
+    return [
+        F.count_if(number.isNull() | F.isnan(number)).alias(f"gap_{i}")
+        for i, number in enumerate(numbers)
     ]
-    return points.select(*[name for name in keep if name not in numbers], *filled)
+
+
+def _filled(
+    points: DataFrame,
+    features: Sequence[str],
+    gaps: Row,
+    keep: Sequence[str],
+    one_task_rows: int,
+) -> DataFrame:
+    incomplete = [name for i, name in enumerate(features) if gaps[f"gap_{i}"]]
+    medians = feature_medians(points, incomplete, one_task_rows=one_task_rows)
+    filled = []
+    for name in features:
+        number = F.col(name).cast("double")
+        if name in medians:
+            known = F.when(~F.isnan(number), number)
+            number = F.coalesce(known, F.lit(float(medians[name])))
+        filled.append(number.alias(name))
+    return points.select(*[name for name in keep if name not in features], *filled)
 
 
 def binary_target(label: str, positive: object) -> Column:
     return (F.col(label) == F.lit(positive)).cast("int")
 
 
+def _class_counts(target: str) -> list[Column]:
+    return [
+        F.count_if(F.col(target) == 1).alias("positives"),
+        F.count_if(F.col(target) == 0).alias("negatives"),
+    ]
+
+
 def class_counts(frame: DataFrame, target: str = TARGET) -> tuple[int, int]:
     """Positive and negative row counts."""
-    row = frame.agg(
-        F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("n")
-    ).first()
-    return row.p, row.n
+    row = frame.agg(*_class_counts(target)).first()
+    return row.positives, row.negatives
 
 
 def labelled_features(
@@ -121,16 +136,20 @@ def labelled_features(
     *,
     one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """Imputed features with the 0/1 target; rows without a label are dropped."""
+    """Imputed features with the 0/1 target; rows without a label are dropped.
+
+    One pass counts both classes and the gaps of every feature.
+    """
     require_columns(points, [label])
+    require_numeric(points, features)
     known = points.filter(F.col(label).isNotNull()).withColumn(
         TARGET, binary_target(label, positive)
     )
     keep = [TARGET] + [c for c in (columns.row,) if c in points.columns]
-    frame = imputed(known, features, keep=keep, one_task_rows=one_task_rows)
-    if not all(class_counts(frame)):
+    counts = known.agg(*_class_counts(TARGET), *_gap_counts(features)).first()
+    if not counts.positives or not counts.negatives:
         raise ValueError("Feature analysis requires both matched and false measurements.")
-    return frame
+    return _filled(known, features, counts, keep, one_task_rows)
 
 
 def long_features(
@@ -204,8 +223,9 @@ def correlation_matrix(
 ) -> DataFrame:
     """All pairs of features and the label indicator: ``row, column, correlation``.
 
-    Missing values are dropped pair by pair. Narrow matrices are one generated
-    aggregate; wide ones are summed as per-partition matrix products.
+    Missing values are dropped pair by pair. A narrow matrix without gaps is
+    one generated aggregate of sums; others are summed as per-partition matrix
+    products. Both subtract the column means first, so that the sums stay small.
     """
     require_numeric(points, features)
     indicator = f"{label} = {positive}"
@@ -215,10 +235,18 @@ def correlation_matrix(
         *[F.when(~F.isnan(n), n).alias(f"c{i}") for i, n in enumerate(numbers)],
         binary_target(label, positive).cast("double").alias(f"c{len(features)}"),
     )
-    if len(names) <= EXPRESSION_MATRIX_COLUMNS:
-        upper = _matrix_from_expressions(frame, len(names))
+    stats = frame.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.avg(name).alias(f"{name}_mean") for name in frame.columns],
+        *[F.count(name).alias(f"{name}_known") for name in frame.columns],
+    ).first()
+    means = [stats[f"{name}_mean"] or 0.0 for name in frame.columns]
+    complete = all(stats[f"{name}_known"] == stats.rows for name in frame.columns)
+    if complete and len(names) <= EXPRESSION_MATRIX_COLUMNS:
+        sums = _sums_from_expressions(frame, means)
     else:
-        upper = _matrix_from_products(frame, len(names))
+        sums = _sums_from_products(frame, means)
+    upper = _correlations(sums)
     mirrored = upper.select(
         "correlation",
         F.explode(
@@ -241,23 +269,39 @@ def correlation_matrix(
     )
 
 
-def _matrix_from_expressions(frame: DataFrame, size: int) -> DataFrame:
+def _sums_from_expressions(frame: DataFrame, means: Sequence[float]) -> DataFrame:
+    centered = [F.col(n) - F.lit(float(m)) for n, m in zip(frame.columns, means)]
+    size = len(centered)
+    # Every product once; the table is then read off the one row of sums.
+    totals = frame.agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[F.sum(centered[i]).alias(f"t{i}") for i in range(size)],
+        *[
+            F.sum(centered[i] * centered[j]).alias(f"p{i}_{j}")
+            for i in range(size)
+            for j in range(i, size)
+        ],
+    )
     cells = [
         F.struct(
             F.lit(i).alias("i"),
             F.lit(j).alias("j"),
-            _safe_correlation(F.col(f"c{i}"), F.col(f"c{j}")).alias("correlation"),
+            F.col("n").alias("s0"),
+            F.col(f"t{i}").alias("s1"),
+            F.col(f"t{j}").alias("s2"),
+            F.col(f"p{i}_{i}").alias("s3"),
+            F.col(f"p{j}_{j}").alias("s4"),
+            F.col(f"p{i}_{j}").alias("s5"),
         )
         for i in range(size)
         for j in range(i, size)
     ]
-    return frame.agg(F.array(*cells).alias("all")).select(F.inline("all"))
+    return totals.select(F.inline(F.array(*cells)))
 
 
-def _matrix_from_products(frame: DataFrame, size: int) -> DataFrame:
-    centers = frame.agg(*[F.avg(name).alias(name) for name in frame.columns]).first()
-    shift = np.array([0.0 if center is None else center for center in centers])
-    upper_i, upper_j = np.triu_indices(size)
+def _sums_from_products(frame: DataFrame, means: Sequence[float]) -> DataFrame:
+    shift = np.array(means, dtype=float)
+    upper_i, upper_j = np.triu_indices(len(shift))
 
     def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((6, len(upper_i)))
@@ -276,20 +320,33 @@ def _matrix_from_products(frame: DataFrame, size: int) -> DataFrame:
 
     fields = ", ".join(f"s{k} double" for k in range(6))
     partial = frame.mapInPandas(partial_sums, f"i int, j int, {fields}")
-    n, sx, sy, sxx, syy, sxy = (F.sum(f"s{k}") for k in range(6))
-    # Clearing rounding noise keeps a constant column at no variance.
+    return partial.groupBy("i", "j").agg(
+        *[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)]
+    )
+
+
+def _correlations(sums: DataFrame) -> DataFrame:
+    """Pearson correlation from count, sums, squares and product of a pair."""
+    n, sx, sy, sxx, syy, sxy = (F.col(f"s{k}") for k in range(6))
+    # What is left of a constant column after centering is rounding noise.
     var_x, var_y = n * sxx - sx * sx, n * syy - sy * sy
     flat = (var_x <= 1e-12 * n * sxx) | (var_y <= 1e-12 * n * syy)
     ratio = (n * sxy - sx * sy) / F.sqrt(F.when(~flat, var_x * var_y))
-    return partial.groupBy("i", "j").agg(
-        F.coalesce(ratio, F.lit(0.0)).alias("correlation")
-    )
+    return sums.select("i", "j", F.coalesce(ratio, F.lit(0.0)).alias("correlation"))
 
 
-def _class_profile(
-    frame: DataFrame, features: Sequence[str], target: str, one_task_rows: int
+def class_profile(
+    frame: DataFrame,
+    features: Sequence[str],
+    target: str = TARGET,
+    *,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """Cumulative positive and negative counts per feature value."""
+    """Cumulative positive and negative counts per feature value.
+
+    Mutual information and AUC both start from this table; within one query
+    Spark computes its exchange once.
+    """
     hit = F.col(target).cast("long")
     return cumulative_counts(
         long_features(frame, features, [target]),
@@ -300,20 +357,13 @@ def _class_profile(
     )
 
 
-def mutual_information(
-    frame: DataFrame,
-    features: Sequence[str],
-    target: str = TARGET,
-    *,
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
+def mutual_information(profile: DataFrame) -> DataFrame:
     """Mutual information in nats over at most ten quantile bins per feature.
 
     A value's bin is the number of cut positions its last occurrence has
     passed, which the running counts already tell: cuts need no second look at
     the data, and equal cuts fall together by themselves.
     """
-    profile = _class_profile(frame, features, target, one_task_rows)
     total = F.col("pos_total") + F.col("neg_total")
     upto = F.col("pos_upto") + F.col("neg_upto")
     bins = F.least(
@@ -376,15 +426,8 @@ def score_auc(
     return grouped_auc(profile, group)
 
 
-def univariate_auc(
-    frame: DataFrame,
-    features: Sequence[str],
-    target: str = TARGET,
-    *,
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
+def univariate_auc(profile: DataFrame) -> DataFrame:
     """ROC AUC of each feature used alone as a score."""
-    profile = _class_profile(frame, features, target, one_task_rows)
     score = F.col("score")
     return method_rows(
         grouped_auc(profile, "feature"),

@@ -70,10 +70,12 @@ def analyze_features(
     parts = []
     if ranking.CORRELATION in methods:
         parts.append(ranking.point_biserial(frame, features))
-    if ranking.INFORMATION in methods:
-        parts.append(ranking.mutual_information(frame, features, **limit))
-    if ranking.UNIVARIATE_AUC in methods:
-        parts.append(ranking.univariate_auc(frame, features, **limit))
+    if {ranking.INFORMATION, ranking.UNIVARIATE_AUC} & set(methods):
+        profile = ranking.class_profile(frame, features, **limit)
+        if ranking.INFORMATION in methods:
+            parts.append(ranking.mutual_information(profile))
+        if ranking.UNIVARIATE_AUC in methods:
+            parts.append(ranking.univariate_auc(profile))
     if ranking.INCREMENTAL_AUC in methods:
         parts.append(incremental_auc(frame, features, columns, seed=seed, **limit))
     if ranking.PERMUTATION in methods:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BUCKET = "__bucket"
+_CELL = "__cell"
 
 # Up to this many input rows one sorted task per group is cheaper than an
 # offset join.
@@ -151,43 +152,47 @@ def _running(
     *,
     single: bool,
 ) -> DataFrame:
+    # A struct is never NULL and compares NULL groups as equal. Using it as the
+    # key of the window and of the join lets both share one exchange.
+    cell = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], BUCKET)
+    kept = [c for c in counts.columns if c != BUCKET]
+    celled = counts.select(*kept, cell.alias(_CELL))
     inside = (
-        Window.partitionBy(*groups, BUCKET)
+        Window.partitionBy(_CELL)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     upto = {w: F.sum(w).over(inside) for w in weights}
     if single:
-        whole = Window.partitionBy(*groups, BUCKET)
-        return counts.select(
-            *[c for c in counts.columns if c != BUCKET],
+        whole = Window.partitionBy(_CELL)
+        return celled.select(
+            *kept,
             *[column.alias(f"{w}_upto") for w, column in upto.items()],
             *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights],
         )
 
     # At most one row per group and bucket.
-    per_bucket = counts.groupBy(*groups, BUCKET).agg(
-        *[F.sum(w).alias(w) for w in weights]
+    per_cell = celled.groupBy(_CELL).agg(*[F.sum(w).alias(w) for w in weights])
+    group = [F.col(f"{_CELL}.g{i}") for i in range(len(groups))]
+    across = (
+        Window.partitionBy(*group)
+        .orderBy(f"{_CELL}.{BUCKET}")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    across = Window.partitionBy(*groups).orderBy(BUCKET)
-    everything = Window.partitionBy(*groups)
-    offsets = per_bucket.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
-        F.col(BUCKET).alias("__b"),
+    everything = Window.partitionBy(*group)
+    offsets = per_cell.select(
+        _CELL,
         *[
             (F.sum(w).over(across) - F.col(w)).alias(f"__{w}_before")
             for w in weights
         ],
         *[F.sum(w).over(everything).alias(f"{w}_total") for w in weights],
     )
-    local = counts.select(
+    local = celled.select(
         "*", *[column.alias(f"__{w}_local") for w, column in upto.items()]
     )
-    same = F.col(BUCKET) == F.col("__b")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    return local.join(offsets, same, "inner").select(
-        *[c for c in counts.columns if c != BUCKET],
+    return local.join(offsets, _CELL, "inner").select(
+        *kept,
         *[
             (F.col(f"__{w}_local") + F.col(f"__{w}_before")).alias(f"{w}_upto")
             for w in weights

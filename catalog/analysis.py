@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
 from waymark.operators import ranking
 from waymark.operators.incremental import incremental_auc
 from waymark.operators.permutation import permutation_importance as permutation_of
+from waymark.operators.rollup import active_frame
 from waymark.plans.analysis import analyze_features
 from waymark.plans.analysis import correlation_matrix as matrix_of
 
@@ -94,6 +99,36 @@ def _line_frame(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {EV}, tr AS (
+  SELECT track_id, avg(value) AS value_mean, max(k) AS k_max,
+    arg_min(label, row_id) AS label FROM ev GROUP BY track_id),
+lf AS (
+  SELECT 'value_mean' AS feature, round(value_mean, 9) AS value,
+    CAST(label = 'matched' AS INTEGER) AS y FROM tr
+  UNION ALL SELECT 'k_max', k_max, CAST(label = 'matched' AS INTEGER) FROM tr)
+{_correlation_result()} UNION ALL {_auc_result()}"""
+)
+def track_feature_ranking(spark, sf_dir):
+    """Statistics over the rolled-up tracks, which are the rows here."""
+    tracks = active_frame(
+        event_points(spark, sf_dir),
+        [],
+        POINTS,
+        level="Track",
+        methods_by_column={"value": ["mean"], "k": ["max"]},
+    ).withColumn("value_mean", F.round("value_mean", 9))
+    return analyze_features(
+        tracks,
+        ["value_mean", "k_max"],
+        [ranking.CORRELATION, ranking.UNIVARIATE_AUC],
+        label="label",
+        positive="matched",
+        columns=replace(POINTS, row="track_id"),
+        sample_size=None,
+    )
+
+
 @query(f"""WITH {GAPS}, md AS (SELECT median(value) AS m FROM gp)
 SELECT row_id, CASE WHEN value IS NULL OR isnan(value) THEN round(m, 6)
   ELSE round(value, 6) END AS value, k FROM gp, md""")

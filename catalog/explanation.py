@@ -76,7 +76,7 @@ def shap_range(spark, sf_dir):
     return explain.shap_range(explain.shap_waterfall(_linear(spark, sf_dir), POINTS))
 
 
-@query(f"""WITH {_SHAP}, s AS (SELECT feature, min(feature_value) AS f0,
+_DENSITY = _SHAP + """, s AS (SELECT feature, min(feature_value) AS f0,
     max(feature_value) AS f1, min(shap_value) AS s0, max(shap_value) AS s1,
     greatest(8, least(40, round_even(sqrt(count(*)) * 2, 0))) AS bins
   FROM sh GROUP BY feature),
@@ -84,16 +84,31 @@ b AS (SELECT sh.*, f0, f1,
     least(bins - 1, floor((shap_value - s0) / ((s1 - s0) / bins))) AS bin
   FROM sh JOIN s ON sh.feature = s.feature),
 r AS (SELECT *, row_number() OVER (PARTITION BY feature, bin ORDER BY row_index) - 1 AS place,
-    count(*) OVER (PARTITION BY feature, bin) AS m FROM b)
-SELECT feature, row_index, round(feature_value, 6) AS feature_value,
-  round((feature_value - f0) / (f1 - f0), 6) AS relative_value,
-  round(shap_value, 6) AS shap_value,
-  round((place - (m - 1) / 2) * 0.7 / max(m) OVER (PARTITION BY feature), 6) AS density_offset
-FROM r""")
+    count(*) OVER (PARTITION BY feature, bin) AS m FROM b),
+dn AS (SELECT feature, row_index, feature_value,
+    (feature_value - f0) / (f1 - f0) AS relative_value, shap_value,
+    (place - (m - 1) / 2) * 0.7 / max(m) OVER (PARTITION BY feature) AS density_offset
+  FROM r)"""
+_DENSITY_COLUMNS = """feature, row_index, round(feature_value, 6) AS feature_value,
+  round(relative_value, 6) AS relative_value, round(shap_value, 6) AS shap_value,
+  round(density_offset, 6) AS density_offset"""
+
+
+@query(f"WITH {_DENSITY} SELECT {_DENSITY_COLUMNS} FROM dn")
 def shap_density(spark, sf_dir):
     return explain.shap_density(explain.shap_rows(_linear(spark, sf_dir), POINTS))
 
 
+@query(f"""WITH {_DENSITY}, pl AS (
+  SELECT feature, row_number() OVER (ORDER BY avg(abs(shap_value)), feature) - 1 AS place
+  FROM sh GROUP BY feature),
+dp AS (SELECT dn.*, place FROM dn JOIN pl ON dn.feature = pl.feature)
+SELECT {_DENSITY_COLUMNS}, round(place + density_offset, 6) AS plot_y FROM dp""")
+def shap_beeswarm(spark, sf_dir):
+    rows = explain.shap_rows(_linear(spark, sf_dir), POINTS)
+    return explain.shap_beeswarm(explain.shap_density(rows))
+
+
 def _model(spark, sf_dir, kind, **parameters):
     return build_default_model(
         event_points(spark, sf_dir, spread=True),

@@ -7,8 +7,11 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 
+from waymark.functions.ranges import RangeRule
 from waymark.functions.scores import with_model_path
+from waymark.operators import confirm
 from waymark.operators.evaluators import batch_evaluator, row_evaluator
+from waymark.plans.comparison import compare
 from waymark.sources.models import LinearModel, ModelSpec, OnnxModel
 
 from .registry import EV, POINTS, event_points, query
@@ -80,3 +83,38 @@ def python_evaluator_path(spark, sf_dir):
     return points.join(found.select("row_id", "rising"), "row_id", "left").select(
         "row_id", "rising"
     )
+
+
+@query(f"""WITH {EV}, tr AS (SELECT *, value >= 150 AND coalesce(lag(value) OVER (
+    PARTITION BY track_id ORDER BY time, row_id) >= 40, false) AS fired FROM ev)
+SELECT track_id, arg_min(label, row_id) AS label,
+  min(time) FILTER (WHERE fired) AS default_first_confirmation_time,
+  min(time) FILTER (WHERE fired OR k <= 1) AS candidate_first_confirmation_time
+FROM tr GROUP BY track_id""")
+def evaluator_comparison(spark, sf_dir):
+    """Comparison whose default path comes from Python logic and is detected."""
+
+    def logic(config, batches):
+        last = -np.inf
+        for batch in batches:
+            before = batch["value"].shift(1)
+            before.iloc[0] = last
+            last = batch["value"].iloc[-1]
+            fired = (batch["value"] >= config["level"]) & (before >= 40)
+            yield pd.DataFrame({"sustained": fired.astype("int8")})
+
+    def evaluator(section, points):
+        return batch_evaluator(points, logic, section, ["sustained"], POINTS)
+
+    payload = {"dynamic_specific": {"track_qa_config": {"level": 150}}}
+    result = compare(
+        event_points(spark, sf_dir),
+        payload,
+        evaluator=evaluator,
+        rules=[RangeRule("small_k", "k", maximum=1.0)],
+        columns=POINTS,
+        keep_cells=False,
+    )
+    return result.first_times.select(
+        "track_id", "label", confirm.DEFAULT_TIME, confirm.CANDIDATE_TIME
+    )

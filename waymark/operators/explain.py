@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..columns import Columns
 from ..functions.scores import share
@@ -296,6 +297,24 @@ def shap_density(
     )
 
 
+def shap_beeswarm(density: DataFrame) -> DataFrame:
+    """Density table with ``plot_y``: features stacked by rising importance.
+
+    The feature's place, from 0, is its rank by mean absolute contribution.
+    """
+    # One row per model feature.
+    importance = density.groupBy("feature").agg(
+        F.avg(F.abs("shap_value")).alias("importance")
+    )
+    by_importance = Window.orderBy("importance", "feature")
+    places = importance.select(
+        "feature", (F.row_number().over(by_importance) - 1).alias("place")
+    )
+    return density.join(F.broadcast(places), "feature").select(
+        *density.columns, (F.col("place") + F.col("density_offset")).alias("plot_y")
+    )
+
+
 def shap_waterfall(
     contributions: DataFrame, columns: Columns = Columns(), *, top: int | None = None
 ) -> DataFrame:

@@ -269,6 +269,12 @@ def correlation_matrix(
     )
 
 
+def matrix_labels(matrix: DataFrame) -> DataFrame:
+    """Correlation matrix with the two-digit text shown in its cells."""
+    shown = F.round("correlation", 2).cast("string")
+    return matrix.withColumn("display_value", shown)
+
+
 def _sums_from_expressions(frame: DataFrame, means: Sequence[float]) -> DataFrame:
     centered = [F.col(n) - F.lit(float(m)) for n, m in zip(frame.columns, means)]
     size = len(centered)

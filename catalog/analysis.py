@@ -25,6 +25,7 @@ from .registry import (
     line_items,
     query,
 )
+from .profiling import PICKED
 from .scoring import LINEAR
 
 DIRECTION = """CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative'
@@ -245,6 +246,26 @@ def feature_ranking(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {PICKED}, sm AS (SELECT * FROM ev WHERE track_id IN (SELECT track_id FROM pk)),
+lf AS (
+  SELECT 'value' AS feature, value, CAST(label = 'matched' AS INTEGER) AS y FROM sm
+  UNION ALL SELECT 'k', k, CAST(label = 'matched' AS INTEGER) FROM sm)
+{_correlation_result()} UNION ALL {_auc_result()}"""
+)
+def sampled_feature_ranking(spark, sf_dir):
+    """The default analysis: about 500 rows of complete, randomly picked tracks."""
+    return analyze_features(
+        event_points(spark, sf_dir),
+        ["value", "k"],
+        [ranking.CORRELATION, ranking.UNIVARIATE_AUC],
+        label="label",
+        positive="matched",
+        columns=POINTS,
+        group="track_id",
+    )
+
+
 # Near-equal scores are ties or not by the last bit of a sum, so the twin adds in
 # the same order and one digit less is compared.
 @query(f"""WITH {EV}, o AS (

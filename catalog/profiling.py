@@ -52,23 +52,23 @@ def random_sample(spark, sf_dir):
     return sample.select("row_id", "track_id", "value")
 
 
-_PICKED = EV + """, sz AS (SELECT track_id, count(*) AS rows FROM ev GROUP BY track_id),
+PICKED = EV + """, sz AS (SELECT track_id, count(*) AS rows FROM ev GROUP BY track_id),
 pk AS (SELECT track_id, rows FROM (SELECT *, sum(rows) OVER (
     ORDER BY md5(concat('7:', track_id)), track_id
     ROWS UNBOUNDED PRECEDING) - rows AS before FROM sz) WHERE before < 500)"""
 
 
-@query(f"WITH {_PICKED} SELECT * FROM sz")
+@query(f"WITH {PICKED} SELECT * FROM sz")
 def group_sizes(spark, sf_dir):
     return sampling.group_sizes(event_points(spark, sf_dir), "track_id")
 
 
-@query(f"WITH {_PICKED} SELECT * FROM pk")
+@query(f"WITH {PICKED} SELECT * FROM pk")
 def picked_groups(spark, sf_dir):
     return sampling.picked_groups(event_points(spark, sf_dir), "track_id", 500)
 
 
-@query(f"""WITH {_PICKED} SELECT row_id, track_id, round(value, 6) AS value
+@query(f"""WITH {PICKED} SELECT row_id, track_id, round(value, 6) AS value
 FROM ev WHERE track_id IN (SELECT track_id FROM pk)""")
 def group_sample(spark, sf_dir):
     sample = sampling.sample_rows(

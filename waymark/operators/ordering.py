@@ -37,7 +37,8 @@ def bucket_cuts(
     64 arrays of at most 4,095 numbers: a fixed bound at any table size.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(16, min(MAX_BUCKETS, partitions))
+    # Several buckets per task even out what hashing them to tasks leaves uneven.
+    buckets = max(16, min(MAX_BUCKETS, 4 * partitions))
     shares = [step / buckets for step in range(1, buckets)]
     sketches = (
         df.select(value, (F.spark_partition_id() % _SKETCH_SHARDS).alias("shard"))

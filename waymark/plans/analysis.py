@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -37,7 +37,8 @@ def analyze_features(
 ) -> DataFrame:
     """Rank features by the chosen methods.
 
-    ``sample_size=None`` analyses every row. The full correlation matrix has a
+    ``sample_size=None`` analyses every row and stays lazy; a sample is drawn
+    once and the finished result returned. The full correlation matrix has a
     table of its own, see :func:`correlation_matrix`.
     """
     features, methods = list(dict.fromkeys(features)), list(dict.fromkeys(methods))
@@ -53,13 +54,47 @@ def analyze_features(
     if points.isEmpty():
         raise ValueError("No measurements remain after filtering.")
 
-    sample = points
-    if sample_size is not None:
-        sample = sample_rows(points, sample_size, columns, group=group, seed=seed)
+    def results(rows: DataFrame) -> DataFrame:
+        return _results(
+            rows, features, methods, label, positive, columns, model, used, explainer,
+            seed, one_task_rows,
+        )
+
+    if sample_size is None:
+        return results(points)
+    sample = sample_rows(points, sample_size, columns, group=group, seed=seed)
+    return _settled(sample, results)
+
+
+def _settled(sample: DataFrame, results: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Draw a sample once, let every method read it, and return the finished rows.
+
+    The results have a few rows per feature, whatever the size of the table.
+    """
+    sample = sample.persist()
+    try:
+        found = results(sample)
+        return found.sparkSession.createDataFrame(found.collect(), found.schema)
+    finally:
+        sample.unpersist()
+
+
+def _results(
+    points: DataFrame,
+    features: list[str],
+    methods: list[str],
+    label: str,
+    positive: object,
+    columns: Columns,
+    model: ModelSpec | None,
+    used: list[str],
+    explainer: str,
+    seed: int,
+    one_task_rows: int,
+) -> DataFrame:
     inputs = list(model.features) if used and model is not None else []
-    # Every method reads the prepared rows.
     frame = ranking.labelled_features(
-        sample,
+        points,
         list(dict.fromkeys([*features, *inputs])),
         label,
         positive,
@@ -104,10 +139,13 @@ def correlation_matrix(
     seed: int = 7,
 ) -> DataFrame:
     """Pairwise correlations over a plain sample of rows, never of groups."""
-    sample = points
-    if sample_size is not None:
-        sample = sample_rows(points, sample_size, columns, seed=seed)
-    return ranking.correlation_matrix(sample, features, label, positive)
+
+    def results(rows: DataFrame) -> DataFrame:
+        return ranking.correlation_matrix(rows, features, label, positive)
+
+    if sample_size is None:
+        return results(points)
+    return _settled(sample_rows(points, sample_size, columns, seed=seed), results)
 
 
 def _model_features(

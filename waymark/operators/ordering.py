@@ -87,13 +87,16 @@ def bucket_of(value: Column, cuts: Sequence) -> Column:
     while size > 1:
         size //= 2
         strides.append(size)
-    return F.aggregate(
+    place = F.aggregate(
         F.array(*[F.lit(stride) for stride in strides]),
         F.lit(0),
         lambda below, stride: F.when(
             F.element_at(ladder, below + stride) <= value, below + stride
         ).otherwise(below),
     )
+    # The optimizer does not see a column that occurs inside a lambda only, and
+    # then infers a join filter on the side that lacks it.
+    return F.when(value.isNotNull(), place).otherwise(F.lit(0))
 
 
 def cumulative_counts(

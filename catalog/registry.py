@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from waymark import Columns, configure
 from waymark.session import ship_package
-from waymark.sources.files import load_points, spread_scan
+from waymark.sources.files import load_points
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,20 +53,14 @@ def rounded(df: DataFrame, digits: int) -> DataFrame:
     )
 
 
-def table(
-    spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False
-) -> DataFrame:
-    """One of the given tables; ``spread`` where much work follows the scan."""
-    scan = load_points(spark, f"{sf_dir}/{name}.parquet")
-    return spread_scan(scan) if spread else scan
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return load_points(spark, f"{sf_dir}/{name}.parquet")
 
 
-def event_points(
-    spark: SparkSession, sf_dir: str, *, spread: bool = False
-) -> DataFrame:
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as points: a user is a track, time is microseconds since 2024."""
     micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
-    return table(spark, sf_dir, "events", spread=spread).select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("row_id"),
         F.col("user_id").alias("track_id"),
         F.expr(micros).alias("time"),
@@ -101,11 +95,9 @@ GAPS = EV + """, gp AS (
                          WHEN event_type <> 'view' THEN value END AS value) FROM ev)"""
 
 
-def line_items(
-    spark: SparkSession, sf_dir: str, *, spread: bool = False
-) -> DataFrame:
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as points of an order; used where no row order is needed."""
-    return table(spark, sf_dir, "lineitem", spread=spread).select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("track_id"), *LINE_FEATURES, "l_returnflag"
     )
 
@@ -122,7 +114,7 @@ def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """The 64 numbers of every embedding as columns of their own."""
     names = [f"e{i:02d}" for i in range(64)]
-    vectors = table(spark, sf_dir, "embeddings", spread=True)
+    vectors = table(spark, sf_dir, "embeddings")
     return (
         vectors.select(
             F.col("vec_id").alias("row_id"),

@@ -30,19 +30,6 @@ def load_points(
     raise ValueError(f"Unsupported input file {path!s}. Use a .csv or .parquet file.")
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Redistribute a file scan that would run on fewer tasks than there are cores.
-
-    A file of one row group is read by one task, and everything up to the next
-    shuffle stays there. Large tables have more splits than cores and are left
-    alone. Filters and column choices still reach the scan.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores)
-
-
 def open_point_table(
     spark: SparkSession,
     path: str,

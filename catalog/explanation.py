@@ -151,7 +151,22 @@ def tree_shap(spark, sf_dir):
     return explain.shap_rows(explain.shap_contributions(frame, spec, POINTS), POINTS)
 
 
-@query()
+def _score(value: str, k: str) -> str:
+    return f"1 / (1 + exp(-(-0.5 + 0.02 * {value} + -0.05 * {k})))"
+
+
+# Both features known, one of them, or none; the unknown ones run over the background.
+@query(f"""WITH {EV}, bg AS (
+  SELECT value AS bv, k AS bk FROM ev ORDER BY row_id LIMIT 100),
+n AS (SELECT avg({_score("bv", "bk")}) AS base FROM bg),
+v AS (SELECT row_id, value, k, {_score("value", "k")} AS known,
+    avg({_score("value", "bk")}) AS v_only, avg({_score("bv", "k")}) AS k_only
+  FROM ev, bg GROUP BY row_id, value, k)
+SELECT row_id AS row_index, round(base, 6) AS base_value, 'value' AS feature,
+  round(value, 6) AS feature_value,
+  round((known - k_only + v_only - base) / 2, 6) AS shap_value FROM v, n
+UNION ALL SELECT row_id, round(base, 6), 'k', k,
+  round((known - v_only + k_only - base) / 2, 6) FROM v, n""")
 def permutation_shap(spark, sf_dir):
     contributions = explain.shap_contributions(
         _frame(spark, sf_dir), LINEAR, POINTS, explainer="Permutation"

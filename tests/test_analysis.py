@@ -14,7 +14,6 @@ from waymark.operators.default_model import build_default_model
 from waymark.operators.incremental import (
     FoldModel,
     fit_models,
-    incremental_auc,
     training_scales,
 )
 from waymark.operators.permutation import shuffled_copies

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from waymark.llm import query_mixing  # noqa: F401
+from waymark.llm import (  # noqa: F401
+    query_mixing,
+    query_quality,
+)
 from waymark.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from waymark.llm import (  # noqa: F401
+    query_bpe,
     query_mixing,
     query_quality,
 )

@@ -7,6 +7,7 @@ from waymark.llm import (  # noqa: F401
     query_minhash,
     query_mixing,
     query_quality,
+    query_secrets,
 )
 from waymark.llm.registry import ORACLES, QUERIES
 

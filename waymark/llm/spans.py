@@ -33,14 +33,13 @@ def listed(spans: Column) -> Column:
 def span_digests(found: DataFrame, base_kinds: Sequence[str]) -> DataFrame:
     """doc_id, a count for each base kind, base_sha256 and all spans as text."""
     base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k)))
-            .cast("long")
-            .alias(f"n_{k}")
-            for k in base_kinds
-        ],
+        *[count(k).alias(f"n_{k}") for k in base_kinds],
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from waymark.llm import (  # noqa: F401
     query_bpe,
+    query_embedding,
     query_extraction,
     query_language,
     query_minhash,

@@ -7,6 +7,7 @@ from waymark.llm import (  # noqa: F401
     query_embedding,
     query_extraction,
     query_language,
+    query_lm,
     query_minhash,
     query_mixing,
     query_quality,

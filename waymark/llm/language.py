@@ -231,6 +231,33 @@ def predict_languages(
     )
 
 
+def in_known_languages(
+    documents: DataFrame, *, least_score: float = 0.2, judged_chars: int = 200, seed: int = 11
+) -> DataFrame:
+    """The documents whose text is in one of the languages they are labelled with.
+
+    A text without a letter goes, and so does one of ``judged_chars`` characters
+    or more that is less than ``least_score`` like every language; a shorter one
+    says too little to be judged. If no language can be learnt, only texts
+    without a letter go.
+    """
+    training = documents.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    profiles = learn_profiles(training, seed)
+    matrix = np.array([*profiles.values(), np.zeros(DIMENSIONS)], np.float32).T
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = part.column("text").fill_null("").to_pylist()
+            found, lettered = bundles(texts, seed)
+            size = np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+            best = ((found / size) @ matrix).max(axis=1)
+            short = np.array([len(t) < judged_chars for t in texts], bool)
+            like = short | (best >= least_score) | (not profiles)
+            yield part.filter(pa.array(lettered & like))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def identify_languages(documents: DataFrame) -> DataFrame:
     """Learn from the documents that are not held out, predict all of them."""
     training = documents.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))

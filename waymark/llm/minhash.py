@@ -349,6 +349,22 @@ def near_duplicates(
     return _with_components(nodes, classes, labels)
 
 
+def one_of_each(documents: DataFrame, **settings) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns.
+
+    Rows equal in id and text become one; rows without an id stay.
+    """
+    decided = written(
+        near_duplicates(documents, **settings).filter(F.col("doc_id").isNotNull()), "minhash-decisions"
+    )
+    dropped = decided.filter(~F.col("kept")).select("doc_id")
+    repeated = decided.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = documents.join(dropped, "doc_id", "left_anti")
+    single = kept.join(repeated, "doc_id", "left_anti")
+    several = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.union(several).select(*documents.columns)
+
+
 def _texts_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """``node`` and the text of one of its documents."""
     chosen = (

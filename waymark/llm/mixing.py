@@ -174,46 +174,46 @@ def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     A document that is taken in full comes once per pass; the text of a partial
     pass ends with its last taken word. Documents without words are kept once.
     """
-    tie = F.xxhash64("text", "source").alias("tie")
+    tie = F.xxhash64("text", "source").alias("__mix_tie")
     # Rows that agree in id, text and source are interchangeable: number them.
-    same = Window.partitionBy("doc_id", "tie").orderBy(F.lit(0))
+    same = Window.partitionBy("doc_id", "__mix_tie").orderBy(F.lit(0))
     taken = (
         mix_sources(documents, carry=(tie,), **settings)
-        .withColumn("copy", F.row_number().over(same))
+        .withColumn("__mix_copy", F.row_number().over(same))
         .select(
-            F.col("doc_id").alias("taken_id"),
-            F.col("tie").alias("taken_tie"),
-            F.col("copy").alias("taken_copy"),
-            F.col("size").alias("words"),
-            "taken",
+            F.col("doc_id").alias("__mix_id"),
+            F.col("__mix_tie").alias("__mix_other"),
+            F.col("__mix_copy").alias("__mix_number"),
+            F.col("size").alias("__mix_words"),
+            F.col("taken").alias("__mix_taken"),
         )
     )
-    numbered = documents.select("*", tie).withColumn("copy", F.row_number().over(same))
+    numbered = documents.select("*", tie).withColumn("__mix_copy", F.row_number().over(same))
     passes = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("words")).cast("int")),
-        lambda k: F.least(F.col("words"), F.col("taken") - k * F.col("words")),
+        F.sequence(F.lit(0), F.ceil(F.col("__mix_taken") / F.greatest("__mix_words", F.lit(1))).cast("int")),
+        lambda k: F.least(F.col("__mix_words"), F.col("__mix_taken") - k * F.col("__mix_words")),
     )
     # Pieces end with a word each, so the first k of them hold k words.
     pieces = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("pass_words").cast("int")), "")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("__mix_pass").cast("int")), "")
     return (
         numbered.join(
             taken,
-            F.col("doc_id").eqNullSafe(F.col("taken_id"))
-            & (F.col("tie") == F.col("taken_tie"))
-            & (F.col("copy") == F.col("taken_copy")),
+            F.col("doc_id").eqNullSafe(F.col("__mix_id"))
+            & (F.col("__mix_tie") == F.col("__mix_other"))
+            & (F.col("__mix_copy") == F.col("__mix_number")),
         )
         .withColumn(
-            "pass_words",
+            "__mix_pass",
             F.explode(
-                F.when(F.col("words") == 0, F.array(F.lit(0).cast("long"))).otherwise(
+                F.when(F.col("__mix_words") == 0, F.array(F.lit(0).cast("long"))).otherwise(
                     F.filter(passes, lambda n: n > 0)
                 )
             ),
         )
         .withColumn(
             "text",
-            F.when(F.col("pass_words") == F.col("words"), F.col("text")).otherwise(cut),
+            F.when(F.col("__mix_pass") == F.col("__mix_words"), F.col("text")).otherwise(cut),
         )
         .withColumn("n_chars", F.length("text").cast("long"))
         .select(*documents.columns)

@@ -13,7 +13,7 @@ neighbouring cells. Bands of coordinates give bucket keys; at 80 % similarity
 3. Where a bucket still holds several components, its classes outside the
    smallest class's component are compared with all others of the bucket, in
    blocks of bounded size. An exact upper bound on the intersection, from
-   counts of shingles in 64 cells, drops most pairs.
+   counts of shingles in as many cells as a set has members, drops most pairs.
 4. What remains is verified on the full sets of both texts.
 
 Within a component, further links cannot change it, so they are not sought.
@@ -42,7 +42,8 @@ from waymark.llm.words import Words, mix, slices
 
 BANDS, BAND_ROWS = 40, 5
 CIRCLE = 1 << 22
-SKETCH_CELLS = 64
+#: Cells of the counts, as powers of two; a long text's cells hold more each.
+LEAST_CELLS, MOST_CELLS = 6, 16
 #: Most classes on the two sides of a block that one task compares at once.
 BLOCK_LEFT, BLOCK_RIGHT = 256, 2048
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -97,10 +98,20 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def cell_counts(shingles: np.ndarray) -> bytes:
-    """Shingles per cell as 16-bit counts; empty where a count is too large."""
-    cells = (shingles >> np.uint64(58)).astype(np.int64)
-    counts = np.bincount(cells, minlength=SKETCH_CELLS)
-    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
+    """Shingles per cell as bytes; empty where a count is too large."""
+    power = min(max((len(shingles) - 1).bit_length(), LEAST_CELLS), MOST_CELLS)
+    cells = (shingles >> np.uint64(64 - power)).astype(np.int64)
+    counts = np.bincount(cells, minlength=1 << power)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    """Counts over fewer cells; neighbouring cells fall together."""
+    if counts.shape[-1] == cells:
+        return counts
+    *rows, size = counts.shape
+    parts = counts.reshape(*rows, cells, size // cells)
+    return parts.sum(axis=-1, dtype=np.uint16)
 
 
 def shingled(
@@ -152,10 +163,10 @@ def _similar_sizes(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _within_bound(cells_a, cells_b, sizes, percent: int) -> np.ndarray:
-    """Whether the counts per cell leave room for enough shared shingles."""
-    shared = np.minimum(cells_a, cells_b).sum(axis=-1, dtype=np.int64)
-    return (100 + percent) * shared >= percent * sizes
+def _most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An upper bound on the shared shingles, from counts per cell."""
+    cells = min(a.shape[-1], b.shape[-1])
+    return np.minimum(folded(a, cells), folded(b, cells)).sum(axis=-1, dtype=np.int64)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -191,19 +202,13 @@ def _bounded(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = batch.column("cells_a").to_pylist()
-            right = batch.column("cells_b").to_pylist()
-            sizes = batch.column("sizes").to_numpy()
-            keep = np.ones(len(sizes), bool)
-            known = np.array([bool(x and y) for x, y in zip(left, right)], bool)
-            if known.any():
-                at = np.flatnonzero(known)
-                m = [
-                    np.frombuffer(b"".join(side[i] for i in at), np.uint16).reshape(-1, SKETCH_CELLS)
-                    for side in (left, right)
-                ]
-                keep[at] = _within_bound(*m, sizes[at], percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep = []
+            columns = [batch.column(c).to_pylist() for c in ("cells_a", "cells_b", "sizes")]
+            for x, y, sizes in zip(*columns):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                known = len(x) and len(y)
+                keep.append(not known or (100 + percent) * _most_shared(x, y) >= percent * sizes)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     cells_a = cells.select(F.col("node").alias("a"), F.col("cells").alias("cells_a"))
     cells_b = cells.select(F.col("node").alias("b"), F.col("cells").alias("cells_b"))
@@ -267,23 +272,29 @@ def _between_components(shared: DataFrame, labels: DataFrame, cells: DataFrame,
             node, n = flat.field("node").to_numpy(), flat.field("n").to_numpy()
             component = flat.field("component").to_numpy()
             apart = flat.field("aside").to_numpy(zero_copy_only=False)
-            packed = flat.field("cells").to_pylist()
-            # Unknown counts bound nothing: as large as can be.
-            full = np.full(SKETCH_CELLS, 0xFFFF, np.uint16).tobytes()
-            counts = np.frombuffer(b"".join(p or full for p in packed), np.uint16)
-            counts = counts.reshape(-1, SKETCH_CELLS)
+            packed = [np.frombuffer(c, np.uint8) for c in flat.field("cells").to_pylist()]
+            width = np.array([len(c) for c in packed])
             firsts, seconds = [], []
             for begin, end in zip(offsets[:-1], offsets[1:]):
                 at = np.arange(begin, end)
                 rights = at[~on_left[at]]
+                stacks = {
+                    w: np.stack([packed[j] for j in rights[width[rights] == w]])
+                    for w in np.unique(width[rights]).tolist()
+                }
                 for i in at[on_left[at]]:
                     ok = (component[rights] != component[i]) & (
                         ~apart[rights] | (node[rights] > node[i])
                     )
                     small, large = np.minimum(n[rights], n[i]), np.maximum(n[rights], n[i])
                     ok &= 100 * small >= percent * large
+                    for w, stack in stacks.items():
+                        if w and width[i]:
+                            own = width[rights] == w
+                            of = np.flatnonzero(ok & own)
+                            shared = _most_shared(stack[ok[own]], packed[i])
+                            ok[of] = (100 + percent) * shared >= percent * (n[rights[of]] + n[i])
                     j = rights[ok]
-                    j = j[_within_bound(counts[j], counts[i], n[j] + n[i], percent)]
                     firsts.append(np.full(len(j), node[i]))
                     seconds.append(node[j])
             if firsts:

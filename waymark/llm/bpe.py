@@ -11,9 +11,11 @@ exists can be told from the gadgets of its two tokens:
 * an arc ``w`` leaves each state that an arc ``u`` leaves;
 * the arc ``v`` of the state of ``u`` is removed.
 
-Arcs are kept in a transition table that is filled as words need them. A word
-has one accepted path; it is found left to right, with one last token for each
-prefix, and decoding writes the labels of the arcs.
+A word has one accepted path, so each of its prefixes has one last token. That
+gives a second automaton, over bytes: its state is the longest text at hand
+that begins some token, with the last tokens of the prefixes that end inside
+it. Its transition table is filled as words need it; encoding a word is one
+table look-up a byte, and decoding writes the labels of the arcs.
 
 Edge cases: a null or empty text has no tokens and decodes to empty; special
 tokens in a text are single tokens; repeated rows are encoded each; further
@@ -42,7 +44,10 @@ WORD_PATTERN = (
 )
 #: Words whose tokens a worker remembers; it starts anew when there are more.
 REMEMBERED_WORDS = 300_000
+#: Transitions that a worker holds; it starts anew when there are more.
+REMEMBERED_MOVES = 1_000_000
 _WIDE = 20
+_START = -2
 
 
 def byte_characters() -> dict[str, int]:
@@ -60,8 +65,8 @@ class TokenAutomaton:
         of = byte_characters()
         self.label = {i: bytes(of[c] for c in t) for t, i in vocabulary.items()}
         self.token = {label: i for i, label in self.label.items()}
-        self.longest = max(map(len, self.token), default=0)
         size = max(self.label, default=-1) + 1
+        self.length = [len(self.label.get(i, b"")) for i in range(size)]
         self.gadget = [0] * size
         self.first = [-1] * size
         self.second = [-1] * size
@@ -75,6 +80,8 @@ class TokenAutomaton:
             self.gadget[made] = order
             self.first[made], self.second[made] = left, right
             self.removed[left << _WIDE | right] = order
+        self.beginnings = {t[:k] for t in self.token for k in range(1, len(t) + 1)}
+        self.forget()
 
     def _arc(self, state: int, token: int, order: int) -> bool:
         """Whether ``token`` leaves ``state`` after the first ``order`` gadgets."""
@@ -101,22 +108,60 @@ class TokenAutomaton:
             known = self.table[key] = self._arc(state, token, len(self.removed))
         return known
 
+    def forget(self) -> None:
+        """Empty the transition tables."""
+        self.table.clear()
+        self.moves: dict[int, int] = {}
+        # Of each state over bytes: its text, the last tokens of the prefixes
+        # from the text's begin to its end, and the last of these.
+        self.texts = [b""]
+        self.windows: list[tuple[int, ...]] = [(_START,)]
+        self.last = [_START]
+        self.number = {(b"", (_START,)): 0}
+
+    def _arc_into(self, text: bytes, window: tuple[int, ...]) -> int:
+        """The last token of the prefix that ends with ``text``, or -1.
+
+        ``window`` holds the last tokens of the prefixes before it.
+        """
+        for size in range(len(text), 0, -1):
+            arc = self.token.get(text[-size:])
+            if arc is not None and self.live[arc]:
+                before = window[-size]
+                if before == _START or (before >= 0 and self.follows(before, arc)):
+                    return arc
+        return -1
+
+    def _move(self, state: int, byte: int) -> int:
+        text = self.texts[state] + bytes([byte])
+        while text and text not in self.beginnings:
+            text = text[1:]
+        arc = self._arc_into(text, self.windows[state])
+        window = (*self.windows[state], arc)[-len(text) - 1 :]
+        after = self.number.setdefault((text, window), len(self.texts))
+        if after == len(self.texts):
+            self.texts.append(text)
+            self.windows.append(window)
+            self.last.append(arc)
+        self.moves[state << 8 | byte] = after
+        return after
+
     def path(self, word: bytes) -> tuple[int, ...]:
         """The tokens on the accepted path of ``word``."""
-        token, follows, longest = self.token, self.follows, self.longest
-        last = [-1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                arc = token.get(word[start:end])
-                if arc is not None and self.live[arc]:
-                    if start == 0 or (last[start] >= 0 and follows(last[start], arc)):
-                        last[end] = arc
-                        break
+        moves, last, length = self.moves, self.last, self.length
+        states = [0]
+        state = 0
+        for byte in word:
+            after = moves.get(state << 8 | byte)
+            state = self._move(state, byte) if after is None else after
+            states.append(state)
         out, at = [], len(word)
         while at:
-            out.append(last[at])
-            at -= len(self.label[last[at]])
-        return tuple(reversed(out))
+            arc = last[states[at]]
+            out.append(arc)
+            at -= length[arc]
+        out.reverse()
+        return tuple(out)
 
 
 class _Known(dict):
@@ -134,7 +179,8 @@ class _Known(dict):
     def trim(self) -> None:
         if len(self) > REMEMBERED_WORDS:
             self.clear()
-            self.automaton.table.clear()
+        if len(self.automaton.moves) > REMEMBERED_MOVES:
+            self.automaton.forget()
 
 
 class Tokenizer:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..columns import Columns, require_columns
 
+_ROW_FOR_ROW = "Confirmation logic has to answer every row it is given, once."
+
 # evaluator(config, points of one track in time order) -> path columns
 TrackEvaluator = Callable[[dict[str, Any], pd.DataFrame], pd.DataFrame]
 # The same for long tracks: batches of one track in, batches of paths out.
@@ -50,15 +53,20 @@ def batch_evaluator(
     require_columns(points, [columns.track, columns.time, columns.row])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
+        unanswered: deque[pd.DataFrame] = deque()
 
         def feed() -> Iterator[pd.DataFrame]:
             for batch in batches:
-                kept.append(batch)
+                unanswered.append(batch)
                 yield batch
 
         for result in evaluator(config, feed()):
-            yield _with_paths(kept.pop(0), result, paths)
+            if not unanswered:
+                raise ValueError(_ROW_FOR_ROW)
+            yield _with_paths(unanswered.popleft(), result, paths)
+        # Logic that skips a batch or stops early must not lose rows.
+        if unanswered or next(iter(batches), None) is not None:
+            raise ValueError(_ROW_FOR_ROW)
 
     return _by_track(points, columns).applyInPandas(
         _iterator_typed(run), _schema(points, paths)
@@ -93,7 +101,7 @@ def track_evaluator(
             parts.append(part)
         result = evaluator(config, pd.concat(parts, ignore_index=True))
         if len(result) != rows:
-            raise ValueError("A confirmation evaluator must preserve the row count.")
+            raise ValueError(_ROW_FOR_ROW)
         start = 0
         for part in parts:
             yield result.iloc[start : start + len(part)]
@@ -130,9 +138,9 @@ def _with_paths(
     batch: pd.DataFrame, result: pd.DataFrame, paths: Sequence[str]
 ) -> pd.DataFrame:
     if len(result) != len(batch):
-        raise ValueError("A confirmation evaluator must preserve the row count.")
+        raise ValueError(_ROW_FOR_ROW)
     missing = sorted(set(paths) - set(result.columns))
     if missing:
-        raise ValueError(f"Evaluator output is missing confirmation paths: {missing}")
+        raise ValueError(f"The logic gave no column for the paths {missing}.")
     flags = {path: pd.array(result[path], dtype="Int8") for path in paths}
     return batch.assign(**flags)

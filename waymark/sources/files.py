@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,21 +14,27 @@ from ..columns import ROW_ID, require_point_table
 
 
 def load_points(
-    spark: SparkSession, path: str, *, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    *,
+    schema: T.StructType | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read a point table by its suffix.
 
-    A ``schema`` spares CSV the extra pass that type inference takes.
+    A ``schema`` spares CSV the extra pass that type inference takes. Quotes in
+    quoted CSV cells are doubled; ``multiline`` also allows line breaks there,
+    and then a file cannot be split between tasks.
     """
     suffix = PurePosixPath(str(path)).suffix.lower()
     if suffix == ".parquet":
         return spark.read.parquet(str(path))
     if suffix == ".csv":
-        reader = spark.read.option("header", True)
+        reader = spark.read.options(header=True, escape='"', multiLine=multiline)
         if schema is not None:
             return reader.schema(schema).csv(str(path))
         return reader.option("inferSchema", True).csv(str(path))
-    raise ValueError(f"Unsupported input file {path!s}. Use a .csv or .parquet file.")
+    raise ValueError(f"{path!s} is neither a .csv nor a .parquet file.")
 
 
 def open_point_table(
@@ -36,9 +43,10 @@ def open_point_table(
     *,
     track: str = "track_id",
     schema: T.StructType | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read a point table, check it and number its rows in input order."""
-    points = load_points(spark, path, schema=schema)
+    points = load_points(spark, path, schema=schema, multiline=multiline)
     require_point_table(points, track)
     return number_rows(points)
 
@@ -46,35 +54,48 @@ def open_point_table(
 def number_rows(scan: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Add consecutive row numbers, from 0, in the order of a file scan.
 
-    Spark's generated id holds the partition and the position inside it. Adding
-    the row counts of the earlier partitions makes it consecutive; those counts
-    are one small row per partition. The input must be a scan or a checkpoint:
-    anything with a shuffle may lay its rows out anew for each use.
+    The order is that of file names, then of places in the file. Spark packs the
+    parts of files into tasks by size, so the parts are told apart by file and
+    offset: inside a part, generated ids keep its order, and the row counts of
+    the earlier parts, one small row each, make the numbers consecutive. A table
+    that is no file scan counts each partition as a part; it must be a
+    checkpoint, as anything with a shuffle may lay its rows out anew.
     """
-    tagged = scan.withColumn("__position", F.monotonically_increasing_id())
-    partition = F.shiftright("__position", 33)
-    local = F.col("__position").bitwiseAND((1 << 33) - 1)
-    earlier = Window.orderBy("__part").rowsBetween(
+    position = F.monotonically_increasing_id()
+    try:
+        tagged = scan.select(
+            "*",
+            F.col("_metadata.file_path").alias("__file"),
+            F.col("_metadata.file_block_start").alias("__offset"),
+            position.alias("__position"),
+        )
+    except AnalysisException:
+        tagged = scan.select(
+            "*",
+            F.lit("").alias("__file"),
+            F.shiftright(position, 33).alias("__offset"),
+            position.alias("__position"),
+        )
+    part = ["__file", "__offset"]
+    earlier = Window.orderBy(*part).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     starts = (
-        scan.select(F.shiftright(F.monotonically_increasing_id(), 33).alias("__part"))
-        .groupBy("__part")
-        .agg(F.count(F.lit(1)).alias("__rows"))
+        tagged.groupBy(*part)
+        .agg(F.count(F.lit(1)).alias("__rows"), F.min("__position").alias("__least"))
         .withColumn("__start", F.sum("__rows").over(earlier) - F.col("__rows"))
-        .select("__part", "__start")
     )
+    number = F.col("__start") + F.col("__position") - F.col("__least")
     return (
-        tagged.withColumn("__part", partition)
-        .join(starts, "__part")
-        .withColumn(name, F.col("__start") + local)
+        tagged.join(starts, part)
+        .withColumn(name, number)
         .select(name, *scan.columns)
     )
 
 
 def export_csv(selection: DataFrame, path: str, *, row: str = ROW_ID) -> None:
     _require_rows(selection)
-    selection.drop(row).write.mode("errorifexists").option("header", True).csv(path)
+    selection.drop(row).write.mode("errorifexists").options(header=True, escape='"').csv(path)
 
 
 def export_parquet(selection: DataFrame, path: str, *, row: str = ROW_ID) -> None:
@@ -84,4 +105,4 @@ def export_parquet(selection: DataFrame, path: str, *, row: str = ROW_ID) -> Non
 
 def _require_rows(selection: DataFrame) -> None:
     if selection.isEmpty():
-        raise ValueError("Select data before exporting.")
+        raise ValueError("An export needs at least one row.")

@@ -8,7 +8,7 @@ import pytest
 from frames import features_small, frame, incremental
 from pyspark.sql import functions as F
 
-from waymark.functions.trees import product_game
+from waymark.functions.trees import Tree, TreeEnsemble, product_games
 from waymark.operators import explain, ranking
 from waymark.operators.default_model import build_default_model
 from waymark.operators.incremental import (
@@ -67,18 +67,17 @@ def test_information_and_auc_rank_the_signal_first(spark):
     assert [r.method for r in found.collect()] == [ranking.INFORMATION] * 2 + [ranking.UNIVARIATE_AUC] * 2
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_auc_and_information_match_brute_force(spark, limit):
+def test_auc_and_information_match_brute_force(spark):
     points, data = noisy(spark)
     frame_ = ranking.labelled_features(points, ["a", "b", "flat"], "label", "matched")
     negated = frame_.withColumn("a", -F.col("a"))
-    profile = ranking.class_profile(frame_, ["a", "b", "flat"], one_task_rows=limit)
+    profile = ranking.class_profile(frame_, ["a", "b", "flat"])
     auc = scores(ranking.univariate_auc(profile))
     for name, place in (("a", 1), ("b", 2)):
         expected = brute_auc([(r[place], r[4] == "matched") for r in data])
         assert auc[name] == pytest.approx(expected)
     assert auc["flat"] == 0.5
-    mirrored = ranking.class_profile(negated, ["a"], one_task_rows=limit)
+    mirrored = ranking.class_profile(negated, ["a"])
     mirrored = scores(ranking.univariate_auc(mirrored))
     assert auc["a"] + mirrored["a"] == pytest.approx(1.0)
 
@@ -109,23 +108,22 @@ def test_constant_feature_has_no_correlation(spark):
     assert (flat.score, flat.importance, flat.direction) == (0.0, 0.0, "none")
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_gaps_are_filled_with_the_median(spark, limit):
+def test_gaps_are_filled_with_the_median(spark):
     points, data = noisy(spark, gaps=True)
     points = points.withColumn("void", F.lit(None).cast("double"))
     # NaN counts as the largest value, NULL not at all
     ordered = sorted((r[2] for r in data if r[2] is not None), key=lambda v: (math.isnan(v), v))
     n = len(ordered)
     expected = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
-    medians = ranking.feature_medians(points, ["b", "void"], one_task_rows=limit)
+    medians = ranking.feature_medians(points, ["b", "void"])
     assert medians == {"b": pytest.approx(expected), "void": 0.0}
-    filled = ranking.imputed(points, ["b", "void"], one_task_rows=limit)
+    filled = ranking.imputed(points, ["b", "void"])
     assert filled.filter("b IS NULL OR isnan(b) OR void != 0").count() == 0
     with pytest.raises(ValueError, match="must be numeric"):
         ranking.imputed(points, ["label"])
 
 
-def test_correlation_matrix_both_ways(spark, monkeypatch):
+def test_correlation_matrix(spark):
     points, data = noisy(spark, gaps=True)
     narrow = correlation_matrix(points, ["a", "b", "flat"], **LABELS, sample_size=None)
     cells = {(r.row, r.column): r.correlation for r in narrow.collect()}
@@ -138,10 +136,6 @@ def test_correlation_matrix_both_ways(spark, monkeypatch):
     a = [r[1] for r, k in zip(data, known) if k]
     assert cells["a", "b"] == cells["b", "a"] == pytest.approx(np.corrcoef(a, b)[0, 1])
     assert cells["flat", "flat"] == 0.0 and cells["b", "b"] == pytest.approx(1.0)
-    monkeypatch.setattr(ranking, "EXPRESSION_MATRIX_COLUMNS", 1)
-    wide = correlation_matrix(points, ["a", "b", "flat"], **LABELS, sample_size=None)
-    for r in wide.collect():
-        assert r.correlation == pytest.approx(cells[r.row, r.column], abs=1e-9)
     assert correlation_matrix(points, ["a"], **LABELS, sample_size=50).count() == 4
 
 
@@ -296,9 +290,9 @@ def test_tree_models_score_and_explain(spark, kind, parameters):
     assert auc > 0.6
 
 
-def test_product_game_by_enumeration():
+def test_product_games_by_enumeration():
     known, unknown = np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.3, 0.9])
-    found = product_game(known, unknown)
+    found, _ = product_games(np.array([known, 1 - known], bool), unknown)
 
     def v(s):
         return np.prod([known[i] if i in s else unknown[i] for i in range(3)])
@@ -327,13 +321,43 @@ def test_linear_equals_enumeration_on_the_margin(spark):
 
 
 def test_sampled_coalitions_add_up():
-    for size in (1, 2, 7, 9, 14):
-        masks, weights = explain.coalition_plan(size, 7)
+    for size, rounds in ((1, None), (2, None), (7, None), (9, 10), (40, 3)):
+        masks, weights = explain.coalition_plan(size, 7, rounds)
         values = np.random.default_rng(1).normal(size=len(masks))
         full = values[masks.all(axis=1)][0]
         empty = values[~masks.any(axis=1)][0]
         assert (weights @ values).sum() == pytest.approx(full - empty)
     assert len(explain.coalition_plan(7, 7)[0]) == 128
+    with pytest.raises(ValueError, match="state the rounds"):
+        explain.coalition_plan(16, 7)
+
+
+def test_a_deep_tree_is_explained_in_array_steps():
+    rng = np.random.default_rng(3)
+    depth, rows = 10, rng.uniform(size=(2000, 10))
+    inner = 2**depth - 1
+    node = np.arange(2 * inner + 1)
+    cover = np.floor(1e6 / 2 ** np.floor(np.log2(node + 1)))
+    tree = Tree(
+        np.where(node < inner, node % 10, -1), rng.uniform(0.3, 0.7, len(node)),
+        2 * node + 1, 2 * node + 2, rng.normal(size=len(node)), cover,
+    )
+    ensemble = TreeEnsemble([tree], [1.0], False)
+    values, base = ensemble.shap(rows)
+    assert (base + values.sum(axis=1)) == pytest.approx(ensemble.margin(rows))
+
+
+@pytest.mark.parametrize("explainer", ["Permutation", "Linear"])
+def test_contributions_are_computed_once(spark, explainer, capsys):
+    points, _ = noisy(spark, 30)
+    frame_ = ranking.labelled_features(points, ["a", "b"], "label", "matched")
+    linear = ModelSpec("l", LinearModel([0.7, -1.1], 0.2), ("a", "b"))
+    contributions = explain.shap_contributions(frame_, linear, explainer=explainer, background=5)
+    for table in (explain.shap_rows(contributions), explain.shap_waterfall(contributions)):
+        table.explain()
+        assert capsys.readouterr().out.count("ArrowEvalPython") == (explainer == "Permutation")
+    explain.shap_density(explain.shap_rows(contributions)).explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out
 
 
 def test_explainer_choice(spark):
@@ -352,14 +376,13 @@ def test_shap_tables(spark):
         [("f", i, float(i), v) for i, v in enumerate(values)] + [("g", i, 1.0, 0.5) for i in range(5)],
         "feature string, row_index long, feature_value double, shap_value double",
     )
-    for limit in (100, 0):
-        density = explain.shap_density(rows, one_task_rows=limit).orderBy("feature", "row_index").collect()
-        offsets = [r.density_offset for r in density if r.feature == "f"]
-        assert offsets[:4] == pytest.approx([-0.2625, -0.0875, 0.0875, 0.2625])
-        assert offsets[4] == 0.0
-        assert [r.relative_value for r in density[:5]] == [0.0, 0.25, 0.5, 0.75, 1.0]
-        flat = [r for r in density if r.feature == "g"]
-        assert {(r.density_offset, r.relative_value) for r in flat} == {(0.0, 0.0)}
+    density = explain.shap_density(rows).orderBy("feature", "row_index").collect()
+    offsets = [r.density_offset for r in density if r.feature == "f"]
+    assert offsets[:4] == pytest.approx([-0.2625, -0.0875, 0.0875, 0.2625])
+    assert offsets[4] == 0.0
+    assert [r.relative_value for r in density[:5]] == [0.0, 0.25, 0.5, 0.75, 1.0]
+    flat = [r for r in density if r.feature == "g"]
+    assert {(r.density_offset, r.relative_value) for r in flat} == {(0.0, 0.0)}
     part = "struct<feature: string, feature_value: double, shap_value: double>"
     contributions = spark.createDataFrame(
         [(0, 0.5, [("a", 1.0, 0.1), ("b", 2.0, -0.4), ("c", 3.0, 0.2)])],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from math import factorial
 
 import numpy as np
@@ -49,6 +50,16 @@ class Tree:
                 pending.append((child, {**path, split: (*bounds, fraction)}))
 
 
+    @cached_property
+    def leaf_table(self) -> list[tuple]:
+        """Value, path features, interval ends and cover shares of every leaf."""
+        table = []
+        for value, path in self.leaves():
+            low, high, share = np.array(list(path.values())).reshape(-1, 3).T
+            table.append((value, list(path), low, high, share))
+        return table
+
+
 @dataclass(frozen=True)
 class TreeEnsemble:
     """Weighted sum of trees; ``logistic`` turns the sum into a probability."""
@@ -75,42 +86,48 @@ class TreeEnsemble:
 
         A leaf is a product game over the features on its path: a known feature
         contributes whether the row is inside its interval, an unknown one the
-        share of training rows that went the leaf's way. Rows with the same
-        inside/outside pattern share the result, so each pattern is solved once.
+        share of training rows that went the leaf's way.
         """
         rows = np.asarray(rows, dtype=float)
         result, base = np.zeros(rows.shape), 0.0
         for weight, tree in zip(self.weights, self.trees, strict=True):
-            for value, path in tree.leaves():
-                share = np.array([bounds[2] for bounds in path.values()])
+            for value, used, low, high, share in tree.leaf_table:
                 base += weight * value * share.prod()
-                if not path:
-                    continue
-                used = list(path)
-                low = np.array([path[f][0] for f in used])
-                high = np.array([path[f][1] for f in used])
-                inside = (rows[:, used] > low) & (rows[:, used] <= high)
-                # A path has at most 30 splits, so a pattern is one integer.
-                bits = 1 << np.arange(len(used))
-                codes, place = np.unique(inside @ bits, return_inverse=True)
-                patterns = (codes[:, None] & bits) > 0
-                parts = np.array([product_game(p.astype(float), share) for p in patterns])
-                result[:, used] += weight * value * parts[place]
+                if len(used):
+                    inside = (rows[:, used] > low) & (rows[:, used] <= high)
+                    result[:, used] += weight * value * product_games(inside, share)
         return result, base
 
 
-def product_game(known: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    """Shapley values of ``v(S) = prod(known over S) * prod(unknown elsewhere)``."""
-    size = len(known)
-    weights = [
-        factorial(k) * factorial(size - k - 1) / factorial(size) for k in range(size)
-    ]
-    values = np.empty(size)
+def product_games(known: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """Shapley values of ``v(S) = prod(known over S) * prod(unknown elsewhere)``.
+
+    ``known`` holds a game a row, of zeros and ones. The factors ``unknown +
+    known * x`` multiply to a polynomial whose coefficient ``k`` sums over the
+    coalitions of ``k`` features; dividing one factor out leaves those without
+    its feature.
+    """
+    games, size = known.shape
+    weights = np.array(
+        [factorial(k) * factorial(size - k - 1) / factorial(size) for k in range(size)]
+    )
+    whole = np.zeros((size + 1, games))
+    whole[0] = 1.0
+    columns = known.T.astype(float)
+    for j in range(size):
+        whole[1 : j + 2] = whole[1 : j + 2] * unknown[j] + whole[: j + 1] * columns[j]
+        whole[0] *= unknown[j]
+    values = np.empty((games, size))
     for i in range(size):
-        # Coefficient k: sum over the coalitions of k other features.
-        by_size = np.ones(1)
-        for j in range(size):
-            if j != i:
-                by_size = np.convolve(by_size, [unknown[j], known[j]])
-        values[i] = (known[i] - unknown[i]) * float(by_size @ weights)
+        # By x + unknown from the top where known, else by unknown alone.
+        inner = np.zeros(games)
+        inside = np.zeros(games)
+        outside = np.zeros(games)
+        for k in range(size - 1, -1, -1):
+            inner = whole[k + 1] - unknown[i] * inner
+            inside += weights[k] * inner
+            outside += weights[k] * whole[k]
+        values[:, i] = np.where(
+            known[:, i], (1 - unknown[i]) * inside, -outside
+        )
     return values

@@ -15,13 +15,15 @@ from pyspark.sql.window import Window
 from ..columns import Columns
 from ..functions.scores import share
 from ..functions.trees import TreeEnsemble
+from ..session import written
 from ..sources.models import LinearModel, ModelSpec
-from .ordering import ONE_TASK_ROWS, cumulative_counts
+from .ordering import cumulative_counts
 from .ranking import SHAP, method_rows
-from .sampling import background_rows
+from .sampling import BACKGROUND_ROWS, background_rows
 
 EXPLAINERS = ("Auto", "Tree", "Linear", "Permutation")
-PERMUTATION_ROUNDS = 10
+# Features whose coalitions are still enumerated; beyond, rounds must be stated.
+MOST_ENUMERATED = 15
 # Numbers of a row-by-background table built at a time.
 MIXED_CELLS = 2_000_000
 
@@ -54,22 +56,26 @@ def shap_contributions(
     *,
     explainer: str = "Auto",
     seed: int = 7,
+    background: int = BACKGROUND_ROWS,
+    rounds: int | None = None,
 ) -> DataFrame:
     """One row per input row: row id, ``base_value`` and a contribution array.
 
     ``contributions`` holds ``feature, feature_value, shap_value`` in model
-    order. The features must have no gaps.
+    order. The features must have no gaps. Linear and Permutation measure
+    against the first ``background`` rows. Permutation enumerates all coalitions
+    of features; with ``rounds`` it averages that many seeded orders instead.
     """
     kind = choose_explainer(spec, explainer)
     names = list(spec.features)
     if kind == "Linear":
-        values, base = _linear_values(frame, spec, columns)
+        values, base = _linear_values(frame, spec, columns, background)
     else:
         packed = F.struct(*[F.col(name).cast("double").alias(name) for name in names])
         if kind == "Tree":
             kernel = _tree_kernel(frame, spec)
         else:
-            kernel = _permutation_kernel(frame, spec, columns, seed)
+            kernel = _permutation_kernel(frame, spec, columns, seed, background, rounds)
         frame = frame.withColumn(
             "__shap", F.pandas_udf(kernel, "array<double>")(packed)
         )
@@ -89,10 +95,12 @@ def shap_contributions(
 
 
 def _linear_values(
-    frame: DataFrame, spec: ModelSpec, columns: Columns
+    frame: DataFrame, spec: ModelSpec, columns: Columns, limit: int
 ) -> tuple[list[Column], Column]:
     """Closed form on the margin: weight times distance from the background mean."""
-    background = background_rows(frame.select(columns.row, *spec.features), columns)
+    background = background_rows(
+        frame.select(columns.row, *spec.features), columns, limit=limit
+    )
     means = background.agg(*[F.avg(name).alias(name) for name in spec.features]).first()
     weights = dict(zip(spec.features, spec.model.weights, strict=True))
     values = [
@@ -115,13 +123,19 @@ def _tree_kernel(frame: DataFrame, spec: ModelSpec) -> Callable:
     return explain
 
 
-def coalition_plan(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def coalition_plan(
+    size: int, seed: int, rounds: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Coalitions to evaluate and the weights turning their values into Shapley
     values.
 
-    Few features are enumerated, which is exact and then also cheaper; more
-    are averaged over seeded orders, each walked forwards and backwards.
+    All coalitions are enumerated, which is exact; with ``rounds`` that many
+    seeded orders are averaged, each walked forwards and backwards.
     """
+    if rounds is None and size > MOST_ENUMERATED:
+        raise ValueError(
+            f"{size} features have too many coalitions; state the rounds to average."
+        )
     index: dict[tuple[bool, ...], int] = {}
     terms: list[tuple[int, tuple[bool, ...], float]] = []
 
@@ -132,7 +146,7 @@ def coalition_plan(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             index.setdefault(mask, len(index))
             terms.append((feature, mask, sign * weight))
 
-    if 2**size <= 2 * PERMUTATION_ROUNDS * (size + 1):
+    if rounds is None:
         for feature in range(size):
             others = [i for i in range(size) if i != feature]
             for count in range(size):
@@ -141,11 +155,11 @@ def coalition_plan(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
                     add(feature, members, weight)
     else:
         random = np.random.default_rng(seed)
-        for _ in range(PERMUTATION_ROUNDS):
+        for _ in range(rounds):
             order = [int(i) for i in random.permutation(size)]
             for walk in (order, order[::-1]):
                 for k, feature in enumerate(walk):
-                    add(feature, walk[:k], 0.5 / PERMUTATION_ROUNDS)
+                    add(feature, walk[:k], 0.5 / rounds)
     masks = np.array(list(index), dtype=bool).reshape(-1, size)
     weights = np.zeros((size, len(index)))
     for feature, mask, weight in terms:
@@ -154,18 +168,23 @@ def coalition_plan(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _permutation_kernel(
-    frame: DataFrame, spec: ModelSpec, columns: Columns, seed: int
+    frame: DataFrame,
+    spec: ModelSpec,
+    columns: Columns,
+    seed: int,
+    limit: int,
+    rounds: int | None,
 ) -> Callable:
     """Features outside a coalition take every background value in turn."""
     names = list(spec.features)
-    # At most 100 rows.
+    # As many rows as the caller states.
     background = (
-        background_rows(frame.select(columns.row, *names), columns)
+        background_rows(frame.select(columns.row, *names), columns, limit=limit)
         .select(*names)
         .toPandas()
         .to_numpy(dtype=float)
     )
-    masks, weights = coalition_plan(len(names), seed)
+    masks, weights = coalition_plan(len(names), seed, rounds)
     shared = share(frame.sparkSession, (spec, background, masks, weights))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -212,7 +231,7 @@ def shap_rows(
 ) -> DataFrame:
     """One row per input row and feature."""
     long = contributions.select(
-        F.col(columns.row).alias("row_index"), "base_value", F.inline("contributions")
+        F.col(columns.row).alias("row_index"), "base_value", F.inline_outer("contributions")
     )
     return long if features is None else long.filter(F.col("feature").isin(list(features)))
 
@@ -225,14 +244,14 @@ def shap_importance(rows: DataFrame) -> DataFrame:
     )
 
 
-def shap_density(
-    rows: DataFrame, *, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def shap_density(rows: DataFrame) -> DataFrame:
     """Relative feature value and vertical offset of every point of the beeswarm.
 
     Within a feature, values falling into the same of 8..40 bins are stacked in
-    row order around zero; the fullest bin sets the scale.
+    row order around zero; the fullest bin sets the scale. The contributions are
+    written once, as several steps read them.
     """
+    rows = written(rows, "contributions")
     low, high = DENSITY_BINS
     stats = rows.groupBy("feature").agg(
         F.min("feature_value").alias("fmin"),
@@ -265,7 +284,6 @@ def shap_density(
         ["feature", "bin"],
         "row_index",
         {"n": F.lit(1)},
-        one_task_rows=one_task_rows,
     )
     fullest = F.broadcast(
         binned.groupBy("feature", "bin")
@@ -337,7 +355,7 @@ def shap_waterfall(
         lambda total, part: total + part["shap_value"],
     )
     result = (
-        steps.select("*", F.posexplode("ordered").alias("pos", "part"))
+        steps.select("*", F.posexplode_outer("ordered").alias("pos", "part"))
         .withColumn("start", before)
         .select(
             F.col(columns.row).alias("row_index"),

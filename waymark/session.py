@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[tuple[str, str]] = set()
 
@@ -83,3 +84,14 @@ def scratch_directory(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder all workers share.")
     return tempfile.mkdtemp(prefix="waymark-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Steps after it start from the file: what is before runs once, and a lost
+    executor costs only its own tasks.
+    """
+    path = f"{scratch_directory(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -254,7 +254,7 @@ lf AS (
 {_correlation_result()} UNION ALL {_auc_result()}"""
 )
 def sampled_feature_ranking(spark, sf_dir):
-    """The default analysis: about 500 rows of complete, randomly picked tracks."""
+    """About 500 rows of complete, randomly picked tracks."""
     return analyze_features(
         event_points(spark, sf_dir),
         ["value", "k"],
@@ -262,6 +262,7 @@ def sampled_feature_ranking(spark, sf_dir):
         label="label",
         positive="matched",
         columns=POINTS,
+        sample_size=500,
         group="track_id",
     )
 

@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 
 from waymark.functions.ranges import RangeFilter, ValueFilter
 from waymark.operators import points as ops
-from waymark.operators.rollup import active_frame
+from waymark.operators.rollup import active_frame, aggregate_tracks
 from waymark.session import scratch_directory
 from waymark.sources.files import export_csv, export_parquet, load_points, number_rows
 
-from .registry import EV, LINE_FEATURES, POINTS, event_points, line_items, query, table
+from .registry import (
+    EV,
+    GAPS,
+    LINE_FEATURES,
+    POINTS,
+    event_points,
+    gap_points,
+    line_items,
+    query,
+    table,
+)
 
 STRONG = [RangeFilter("value", lower=240.0)]
 
@@ -190,3 +200,27 @@ def export_roundtrip_parquet(spark, sf_dir):
     path = f"{scratch_directory(spark)}/selection-{uuid4().hex}.parquet"
     export_parquet(_selection(spark, sf_dir), path, row="row_id")
     return load_points(spark, path)
+
+
+@query("SELECT doc_id, text FROM documents")
+def export_roundtrip_csv_texts(spark, sf_dir):
+    """Texts with quotes, commas and line breaks keep every character."""
+    path = f"{scratch_directory(spark)}/texts-{uuid4().hex}.csv"
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    export_csv(texts, path)
+    return load_points(spark, path, schema=texts.schema, multiline=True)
+
+
+@query(f"""WITH {GAPS} SELECT track_id, count(*) AS track_length,
+  coalesce(round(max(value) FILTER (WHERE NOT isnan(value)), 6), max(value)) AS value_max,
+  round(min(value), 6) AS value_min FROM gp GROUP BY track_id""")
+def gap_rollup(spark, sf_dir):
+    """NaN is not the largest value of a track that has others."""
+    points = gap_points(spark, sf_dir).select("row_id", "track_id", "value")
+    return aggregate_tracks(points, POINTS, methods=["max", "min"])
+
+
+@query(f"""WITH {GAPS} SELECT 'value' AS feature, round(min(value), 6) AS lower,
+  round(max(value) FILTER (WHERE NOT isnan(value)), 6) AS upper FROM gp""")
+def gap_bounds(spark, sf_dir):
+    return ops.filter_bounds(gap_points(spark, sf_dir), ["value"])

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from waymark.functions.ranges import RangeRule
 from waymark.functions.scores import with_model_path
 from waymark.operators import confirm
 from waymark.operators.evaluators import batch_evaluator, row_evaluator
-from waymark.plans.comparison import compare
-from waymark.sources.models import LinearModel, ModelSpec, OnnxModel
+from waymark.plans.comparison import compare, trigger_points
+from waymark.sources.models import LinearModel, ModelSpec
 
 from .registry import EV, POINTS, event_points, query
 
 LINEAR = ModelSpec("linear", LinearModel([0.02, -0.05], -0.5), ("value", "k"))
-ONNX_FILE = Path(__file__).with_name("linear_score.onnx")
 
 
 @query(f"""WITH {EV}, sc AS (
@@ -41,16 +39,6 @@ def callable_model_path(spark, sf_dir):
     return scored.select("row_id", "capped_path_score", "capped_path")
 
 
-# The artifact computes in single precision, so only the decision is compared.
-@query(f"""WITH {EV}, sc AS (
-  SELECT row_id, 1 / (1 + exp(-(0.02 * value - 0.05 * k - 0.5))) AS s FROM ev)
-SELECT row_id, CAST(s >= 0.4 AS TINYINT) AS onnx_path FROM sc""")
-def onnx_model_path(spark, sf_dir):
-    spec = ModelSpec("onnx", OnnxModel(ONNX_FILE), ("value", "k"))
-    scored = with_model_path(event_points(spark, sf_dir), "onnx_path", spec, 0.4)
-    return scored.select("row_id", "onnx_path")
-
-
 @query(f"""WITH {EV} SELECT row_id, CAST(value >= 100 OR k <= 2 AS TINYINT) AS manual
 FROM ev""")
 def python_row_evaluator(spark, sf_dir):
@@ -118,3 +106,25 @@ def evaluator_comparison(spark, sf_dir):
     return result.first_times.select(
         "track_id", "label", confirm.DEFAULT_TIME, confirm.CANDIDATE_TIME
     )
+
+
+@query(f"""WITH {EV} SELECT row_id, round(value, 6) AS value,
+  CAST(value >= 150 AS TINYINT) AS strong, value >= 150 AS default_triggered,
+  value >= 150 OR value >= 300 AS candidate_triggered FROM ev""")
+def evaluator_paths_joined(spark, sf_dir):
+    """Logic that overwrites an input column: only its path reaches the points."""
+
+    def evaluator(section, points):
+        fired = F.col("value") >= section["level"]
+        return points.withColumn("strong", fired).withColumn("value", F.lit(0.0))
+
+    result = trigger_points(
+        event_points(spark, sf_dir),
+        {"dynamic_specific": {"track_qa_config": {"level": 150}}},
+        evaluator=evaluator,
+        rules=[RangeRule("high", "value", minimum=300.0)],
+        columns=POINTS,
+    )
+    return result.points.select(
+        "row_id", "value", "strong", "default_triggered", "candidate_triggered"
+    )

@@ -2,8 +2,6 @@ import pytest
 from oracle import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
-from waymark.operators import ordering, rollup, skew
-from waymark.plans import comparison
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = queries(), oracle_sql()
@@ -21,44 +19,6 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert differences(QUERIES[name](spark, SF), duck, ORACLES[name]) == ""
 
 
-BUCKETED = [
-    "document_quality_ranking",
-    "ecdf",
-    "ecdf_by_group",
-    "feature_ranking",
-    "first_confirmation_cdf",
-    "first_confirmation_summary",
-    "mutual_information",
-    "permutation_importance",
-    "shap_beeswarm",
-    "univariate_auc",
-    "univariate_auc_wide",
-]
-
-
-@pytest.mark.parametrize("name", BUCKETED)
-def test_bucketed_plan_agrees_with_sql(spark, duck, name, monkeypatch):
-    """The plan of large tables, which these tables are too small to choose."""
-    plain = ordering.bucket_cuts
-    monkeypatch.setattr(
-        ordering, "bucket_cuts", lambda df, value, **_: plain(df, value, one_task_rows=0)
-    )
-    assert differences(QUERIES[name](spark, SF), duck, ORACLES[name]) == ""
-
-
-@pytest.mark.parametrize("name", ["label_selected_tracks", "complete_matching_tracks", "track_rollup", "group_sample", "label_summary"])
-def test_salted_plan_agrees_with_sql(spark, duck, name, monkeypatch):
-    """Every track with more than 5 rows is treated as hot."""
-    plain = skew.hot_keys
-
-    def low(df, key, *, rows=None, hot_rows=None):
-        return plain(df, key, rows=rows, hot_rows=5)
-
-    for module in (skew, rollup, comparison):
-        monkeypatch.setattr(module, "hot_keys", low)
-    assert differences(QUERIES[name](spark, SF), duck, ORACLES[name]) == ""
-
-
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_twin_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

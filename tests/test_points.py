@@ -1,6 +1,3 @@
-import random
-import statistics
-
 import pytest
 from frames import column, filters_small, frame, tracks_small
 
@@ -106,36 +103,14 @@ def test_rollup_null_handling(spark):
     assert one["label"] == "late" and two["label"] is None
 
 
-def test_hot_tracks_get_the_same_medians(spark):
-    rng = random.Random(3)
-    data = [(1, rng.choice([rng.random(), 0.5])) for _ in range(300)]
-    data += [(2, rng.random()) for _ in range(151)]
-    data += [(t, rng.random()) for t in range(3, 20)] + [(None, 1.0)]
-    points = frame(spark, "track_id long, x double", data)
-    plain = aggregate_tracks(points, methods=["median", "mean", "first"])
-    split = aggregate_tracks(points, methods=["median", "mean", "first"], hot_rows=100)
-    assert plain.columns == split.columns
-
-    def comparable(df):
-        return sorted(
-            (str(r.track_id), r.track_length, round(r.x_median, 12), round(r.x_mean, 9), r.x_first)
-            for r in df.collect()
-        )
-
-    assert comparable(plain) == comparable(split)
-    expected = statistics.median(x for t, x in data if t == 1)
-    assert {r.track_id: r.x_median for r in split.collect()}[1] == pytest.approx(expected)
-
-
 def test_label_rows_and_tracks(spark):
     points = tracks_small(spark)
     picked = ops.filter_points(points, [RangeFilter("snr", 3.0, 3.0)])
     by_row = ops.label_selection(points, picked, " review ", "good")
     assert column(by_row, "review") == [None, "good", None, None]
     track = spark.createDataFrame([(2,)], "track_id long")
-    for limit in (1_000, 1):  # plain join, then salted join
-        by_track = ops.label_selection(points, track, "label", "x", hot_rows=limit)
-        assert column(by_track, "label") == ["a", "a", "x", "x"]
+    by_track = ops.label_selection(points, track, "label", "x")
+    assert column(by_track, "label") == ["a", "a", "x", "x"]
     for name, text in [("", "Enter"), ("track_id", "reserved"), (ROW_ID, "reserved"), ("snr", "strings")]:
         with pytest.raises(ValueError, match=text):
             ops.label_selection(points, picked, name, "good")
@@ -152,15 +127,6 @@ def test_row_selection_and_summary(spark):
     assert ops.selection_summary(points.limit(0)).first().asDict() == {"rows": 0, "tracks": 0}
 
 
-def test_matching_tracks_salted(spark):
-    data = [(1, float(i)) for i in range(50)] + [(2, 1.0), (None, 49.0)]
-    points = frame(spark, "track_id long, x double", data)
-    over = [RangeFilter("x", 40)]
-    plain = ops.matching_tracks(points, over)
-    salted = ops.matching_tracks(points, over, Columns(), hot_rows=10)
-    assert plain.count() == salted.count() == 50
-
-
 def test_binary_violations(spark):
     df = spark.createDataFrame(
         [(0, 2, None, True), (1, 0, None, False), (None, 1, None, None)],
@@ -168,3 +134,20 @@ def test_binary_violations(spark):
     )
     assert ops.binary_violations(df, df.columns) == ["bad"]
     assert ops.binary_violations(df, []) == []
+
+
+def test_nan_is_no_largest_value(spark):
+    nan = float("nan")
+    points = frame(spark, "track_id long, x double, k int", [(1, 2.0, 1), (1, nan, 3), (2, nan, None), (2, None, 2)])
+    rolled = aggregate_tracks(points, methods=["max", "median"]).orderBy("track_id").collect()
+    assert [(r.x_max if r.x_max == r.x_max else "nan", r.k_max) for r in rolled] == [(2.0, 3), ("nan", 2)]
+    bounds = {r.feature: (r.lower, r.upper) for r in ops.filter_bounds(points, ["x", "k"]).collect()}
+    assert bounds == {"x": (1.0, 3.0), "k": (1.0, 3.0)}
+
+
+def test_medians_of_all_tracks(spark):
+    rows = [(t % 7 if t % 11 else None, float(t * 37 % 101) if t % 5 else None) for t in range(300)]
+    points = frame(spark, "track_id long, x double", rows)
+    plain = points.groupBy("track_id").agg({"x": "median"}).collect()
+    found = aggregate_tracks(points, methods=["median"])
+    assert {(r.track_id, r.x_median) for r in found.collect()} == {tuple(r) for r in plain}

@@ -34,25 +34,24 @@ def test_histogram_counts_every_row_once(spark):
 
 def test_ecdf_matches_brute_force(spark):
     points, data = skewed(spark)
-    for limit in (10_000, 0):
-        overall = {r.x: (r.rows, r.ecdf) for r in ecdf(points, "x", one_task_rows=limit).collect()}
-        values = sorted(x for _, x, _ in data)
-        assert sum(n for n, _ in overall.values()) == len(data)
-        assert all(
-            share == pytest.approx(bisect_right(values, x) / len(values))
-            for x, (_, share) in overall.items()
-        )
-        grouped = ecdf(points, "x", group="g", one_task_rows=limit).collect()
-        for name in "ab":
-            values = sorted(x for _, x, g in data if g == name)
-            mine = [r for r in grouped if r.g == name]
-            assert len(mine) == len(set(values))
-            assert all(r.ecdf == pytest.approx(bisect_right(values, r.x) / len(values)) for r in mine)
+    overall = {r.x: (r.rows, r.ecdf) for r in ecdf(points, "x").collect()}
+    values = sorted(x for _, x, _ in data)
+    assert sum(n for n, _ in overall.values()) == len(data)
+    assert all(
+        share == pytest.approx(bisect_right(values, x) / len(values))
+        for x, (_, share) in overall.items()
+    )
+    grouped = ecdf(points, "x", group="g").collect()
+    for name in "ab":
+        values = sorted(x for _, x, g in data if g == name)
+        mine = [r for r in grouped if r.g == name]
+        assert len(mine) == len(set(values))
+        assert all(r.ecdf == pytest.approx(bisect_right(values, r.x) / len(values)) for r in mine)
 
 
 def test_buckets_are_monotone_and_balanced(spark):
     points, data = skewed(spark, 8000)
-    cuts = bucket_cuts(points, "x", one_task_rows=0)
+    cuts = bucket_cuts(points, "x")
     assert cuts == sorted(set(cuts)) and len(cuts) >= 8
     placed = points.select("x", bucket_of(F.col("x"), cuts).alias("b")).collect()
     assert all(r.b == bisect_right(cuts, r.x) for r in placed)
@@ -60,7 +59,7 @@ def test_buckets_are_monotone_and_balanced(spark):
     sizes = [r["count"] for r in distinct.groupBy("b").count().collect()]
     assert max(sizes) < 4 * sum(sizes) / len(cuts)
     whole = spark.range(5000)
-    cuts = bucket_cuts(whole, "id", one_task_rows=0)
+    cuts = bucket_cuts(whole, "id")
     assert all(isinstance(cut, int) for cut in cuts)
     placed = whole.select("id", bucket_of(F.col("id"), cuts).alias("b")).collect()
     assert all(r.b == bisect_right(cuts, r.id) for r in placed)
@@ -69,10 +68,9 @@ def test_buckets_are_monotone_and_balanced(spark):
 def test_cumulative_counts_with_null_group_and_nan(spark):
     nan = float("nan")
     points = frame(spark, "g string, x double", [(None, 1.0), (None, nan), ("a", nan), ("a", nan), (None, 2.0)])
-    for limit in (100, 0):
-        found = cumulative_counts(points, ["g"], "x", {"n": F.lit(1)}, one_task_rows=limit).collect()
-        shown = sorted((str(r.g), str(r.x), r.n, r.n_upto, r.n_total) for r in found)
-        assert shown == [("None", "1.0", 1, 1, 3), ("None", "2.0", 1, 2, 3), ("None", "nan", 1, 3, 3), ("a", "nan", 2, 2, 2)]
+    found = cumulative_counts(points, ["g"], "x", {"n": F.lit(1)}).collect()
+    shown = sorted((str(r.g), str(r.x), r.n, r.n_upto, r.n_total) for r in found)
+    assert shown == [("None", "1.0", 1, 1, 3), ("None", "2.0", 1, 2, 3), ("None", "nan", 1, 3, 3), ("a", "nan", 2, 2, 2)]
 
 
 def test_hash_ranks_are_dense(spark):
@@ -95,10 +93,9 @@ def test_samples(spark):
     picked = sampling.picked_groups(points, "track_id", 100).collect()
     assert sum(r.rows for r in picked) >= 100
     assert sum(r.rows for r in picked) - min(r.rows for r in picked) < 100
-    for limit in (10_000, 10):
-        whole = sampling.group_sample(points, "track_id", 100, hot_rows=limit)
-        sizes = {r.track_id: r["count"] for r in whole.groupBy("track_id").count().collect()}
-        assert sizes == {r.track_id: r.rows for r in picked}
+    whole = sampling.group_sample(points, "track_id", 100)
+    sizes = {r.track_id: r["count"] for r in whole.groupBy("track_id").count().collect()}
+    assert sizes == {r.track_id: r.rows for r in picked}
     assert sampling.group_sample(points, "track_id", 600).count() == 600
     assert sampling.sample_rows(points, 10, group="nope").count() == 10
     assert [r["__row_id"] for r in sampling.background_rows(points, limit=3).collect()] == [0, 1, 2]

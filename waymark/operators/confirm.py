@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 
 from ..columns import Columns
 from .ordering import (
-    ONE_TASK_ROWS,
     cumulative_counts,
     median_of,
     nearest_index,
     value_at,
 )
 from .rollup import first_known
-from .skew import hot_keys, lookup_join
 
 DEFAULT_TIME = "default_first_confirmation_time"
 CANDIDATE_TIME = "candidate_first_confirmation_time"
@@ -45,7 +43,7 @@ def track_cells(
         F.min(F.when(F.col("default_triggered"), time)).alias(DEFAULT_TIME),
         F.min(F.when(F.col("candidate_triggered"), time)).alias(CANDIDATE_TIME),
         *[
-            F.coalesce(F.sum((F.col(column) == 1).cast("long")), F.lit(0)).alias(
+            F.coalesce(F.sum((F.col(column).cast("tinyint") == 1).cast("long")), F.lit(0)).alias(
                 f"hits_{i}"
             )
             for i, (_, _, column) in enumerate(paths)
@@ -70,16 +68,10 @@ def first_confirmation_times(
     )
 
 
-def hot_tracks(cells: DataFrame, columns: Columns = Columns(), **options) -> list:
-    return hot_keys(cells, columns.track, rows=F.col("rows"), **options)
-
-
 def latch_points(
     points: DataFrame,
     first_times: DataFrame,
     columns: Columns = Columns(),
-    *,
-    hot: Sequence | None = None,
 ) -> DataFrame:
     """Mark every row at or after the first confirmation of its track.
 
@@ -88,9 +80,7 @@ def latch_points(
     lookup = first_times.select(
         columns.track, DEFAULT_TIME, CANDIDATE_TIME, "newly_confirmed_track"
     )
-    joined = lookup_join(
-        points, lookup, columns.track, "left", spread=[columns.row], hot=hot
-    )
+    joined = points.join(lookup, columns.track, "left")
 
     def reached(first: str) -> Column:
         return F.col(first).isNotNull() & (F.col(columns.time) >= F.col(first))
@@ -329,8 +319,6 @@ def timing_slices(
 def first_confirmation_summary(
     first_times: DataFrame,
     columns: Columns = Columns(),
-    *,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Count, range, nearest-rank quantiles, median and mean by cohort and logic."""
     value = "first_confirmation_time"
@@ -339,7 +327,6 @@ def first_confirmation_summary(
         ["logic", "cohort"],
         value,
         {"n": F.lit(1)},
-        one_task_rows=one_task_rows,
     )
     total = F.col("n_total")
 
@@ -366,8 +353,6 @@ def first_confirmation_summary(
 def first_confirmation_cdf(
     first_times: DataFrame,
     columns: Columns = Columns(),
-    *,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Cumulative share of confirmed tracks per logic, one row per distinct time."""
     running = cumulative_counts(
@@ -375,7 +360,6 @@ def first_confirmation_cdf(
         ["logic"],
         "first_confirmation_time",
         {"n": F.lit(1)},
-        one_task_rows=one_task_rows,
     )
     return running.select(
         "logic",

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..columns import Columns
 from ..functions.scores import LOGIT_LIMIT, share
-from .ordering import ONE_TASK_ROWS
 from .ranking import INCREMENTAL_AUC, TARGET, class_counts, direction, method_rows, score_auc
 from .sampling import fold_count, stratified_folds
 
@@ -195,7 +194,6 @@ def cross_validated_auc(
     columns: Columns = Columns(),
     *,
     seed: int = 7,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> list[float]:
     """Pooled out-of-fold AUC of each feature set; an empty set scores 0.5."""
     folds = fold_count(*class_counts(frame))
@@ -207,7 +205,7 @@ def cross_validated_auc(
         models = [FoldModel(held, used) for used in wanted for held in range(folds)]
         fit_models(rows, features, models, means, scales)
         scored = out_of_fold_scores(rows, features, models, means, scales, wanted)
-        found = score_auc(scored, "set", "score", one_task_rows=one_task_rows)
+        found = score_auc(scored, "set", "score")
         by_set = {row.set: row.score for row in found.collect()} if wanted else {}
     finally:
         rows.unpersist()
@@ -221,13 +219,12 @@ def incremental_auc(
     columns: Columns = Columns(),
     *,
     seed: int = 7,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """AUC of all features minus AUC without the one in question."""
     every = list(range(len(features)))
     sets = [every, *[[i for i in every if i != left_out] for left_out in every]]
     full, *reduced = cross_validated_auc(
-        frame, features, sets, columns, seed=seed, one_task_rows=one_task_rows
+        frame, features, sets, columns, seed=seed
     )
     gains = [(name, full - auc) for name, auc in zip(features, reduced, strict=True)]
     scores = frame.sparkSession.createDataFrame(gains, "feature string, score double")

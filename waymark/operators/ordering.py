@@ -20,27 +20,33 @@ from pyspark.sql.window import Window
 BUCKET = "__bucket"
 _CELL = "__cell"
 
-# Up to this many input rows one sorted task per group is cheaper than an
-# offset join.
-ONE_TASK_ROWS = 500_000
-MAX_BUCKETS = 4096
+#: Rows that one bucket should hold; the number of buckets follows the table.
+BUCKET_ROWS = 1_000_000
+LEAST_BUCKETS = 16
 _SKETCH_SHARDS = 64
 LARGEST_LONG = 2**63 - 1
 
 
-def bucket_cuts(
-    df: DataFrame, value: str, *, one_task_rows: int = ONE_TASK_ROWS
-) -> list:
-    """Return sorted cut points of ``value``, empty if the table is small.
+def bucket_cuts(df: DataFrame, value: str) -> list:
+    """Return sorted cut points of ``value``, as many as the rows ask for.
 
     The quantile sketches are merged in up to 64 tasks, then the driver merges
-    64 arrays of at most 4,095 numbers: a fixed bound at any table size.
+    64 arrays of one number a bucket. A table whose rows ask for more buckets
+    than the first sketch has is sketched once more.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Several buckets per task even out what hashing them to tasks leaves uneven.
-    buckets = max(16, min(MAX_BUCKETS, 4 * partitions))
+    buckets = LEAST_BUCKETS
+    while True:
+        sketches = _quantile_sketches(df, value, buckets)
+        total = sum(row.rows for row in sketches)
+        wanted = -(-total // BUCKET_ROWS)
+        if wanted <= buckets:
+            return _merged_cuts(sketches, buckets)
+        buckets = wanted
+
+
+def _quantile_sketches(df: DataFrame, value: str, buckets: int) -> list:
     shares = [step / buckets for step in range(1, buckets)]
-    sketches = (
+    return (
         df.select(value, (F.spark_partition_id() % _SKETCH_SHARDS).alias("shard"))
         .groupBy("shard")
         .agg(
@@ -50,9 +56,9 @@ def bucket_cuts(
         .select("rows", "quantiles")
         .collect()
     )
-    total = sum(row.rows for row in sketches)
-    if total <= one_task_rows:
-        return []
+
+
+def _merged_cuts(sketches: list, buckets: int) -> list:
     weighted = sorted(
         (quantile, row.rows / len(row.quantiles))
         for row in sketches
@@ -104,8 +110,6 @@ def cumulative_counts(
     groups: Sequence[str],
     value: str,
     weights: Mapping[str, Column],
-    *,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """One row per (groups, value) with running and total weights per group.
 
@@ -115,12 +119,12 @@ def cumulative_counts(
     """
     if isinstance(df.schema[value].dataType, T.DecimalType):
         df = df.withColumn(value, F.col(value).cast("double"))
-    cuts = bucket_cuts(df, value, one_task_rows=one_task_rows)
+    cuts = bucket_cuts(df, value)
     counts = df.groupBy(*groups, value).agg(
         *[F.sum(weight).alias(name) for name, weight in weights.items()]
     )
     counts = counts.withColumn(BUCKET, bucket_of(F.col(value), cuts))
-    return _running(counts, groups, [value], list(weights), single=not cuts)
+    return _running(counts, groups, [value], list(weights))
 
 
 def hash_ranks(
@@ -131,17 +135,20 @@ def hash_ranks(
     *,
     rank: str,
     total: str | None = None,
-    hex_digits: int = 3,
 ) -> DataFrame:
     """Add the 1-based rank of an md5 hex column within each group.
 
     The leading hex digits of a hash are uniform, so they are the buckets and
-    no quantile pass is needed.
+    no quantile pass is needed. The row count tells how many digits it takes.
     """
+    hex_digits = 1
+    rows = df.count()
+    while 16**hex_digits * BUCKET_ROWS < rows:
+        hex_digits += 1
     keyed = df.withColumn("__order", order).withColumn(
         BUCKET, F.substring("__order", 1, hex_digits)
     ).withColumn(rank, F.lit(1).cast("long"))
-    ranked = _running(keyed, groups, ["__order", tie_breaker], [rank], single=False)
+    ranked = _running(keyed, groups, ["__order", tie_breaker], [rank])
     ranked = ranked.withColumn(rank, F.col(f"{rank}_upto"))
     if total is not None:
         ranked = ranked.withColumn(total, F.col(f"{rank}_total"))
@@ -153,8 +160,6 @@ def _running(
     groups: Sequence[str],
     order: Sequence[str],
     weights: Sequence[str],
-    *,
-    single: bool,
 ) -> DataFrame:
     # A struct is never NULL and compares NULL groups as equal. Using it as the
     # key of the window and of the join lets both share one exchange.
@@ -167,14 +172,6 @@ def _running(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     upto = {w: F.sum(w).over(inside) for w in weights}
-    if single:
-        whole = Window.partitionBy(_CELL)
-        return celled.select(
-            *kept,
-            *[column.alias(f"{w}_upto") for w, column in upto.items()],
-            *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights],
-        )
-
     # At most one row per group and bucket.
     per_cell = celled.groupBy(_CELL).agg(*[F.sum(w).alias(w) for w in weights])
     group = [F.col(f"{_CELL}.g{i}") for i in range(len(groups))]

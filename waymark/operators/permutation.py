@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..columns import Columns
 from ..functions.scores import score_column
 from ..sources.models import ModelSpec
-from .ordering import ONE_TASK_ROWS, hash_ranks
+from .ordering import hash_ranks
 from .ranking import PERMUTATION, TARGET, direction, method_rows, score_auc
 from .sampling import shuffle_key
 
@@ -62,7 +62,6 @@ def permutation_importance(
     columns: Columns = Columns(),
     *,
     seed: int = 7,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Baseline AUC minus the AUC with the feature shuffled, for all features."""
     inputs = list(spec.features)
@@ -80,7 +79,7 @@ def permutation_importance(
         TARGET, "feature", score_column(spec, copies, replaced).alias("score")
     )
     auc = score_auc(
-        baseline.unionByName(shuffled), "feature", "score", one_task_rows=one_task_rows
+        baseline.unionByName(shuffled), "feature", "score"
     )
     # One row per feature: the baseline is spread over them.
     merged = auc.agg(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..columns import Columns, is_numeric, require_columns
-from .ordering import ONE_TASK_ROWS, cumulative_counts, median_of
+from .ordering import cumulative_counts, median_of
 
 # Method names as they appear in results.
 CORRELATION = "Point-biserial correlation"
@@ -26,8 +26,6 @@ METHODS = (
 
 TARGET = "__target"
 MAX_INFORMATION_BINS = 10
-# Up to this many columns all pairs fit into one generated aggregate.
-EXPRESSION_MATRIX_COLUMNS = 10
 
 
 def require_numeric(points: DataFrame, features: Sequence[str]) -> None:
@@ -38,32 +36,24 @@ def require_numeric(points: DataFrame, features: Sequence[str]) -> None:
 
 
 def feature_medians(
-    points: DataFrame, features: Sequence[str], *, one_task_rows: int = ONE_TASK_ROWS
+    points: DataFrame, features: Sequence[str]
 ) -> dict[str, float]:
     """Exact median per feature, 0.0 where a feature has no value at all.
 
-    NaN counts as the largest value. A short table uses the built-in median;
-    beyond that the built-in would hold every distinct value in one task, so
-    bucketed counts take over.
+    NaN counts as the largest value. The built-in median would hold every
+    distinct value in one task; bucketed counts do not.
     """
     if not features:
         return {}
-    if points.count() * len(features) <= one_task_rows:
-        row = points.agg(
-            *[F.median(name).cast("double").alias(f"m{i}") for i, name in enumerate(features)]
-        ).first()
-        found = {name: row[f"m{i}"] for i, name in enumerate(features)}
-    else:
-        running = cumulative_counts(
-            long_features(points, features).filter(F.col("value").isNotNull()),
-            ["feature"],
-            "value",
-            {"n": F.lit(1)},
-            one_task_rows=one_task_rows,
-        )
-        medians = running.groupBy("feature").agg(median_of("value", "n").alias("m"))
-        # One row per feature.
-        found = {row.feature: row.m for row in medians.collect()}
+    running = cumulative_counts(
+        long_features(points, features).filter(F.col("value").isNotNull()),
+        ["feature"],
+        "value",
+        {"n": F.lit(1)},
+    )
+    medians = running.groupBy("feature").agg(median_of("value", "n").alias("m"))
+    # One row per feature.
+    found = {row.feature: row.m for row in medians.collect()}
     return {name: 0.0 if found.get(name) is None else found[name] for name in features}
 
 
@@ -72,7 +62,6 @@ def imputed(
     features: Sequence[str],
     *,
     keep: Sequence[str] = (),
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Features as doubles with NULL and NaN replaced by the column median.
 
@@ -80,7 +69,7 @@ def imputed(
     """
     require_numeric(points, features)
     gaps = points.agg(*_gap_counts(features)).first()
-    return _filled(points, features, gaps, keep, one_task_rows)
+    return _filled(points, features, gaps, keep)
 
 
 def _gap_counts(features: Sequence[str]) -> list[Column]:
@@ -96,10 +85,9 @@ def _filled(
     features: Sequence[str],
     gaps: Row,
     keep: Sequence[str],
-    one_task_rows: int,
 ) -> DataFrame:
     incomplete = [name for i, name in enumerate(features) if gaps[f"gap_{i}"]]
-    medians = feature_medians(points, incomplete, one_task_rows=one_task_rows)
+    medians = feature_medians(points, incomplete)
     filled = []
     for name in features:
         number = F.col(name).cast("double")
@@ -133,8 +121,6 @@ def labelled_features(
     label: str,
     positive: object,
     columns: Columns = Columns(),
-    *,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Imputed features with the 0/1 target; rows without a label are dropped.
 
@@ -149,7 +135,7 @@ def labelled_features(
     counts = known.agg(*_class_counts(TARGET), *_gap_counts(features)).first()
     if not counts.positives or not counts.negatives:
         raise ValueError("Feature analysis requires both matched and false measurements.")
-    return _filled(known, features, counts, keep, one_task_rows)
+    return _filled(known, features, counts, keep)
 
 
 def long_features(
@@ -223,9 +209,9 @@ def correlation_matrix(
 ) -> DataFrame:
     """All pairs of features and the label indicator: ``row, column, correlation``.
 
-    Missing values are dropped pair by pair. A narrow matrix without gaps is
-    one generated aggregate of sums; others are summed as per-partition matrix
-    products. Both subtract the column means first, so that the sums stay small.
+    Missing values are dropped pair by pair. Sums are per-partition matrix
+    products of what is left after subtracting the column means, so they stay
+    small.
     """
     require_numeric(points, features)
     indicator = f"{label} = {positive}"
@@ -236,17 +222,10 @@ def correlation_matrix(
         binary_target(label, positive).cast("double").alias(f"c{len(features)}"),
     )
     stats = frame.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.avg(name).alias(f"{name}_mean") for name in frame.columns],
-        *[F.count(name).alias(f"{name}_known") for name in frame.columns],
+        *[F.avg(name).alias(f"{name}_mean") for name in frame.columns]
     ).first()
     means = [stats[f"{name}_mean"] or 0.0 for name in frame.columns]
-    complete = all(stats[f"{name}_known"] == stats.rows for name in frame.columns)
-    if complete and len(names) <= EXPRESSION_MATRIX_COLUMNS:
-        sums = _sums_from_expressions(frame, means)
-    else:
-        sums = _sums_from_products(frame, means)
-    upper = _correlations(sums)
+    upper = _correlations(_sums_from_products(frame, means))
     mirrored = upper.select(
         "correlation",
         F.explode(
@@ -275,36 +254,6 @@ def matrix_labels(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("display_value", shown)
 
 
-def _sums_from_expressions(frame: DataFrame, means: Sequence[float]) -> DataFrame:
-    centered = [F.col(n) - F.lit(float(m)) for n, m in zip(frame.columns, means)]
-    size = len(centered)
-    # Every product once; the table is then read off the one row of sums.
-    totals = frame.agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.sum(centered[i]).alias(f"t{i}") for i in range(size)],
-        *[
-            F.sum(centered[i] * centered[j]).alias(f"p{i}_{j}")
-            for i in range(size)
-            for j in range(i, size)
-        ],
-    )
-    cells = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.lit(j).alias("j"),
-            F.col("n").alias("s0"),
-            F.col(f"t{i}").alias("s1"),
-            F.col(f"t{j}").alias("s2"),
-            F.col(f"p{i}_{i}").alias("s3"),
-            F.col(f"p{j}_{j}").alias("s4"),
-            F.col(f"p{i}_{j}").alias("s5"),
-        )
-        for i in range(size)
-        for j in range(i, size)
-    ]
-    return totals.select(F.inline(F.array(*cells)))
-
-
 def _sums_from_products(frame: DataFrame, means: Sequence[float]) -> DataFrame:
     shift = np.array(means, dtype=float)
     upper_i, upper_j = np.triu_indices(len(shift))
@@ -345,8 +294,6 @@ def class_profile(
     frame: DataFrame,
     features: Sequence[str],
     target: str = TARGET,
-    *,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Cumulative positive and negative counts per feature value.
 
@@ -359,7 +306,6 @@ def class_profile(
         ["feature"],
         "value",
         {"pos": hit, "neg": F.lit(1) - hit},
-        one_task_rows=one_task_rows,
     )
 
 
@@ -417,8 +363,6 @@ def score_auc(
     group: str,
     score: str,
     target: str = TARGET,
-    *,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """ROC AUC of a score column per group: ``group, score``."""
     hit = F.col(target).cast("long")
@@ -427,7 +371,6 @@ def score_auc(
         [group],
         score,
         {"pos": hit, "neg": F.lit(1) - hit},
-        one_task_rows=one_task_rows,
     )
     return grouped_auc(profile, group)
 

@@ -11,7 +11,12 @@ from ..columns import Columns, categorical_columns, numeric_columns
 from ..functions.ranges import RangeFilter, ValueFilter, conjunction
 from .ordering import cumulative_counts, median_of
 from .points import filter_points
-from .skew import HOT_ROWS, hot_keys
+
+
+def largest(value: Column) -> Column:
+    """Aggregate: the largest value that is not NaN; NaN only if all are."""
+    return F.coalesce(F.max(F.when(~F.isnan(value.cast("double")), value)), F.max(value))
+
 
 # name -> expression over (value column, row order column). Entries added here
 # become available to every roll-up.
@@ -19,7 +24,7 @@ AGGREGATIONS: dict[str, Callable[[Column, Column], Column]] = {
     "mean": lambda value, row: F.avg(value),
     "median": lambda value, row: F.median(value),
     "min": lambda value, row: F.min(value),
-    "max": lambda value, row: F.max(value),
+    "max": lambda value, row: largest(value),
     "std": lambda value, row: F.stddev_samp(value),
     "sum": lambda value, row: F.coalesce(F.sum(value), F.lit(0)),
     "first": lambda value, row: F.min_by(value, row),
@@ -36,7 +41,6 @@ def aggregate_tracks(
     included: Iterable[str] | None = None,
     excluded: Iterable[str] = (),
     keep: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Return ``track, track_length, {column}_{method}..., categoricals...``.
 
@@ -58,36 +62,33 @@ def aggregate_tracks(
         wanted = {name: m for name, m in wanted.items() if name in chosen}
     carried = categorical_columns(points, {columns.track, columns.row})
 
-    # An exact median keeps a value map per track; very long tracks get theirs
-    # from bucketed counts instead.
-    medians = [name for name, chosen in wanted.items() if "median" in chosen]
-    hot = hot_keys(points, columns.track, hot_rows=hot_rows) if medians else []
-
-    if not hot:
-        return _aggregate(points, columns, wanted, carried, keep)
-
-    is_hot = F.coalesce(F.col(columns.track).isin(hot), F.lit(False))
-    regular = _aggregate(points.filter(~is_hot), columns, wanted, carried, keep)
-    long_points = points.filter(is_hot)
+    # A built-in exact median keeps a value map per track; counts per track and
+    # value are bounded however long a track is.
     simple = {
         name: [method for method in chosen if method != "median"]
         for name, chosen in wanted.items()
     }
-    long_tracks = _aggregate(long_points, columns, simple, carried, keep)
-    for name in medians:
-        found = (
-            cumulative_counts(
-                long_points.filter(F.col(name).isNotNull()),
-                [columns.track],
-                name,
-                {"n": F.lit(1)},
+    rolled = _aggregate(points, columns, simple, carried, keep)
+    for name, chosen in wanted.items():
+        if "median" in chosen:
+            found = (
+                cumulative_counts(
+                    points.filter(F.col(name).isNotNull()),
+                    [columns.track],
+                    name,
+                    {"n": F.lit(1)},
+                )
+                .groupBy(F.col(columns.track).alias("__track"))
+                .agg(median_of(name, "n").alias(f"{name}_median"))
             )
-            .groupBy(columns.track)
-            .agg(median_of(name, "n").alias(f"{name}_median"))
-        )
-        # At most HOT_KEYS rows on both sides.
-        long_tracks = long_tracks.join(found, columns.track, "left")
-    return regular.unionByName(long_tracks.select(*regular.columns))
+            same = F.col(columns.track).eqNullSafe(F.col("__track"))
+            rolled = rolled.join(found, same, "left").drop("__track")
+    return rolled.select(
+        columns.track,
+        "track_length",
+        *[f"{name}_{method}" for name, chosen in wanted.items() for method in chosen],
+        *carried,
+    )
 
 
 def _aggregate(
@@ -130,7 +131,6 @@ def active_frame(
     level: str = "Point",
     methods_by_column: Mapping[str, Iterable[str]] | None = None,
     excluded: Iterable[str] = ("frame", "time"),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Filtered rows, or the roll-up of complete tracks with a passing row."""
     filters = list(filters)
@@ -147,5 +147,4 @@ def active_frame(
         included=chosen,
         excluded=excluded,
         keep=F.lit(True) if wanted is None else wanted,
-        hot_rows=hot_rows,
     )

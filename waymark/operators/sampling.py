@@ -12,9 +12,7 @@ from pyspark.sql.window import Window
 
 from ..columns import Columns
 from .ordering import hash_ranks
-from .skew import HOT_ROWS, lookup_join
 
-DEFAULT_SAMPLE, MAX_SAMPLE = 500, 100_000
 BACKGROUND_ROWS = 100
 
 
@@ -62,15 +60,12 @@ def group_sample(
     columns: Columns = Columns(),
     *,
     seed: int = 7,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All rows of the randomly picked groups; a small table stays as it is."""
     if len(points.select(F.lit(1)).take(size + 1)) <= size:
         return points
     chosen = picked_groups(points, group, size, seed=seed).select(group)
-    return lookup_join(
-        points, chosen, group, "left_semi", spread=[columns.row], hot_rows=hot_rows
-    ).select(*points.columns)
+    return points.join(chosen, group, "left_semi").select(*points.columns)
 
 
 def sample_rows(

@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 from ..columns import Columns, require_columns
 from ..operators import explain, ranking
 from ..operators.incremental import incremental_auc
-from ..operators.ordering import ONE_TASK_ROWS
 from ..operators.permutation import permutation_importance
-from ..operators.sampling import DEFAULT_SAMPLE, sample_rows
+from ..operators.sampling import sample_rows
 from ..sources.models import ModelSpec
 
 RESULT_SCHEMA = (
@@ -30,10 +29,9 @@ def analyze_features(
     columns: Columns = Columns(),
     model: ModelSpec | None = None,
     explainer: str = "Auto",
-    sample_size: int | None = DEFAULT_SAMPLE,
+    sample_size: int | None = None,
     group: str | None = None,
     seed: int = 7,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Rank features by the chosen methods.
 
@@ -57,7 +55,7 @@ def analyze_features(
     def results(rows: DataFrame) -> DataFrame:
         return _results(
             rows, features, methods, label, positive, columns, model, used, explainer,
-            seed, one_task_rows,
+            seed,
         )
 
     if sample_size is None:
@@ -90,7 +88,6 @@ def _results(
     used: list[str],
     explainer: str,
     seed: int,
-    one_task_rows: int,
 ) -> DataFrame:
     inputs = list(model.features) if used and model is not None else []
     frame = ranking.labelled_features(
@@ -99,23 +96,21 @@ def _results(
         label,
         positive,
         columns,
-        one_task_rows=one_task_rows,
     )
-    limit = {"one_task_rows": one_task_rows}
     parts = []
     if ranking.CORRELATION in methods:
         parts.append(ranking.point_biserial(frame, features))
     if {ranking.INFORMATION, ranking.UNIVARIATE_AUC} & set(methods):
-        profile = ranking.class_profile(frame, features, **limit)
+        profile = ranking.class_profile(frame, features)
         if ranking.INFORMATION in methods:
             parts.append(ranking.mutual_information(profile))
         if ranking.UNIVARIATE_AUC in methods:
             parts.append(ranking.univariate_auc(profile))
     if ranking.INCREMENTAL_AUC in methods:
-        parts.append(incremental_auc(frame, features, columns, seed=seed, **limit))
+        parts.append(incremental_auc(frame, features, columns, seed=seed))
     if ranking.PERMUTATION in methods:
         parts.append(
-            permutation_importance(frame, model, used, columns, seed=seed, **limit)
+            permutation_importance(frame, model, used, columns, seed=seed)
         )
     if ranking.SHAP in methods:
         contributions = explain.shap_contributions(
@@ -135,7 +130,7 @@ def correlation_matrix(
     label: str,
     positive: object,
     columns: Columns = Columns(),
-    sample_size: int | None = DEFAULT_SAMPLE,
+    sample_size: int | None = None,
     seed: int = 7,
 ) -> DataFrame:
     """Pairwise correlations over a plain sample of rows, never of groups."""

@@ -102,6 +102,9 @@ def repeated_words(words: Words, window: int = WINDOW) -> np.ndarray:
 def line_counts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text: lines with a word, those equal to an earlier one, ended ones."""
     data, offsets = words.data, words.offsets
+    if len(data) == 0:
+        none = np.zeros(len(offsets) - 1, np.int64)
+        return none, none, none
     breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     starts = starts[starts < len(data)]

@@ -189,8 +189,11 @@ def fit_quality(
     known = labels.filter(F.col("quality").isin(0, 1)).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
     )
+    # A little more than the sample by hash, so that each task hands on its share.
+    share = min(1.0, 1.2 * sample_rows / max(known.count(), 1))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sample = (
-        measured.join(known, "doc_id")
+        measured.join(known.filter(place <= int(share * 1_000_000)), "doc_id")
         .orderBy(F.md5(F.col("doc_id").cast("string")), "quality", *COUNTS)
         .limit(sample_rows)
         .select("quality", *FEATURES)

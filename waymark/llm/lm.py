@@ -28,13 +28,15 @@ from waymark.llm.storage import shared_folder, written
 from waymark.llm.trie import NodeLevel, WordLevel, build_nodes, build_words
 from waymark.llm.words import Words, slices
 
-SLICE = 1 << 22
-#: Entries that a counting task merges before it hands them on.
-HELD_ENTRIES = 2_000_000
+SLICE = 1 << 20
+#: Tokens that a counting task sums up before it hands the counts on.
+HELD_TOKENS = 4_000_000
 #: Entries of one file of the trie.
 PART_ENTRIES = 4_000_000
 DISCOUNT = 0.75
 END = (1 << 63) - 1
+#: Bits of a child's number in a pair; its parent has the 32 above.
+_CHILD = 31
 
 
 def held_out(doc_id: Column) -> Column:
@@ -101,41 +103,40 @@ class Model:
 
 
 class _Tally:
-    """Sums of counts by equal columns, merged as they grow."""
+    """Counts of equal keys, handed on when enough tokens are held.
 
-    def __init__(self, names: list[str]):
-        self.names, self.held, self.size = names, [], 0
+    ``also`` is a column that follows from the key.
+    """
 
-    def add(self, columns: list[np.ndarray], counts: np.ndarray | None = None) -> None:
-        if len(columns[0]):
-            self.held.append(_merged([*columns, counts]))
-            self.size += len(self.held[-1][0])
+    def __init__(self, name: str, also: str | None = None):
+        self.names = [name, *([also] if also else []), "n"]
+        self.keys: list[np.ndarray] = []
+        self.also: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, also: np.ndarray | None = None) -> None:
+        self.keys.append(keys)
+        self.also.append(also if len(self.names) == 3 else keys[:0])
+        self.size += len(keys)
 
     def batches(self, force: bool = False) -> Iterator[pa.RecordBatch]:
-        if self.size < HELD_ENTRIES and not force or not self.held:
+        if self.size == 0 or (self.size < HELD_TOKENS and not force):
             return
-        rows = self.held[0] if len(self.held) == 1 else _merged([np.concatenate(c) for c in zip(*self.held)])
-        self.held, self.size = [], 0
+        keys = np.concatenate(self.keys)
+        if len(self.names) == 3:
+            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            rows = [keys, np.concatenate(self.also)[first], counts]
+        else:
+            keys.sort()
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            rows = [keys[at], np.diff(np.append(at, len(keys)))]
+        self.keys, self.also, self.size = [], [], 0
         for at in range(0, len(rows[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[at : at + (1 << 16)]) for c in rows], [*self.names, "n"]
+                [pa.array(c[at : at + (1 << 16)]) for c in rows], self.names
             )
 
 
-def _merged(columns: list[np.ndarray | None]) -> list[np.ndarray]:
-    *keys, counts = columns
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = False
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    at = np.flatnonzero(new)
-    if counts is None:
-        return [*[k[at] for k in keys], np.diff(np.append(at, len(order)))]
-    return [*[k[at] for k in keys], np.add.reduceat(counts[order], at)]
-
-
 def _gathered(batches: Iterable[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
     table = [b for b in batches if b.num_rows]
     if not table:
@@ -146,9 +147,9 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> dict[str, np.ndarray] | None
 
 def _count_words(training: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(["key"])
+        tally = _Tally("key")
         for part in slices(batches, limit=SLICE):
-            tally.add([Tokens.of(part.column("text")).keys])
+            tally.add(Tokens.of(part.column("text")).keys)
             yield from tally.batches()
         yield from tally.batches(force=True)
 
@@ -176,21 +177,24 @@ def _write_words(counted: DataFrame, entries: int, folder: str) -> WordLevel:
     for first, many, place in sorted(files):
         out.append((first, at, place))
         at += many
-    return WordLevel(out, 0, at)
+    return WordLevel(out, at)
 
 
 def _add_level(model: Model, training: DataFrame, least: int, folder: str) -> NodeLevel:
     depth = len(model.levels)
+    nodes = model.levels[-1].size if depth else model.words.size + 1
+    if nodes >= 1 << 32 or model.words.size >= 1 << _CHILD:
+        raise ValueError("The level below has too many nodes to be numbered.")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(["parent", "child", "lower"])
+        tally = _Tally("pair", "lower" if depth else None)
         for part in slices(batches, limit=SLICE):
             tokens = Tokens.of(part.column("text"))
-            probe = Model(model.words, [*model.levels, NodeLevel([])], model.tokens, model.texts)
+            probe = Model(model.words, [*model.levels, NodeLevel([], 0)], model.tokens, model.texts)
             ids = _ids(model, tokens)[0]
             parent, child, lower, *_ = list(probe.chains(ids, tokens.bounds, depth + 1))[-1]
             ok = (parent >= 0) & (child >= 0)
-            tally.add([parent[ok], child[ok], lower[ok]])
+            tally.add(parent[ok] << _CHILD | child[ok], lower[ok])
             yield from tally.batches()
         yield from tally.batches(force=True)
 
@@ -198,12 +202,12 @@ def _add_level(model: Model, training: DataFrame, least: int, folder: str) -> No
         rows = _gathered(batches)
         if rows is None:
             return
-        parent, child, n = rows["parent"], rows["child"], rows["n"]
+        parent, child, n = rows["parent"], rows["pair"] & ((1 << _CHILD) - 1), rows["n"]
         if depth == 0:
             context = np.full(len(parent), model.texts, np.int64)
             inner = parent < model.start
             context[inner] = model.words.counts(parent[inner])
-            shorter = model.word_score(model.words.counts(rows["lower"]))
+            shorter = model.word_score(model.words.counts(child))
         else:
             context = model.levels[-1].counts(parent)
             shorter = model.levels[-1].scores(rows["lower"])
@@ -214,20 +218,22 @@ def _add_level(model: Model, training: DataFrame, least: int, folder: str) -> No
             [{"parent": int(parent[0]), "child": int(child[0]), "many": len(n), "place": place}]
         )
 
+    sums = {"n": F.sum("n")} | ({"lower": F.first("lower")} if depth else {})
     kept = written(
         training.select("text")
-        .mapInArrow(count, "parent long, child long, lower long, n long")
-        .groupBy("parent", "child", "lower")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= least),
+        .mapInArrow(count, "pair long, " + "lower long, " * (depth > 0) + "n long")
+        .groupBy("pair")
+        .agg(*[column.alias(name) for name, column in sums.items()])
+        .filter(F.col("n") >= least)
+        .withColumn("parent", F.shiftright("pair", _CHILD)),
         "lm-nodes",
     )
     mass = kept.groupBy("parent").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
     parts = -(-kept.count() // PART_ENTRIES)
     files = (
         kept.join(mass, "parent")
-        .repartitionByRange(max(parts, 1), "parent", "child")
-        .sortWithinPartitions("parent", "child")
+        .repartitionByRange(max(parts, 1), "pair")
+        .sortWithinPartitions("pair")
         .mapInArrow(write, "parent long, child long, many long, place string")
         .collect()
     )
@@ -235,7 +241,7 @@ def _add_level(model: Model, training: DataFrame, least: int, folder: str) -> No
     for parent, child, many, place in sorted(files):
         out.append((parent, child, at, place))
         at += many
-    return NodeLevel(out)
+    return NodeLevel(out, at)
 
 
 def _ids(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from waymark.llm.lm import score_corpus
 from waymark.llm.registry import query, table
 
-#: Least counts of bigrams and trigrams that the trie keeps.
-LEAST_COUNTS = (2, 2)
+#: Least count of the pairs that the trie keeps; one number for each level.
+LEAST_COUNTS = (2,)
 
 
 @query()

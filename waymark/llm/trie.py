@@ -158,8 +158,8 @@ def _nodes(place: str) -> _Nodes:
 class WordLevel:
     """``parts`` are (first key, first id, place), in order."""
 
-    def __init__(self, parts: list[tuple[int, int, str]], total: int, size: int):
-        self.parts, self.total, self.size = parts, total, size
+    def __init__(self, parts: list[tuple[int, int, str]], size: int):
+        self.parts, self.size = parts, size
         self.first = np.array([p[0] for p in parts], np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +188,8 @@ class WordLevel:
 class NodeLevel:
     """``parts`` are (first parent, first child, first node, place), in order."""
 
-    def __init__(self, parts: list[tuple[int, int, int, str]]):
-        self.parts = parts
+    def __init__(self, parts: list[tuple[int, int, int, str]], size: int):
+        self.parts, self.size = parts, size
         self.parent = np.array([p[0] for p in parts], np.int64)
         self.child = np.array([p[1] for p in parts], np.int64)
         self.node = np.array([p[2] for p in parts], np.int64)

@@ -112,16 +112,19 @@ class EliasFano:
         todo = np.flatnonzero((x >= 0) & (high < self.zeros))
         if len(todo) == 0:
             return out
-        h = high[todo]
-        place = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0)
-        low = x[todo].astype(np.uint64) & self.mask
-        while len(todo):
-            i = place - h
-            word = self.bits[place >> 6] >> (place & 63).astype(np.uint64)
-            alive = ((word & np.uint64(1)) == 1) & (i < self.n)
-            todo, place, h, low, i = (a[alive] for a in (todo, place, h, low, i))
-            own = self._low(i)
-            out[todo[own == low]] = i[own == low]
-            alive = own < low
-            todo, place, h, low = (a[alive] for a in (todo, place + 1, h, low))
+        h, low = high[todo], x[todo].astype(np.uint64) & self.mask
+        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0) - h
+        end = self._select(h, False) - h
+        last = end.copy()
+        # Values with equal high bits lie together, by rising low bits.
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):
+            middle = (begin[open_] + end[open_]) >> 1
+            less = self._low(middle) < low[open_]
+            begin[open_] = np.where(less, middle + 1, begin[open_])
+            end[open_] = np.where(less, end[open_], middle)
+            open_ = open_[begin[open_] < end[open_]]
+        held = np.flatnonzero(begin < last)
+        held = held[self._low(begin[held]) == low[held]]
+        out[todo[held]] = begin[held]
         return out

@@ -42,10 +42,10 @@ from waymark.llm.words import slices
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-#: Words whose tokens a worker remembers; it starts anew when there are more.
-REMEMBERED_WORDS = 300_000
-#: Transitions that a worker holds; it starts anew when there are more.
-REMEMBERED_MOVES = 1_000_000
+#: Words whose tokens a task remembers; it starts anew when there are more.
+REMEMBERED_WORDS = 200_000
+#: Transitions that a task holds; it starts anew when there are more.
+REMEMBERED_MOVES = 400_000
 _WIDE = 20
 _START = -2
 
@@ -208,6 +208,11 @@ class Tokenizer:
         self._starts = np.cumsum(self._lengths) - self._lengths
         self._labels = np.frombuffer(b"".join(parts), np.uint8)
 
+    def forget(self) -> None:
+        """Give back what the words so far have filled."""
+        self._known.clear()
+        self.automaton.forget()
+
     def encode(self, text: str) -> Iterable[int]:
         if self._marks is not None and self._marks.search(text):
             return self._encode_marked(text)
@@ -282,6 +287,8 @@ def encode_documents(documents: DataFrame, tokenizer_file: str | Path) -> DataFr
                 ],
                 ["doc_id", "token_ids", "decoded"],
             )
+        # A worker outlives its task and serves other stages.
+        tokenizer.forget()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         encode, "doc_id long, token_ids array<int>, decoded string"

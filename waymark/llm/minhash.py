@@ -14,7 +14,10 @@ neighbouring cells. Bands of coordinates give bucket keys; at 80 % similarity
    smallest class's component are compared with all others of the bucket, in
    blocks of bounded size. An exact upper bound on the intersection, from
    counts of shingles in as many cells as a set has members, drops most pairs.
-4. What remains is verified on the full sets of both texts.
+   Of a class's pairs with one component, the likeliest is tried first: if it
+   holds, the others cannot change anything. A second turn tries all pairs that
+   are then still between components.
+4. Pairs are verified on the full sets of both texts.
 
 Within a component, further links cannot change it, so they are not sought.
 
@@ -215,8 +218,14 @@ def _bounded(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     return pairs.join(cells_a, "a").join(cells_b, "b").mapInArrow(run, "a long, b long")
 
 
-def _between_components(shared: DataFrame, labels: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components, within the bound."""
+def _between_components(
+    shared: DataFrame, labels: DataFrame, cells: DataFrame, percent: int, *, likeliest: bool
+) -> DataFrame:
+    """Pairs of one bucket that lie in different components, within the bound.
+
+    ``likeliest`` keeps, of a class's pairs with one component that a task
+    compares, the one with the highest bound.
+    """
     labels = labels.withColumnRenamed("component", "found")
     placed = shared.join(labels, "node", "left").withColumn(
         "component", F.coalesce("found", "node")
@@ -288,13 +297,19 @@ def _between_components(shared: DataFrame, labels: DataFrame, cells: DataFrame,
                     )
                     small, large = np.minimum(n[rights], n[i]), np.maximum(n[rights], n[i])
                     ok &= 100 * small >= percent * large
+                    bound = np.ones(len(rights))
                     for w, stack in stacks.items():
                         if w and width[i]:
                             own = width[rights] == w
                             of = np.flatnonzero(ok & own)
                             shared = _most_shared(stack[ok[own]], packed[i])
-                            ok[of] = (100 + percent) * shared >= percent * (n[rights[of]] + n[i])
+                            both = n[rights[of]] + n[i]
+                            ok[of] = (100 + percent) * shared >= percent * both
+                            bound[of] = shared / both
                     j = rights[ok]
+                    if likeliest:
+                        j = j[np.lexsort((node[j], -bound[ok], component[j]))]
+                        j = j[np.unique(component[j], return_index=True)[1]]
                     firsts.append(np.full(len(j), node[i]))
                     seconds.append(node[j])
             if firsts:
@@ -353,10 +368,11 @@ def near_duplicates(
         verified(_bounded(stars, cells, percent), texts, shingle, percent), "minhash-links"
     )
     labels = connected_components(links)
-    more = verified(
-        _between_components(shared, labels, cells, percent), texts, shingle, percent
-    )
-    labels = connected_components(links.union(written(more, "minhash-links")))
+    for likeliest in (True, False):
+        pairs = _between_components(shared, labels, cells, percent, likeliest=likeliest)
+        more = written(verified(pairs, texts, shingle, percent), "minhash-links")
+        links = links.union(more)
+        labels = connected_components(links)
     return _with_components(nodes, classes, labels)
 
 

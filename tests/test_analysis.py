@@ -203,13 +203,13 @@ def test_argument_checks(spark):
 
     for arguments, text in [
         ({"features": []}, "at least one feature"),
-        ({"methods": []}, "at least one feature-analysis method"),
-        ({"features": ["nope"]}, "missing"),
-        ({"methods": ["Guess"]}, "Unsupported"),
-        ({"methods": [ranking.SHAP]}, "registered ML model"),
-        ({"data": points.limit(0)}, "No measurements"),
-        ({"positive": "other"}, "both matched and false"),
-        ({"features": ["track_id"], "methods": [ranking.SHAP], "model": ModelSpec("m", LinearModel([1.0]), ("signal",))}, "None of the selected"),
+        ({"methods": []}, "one method"),
+        ({"features": ["nope"]}, "lacks"),
+        ({"methods": ["Guess"]}, "unknown are"),
+        ({"methods": [ranking.SHAP]}, "explain a model"),
+        ({"data": points.limit(0)}, "no rows to rank"),
+        ({"positive": "other"}, "both label classes"),
+        ({"features": ["track_id"], "methods": [ranking.SHAP], "model": ModelSpec("m", LinearModel([1.0]), ("signal",))}, "reads none of"),
     ]:
         with pytest.raises(ValueError, match=text):
             run(**arguments)
@@ -235,10 +235,12 @@ def test_default_models(spark):
         build_default_model(points, ["a"], "label", "matched", "Perceptron")
     with pytest.raises(ValueError, match="class-weight"):
         build_default_model(points, ["a"], "label", "matched", "Random forest", class_weight_mode="x")
-    with pytest.raises(ValueError, match="greater than zero"):
+    with pytest.raises(ValueError, match="above zero"):
         build_default_model(points, ["a"], "label", "matched", "Random forest", positive_weight=0)
     with pytest.raises(ValueError, match="at least one feature"):
         build_default_model(points, [], "label", "matched", "Random forest")
+    with pytest.raises(ValueError, match="depth 30 at most"):
+        build_default_model(points, ["a"], "label", "matched", "Random forest", parameters={"max_depth": 31})
     with pytest.raises(ValueError, match="learning rates"):
         build_default_model(points, ["a"], "label", "matched", "Gradient boosting", parameters={"learning_rate": 2.0})
     with pytest.raises(ValueError, match="parameters"):

@@ -41,7 +41,7 @@ def test_filter_kinds_and_column_lists(spark):
     assert unused_name(["a", "a_1"], "a") == "a_2"
     with pytest.raises(ValueError, match="reserved"):
         require_point_table(points, "track_id")
-    with pytest.raises(ValueError, match="missing"):
+    with pytest.raises(ValueError, match="lacks"):
         require_point_table(points, "nope")
 
 
@@ -111,10 +111,10 @@ def test_label_rows_and_tracks(spark):
     track = spark.createDataFrame([(2,)], "track_id long")
     by_track = ops.label_selection(points, track, "label", "x")
     assert column(by_track, "label") == ["a", "a", "x", "x"]
-    for name, text in [("", "Enter"), ("track_id", "reserved"), (ROW_ID, "reserved"), ("snr", "strings")]:
+    for name, text in [("", "needs the name"), ("track_id", "reserved"), (ROW_ID, "reserved"), ("snr", "strings")]:
         with pytest.raises(ValueError, match=text):
             ops.label_selection(points, picked, name, "good")
-    with pytest.raises(ValueError, match="Select data"):
+    with pytest.raises(ValueError, match="no rows to label"):
         ops.label_selection(points, picked.limit(0), "review", "good")
 
 

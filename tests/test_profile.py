@@ -109,6 +109,6 @@ def test_folds_spread_each_class(spark):
         counts = [r["count"] for r in sizes if r.g == name]
         assert len(counts) == 5 and max(counts) - min(counts) <= 1
     assert sampling.fold_count(3, 100) == 3
-    with pytest.raises(ValueError, match="at least two"):
+    with pytest.raises(ValueError, match="two rows of each"):
         sampling.fold_count(1, 9)
     assert RangeFilter("x").predicate() is None

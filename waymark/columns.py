@@ -25,14 +25,14 @@ class Columns:
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:
-        raise ValueError(f"Input data is missing required columns: {missing}")
+        raise ValueError(f"The table lacks the columns {', '.join(missing)}.")
 
 
 def require_point_table(df: DataFrame, track: str) -> None:
     """Check a freshly read table before row ids are attached."""
     require_columns(df, [track])
     if ROW_ID in df.columns:
-        raise ValueError(f"Input data cannot contain reserved column {ROW_ID!r}")
+        raise ValueError(f"The name {ROW_ID!r} is reserved for row ids.")
 
 
 def is_numeric(df: DataFrame, name: str) -> bool:

@@ -71,15 +71,15 @@ def label_selection(
     """
     column = column.strip()
     if not column:
-        raise ValueError("Enter a label column name.")
+        raise ValueError("A label needs the name of a column.")
     if column in {columns.track, columns.row}:
-        raise ValueError(f"Cannot use reserved column name {column!r}.")
+        raise ValueError(f"{column!r} is reserved and cannot hold labels.")
     if column not in points.columns:
         points = points.withColumn(column, F.lit(None).cast("string"))
     elif not isinstance(points.schema[column].dataType, T.StringType):
-        raise ValueError(f"Existing label column {column!r} must contain strings.")
+        raise ValueError(f"{column!r} exists and does not hold strings.")
     if selection.isEmpty():
-        raise ValueError("Select data before applying a label.")
+        raise ValueError("There are no rows to label.")
 
     key = columns.row if columns.row in selection.columns else columns.track
     chosen = selection.select(key).distinct().withColumn("__chosen", F.lit(True))

@@ -134,7 +134,7 @@ def labelled_features(
     keep = [TARGET] + [c for c in (columns.row,) if c in points.columns]
     counts = known.agg(*_class_counts(TARGET), *_gap_counts(features)).first()
     if not counts.positives or not counts.negatives:
-        raise ValueError("Feature analysis requires both matched and false measurements.")
+        raise ValueError("Ranking needs rows of both label classes.")
     return _filled(known, features, counts, keep)
 
 

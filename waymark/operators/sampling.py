@@ -108,7 +108,5 @@ def stratified_folds(
 def fold_count(positives: int, negatives: int, limit: int = 5) -> int:
     folds = min(limit, positives, negatives)
     if folds < 2:
-        raise ValueError(
-            "Incremental CV ROC AUC requires at least two rows in each label class."
-        )
+        raise ValueError("Two folds take two rows of each class.")
     return folds

@@ -40,17 +40,17 @@ def analyze_features(
     table of its own, see :func:`correlation_matrix`.
     """
     features, methods = list(dict.fromkeys(features)), list(dict.fromkeys(methods))
-    if not features:
-        raise ValueError("Select at least one feature to analyze.")
-    if not methods:
-        raise ValueError("Select at least one feature-analysis method.")
-    require_columns(points, [*features, label])
     unknown = sorted(set(methods) - set(ranking.METHODS))
-    if unknown:
-        raise ValueError(f"Unsupported feature-analysis methods: {unknown}")
+    if not features or not methods or unknown:
+        known = ", ".join(ranking.METHODS)
+        raise ValueError(
+            f"A ranking takes at least one feature and one method of {known}; "
+            f"unknown are {unknown}."
+        )
+    require_columns(points, [*features, label])
     used = _model_features(features, methods, model)
     if points.isEmpty():
-        raise ValueError("No measurements remain after filtering.")
+        raise ValueError("There are no rows to rank features by.")
 
     def results(rows: DataFrame) -> DataFrame:
         return _results(
@@ -150,12 +150,8 @@ def _model_features(
     if not {ranking.PERMUTATION, ranking.SHAP} & set(methods):
         return []
     if model is None:
-        raise ValueError(
-            "Select a registered ML model for permutation importance or SHAP."
-        )
+        raise ValueError("Permutation importance and SHAP explain a model: pass one.")
     used = [name for name in features if name in model.features]
     if not used:
-        raise ValueError(
-            "None of the selected features are inputs to the selected model."
-        )
+        raise ValueError(f"The model reads none of {features}.")
     return used

@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.words import slices
+from waymark.llm.words import release, slices
 
 # Fixed value: how byte-level tokenizers split a text into words.
 WORD_PATTERN = (
@@ -208,11 +208,6 @@ class Tokenizer:
         self._starts = np.cumsum(self._lengths) - self._lengths
         self._labels = np.frombuffer(b"".join(parts), np.uint8)
 
-    def forget(self) -> None:
-        """Give back what the words so far have filled."""
-        self._known.clear()
-        self.automaton.forget()
-
     def encode(self, text: str) -> Iterable[int]:
         if self._marks is not None and self._marks.search(text):
             return self._encode_marked(text)
@@ -260,7 +255,7 @@ class Tokenizer:
         return whole.cast(pa.string())
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _compiled(definition: str) -> Tokenizer:
     return Tokenizer(definition)
 
@@ -287,8 +282,8 @@ def encode_documents(documents: DataFrame, tokenizer_file: str | Path) -> DataFr
                 ],
                 ["doc_id", "token_ids", "decoded"],
             )
-        # A worker outlives its task and serves other stages.
-        tokenizer.forget()
+        del tokenizer
+        release(_compiled)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         encode, "doc_id long, token_ids array<int>, decoded string"

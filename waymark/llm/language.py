@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.words import slices
+from waymark.llm.words import release, slices
 
 SYMBOLS = 40
 GRAM = 3
@@ -225,6 +225,7 @@ def predict_languages(
                 ],
                 ["doc_id", "lang_pred", "score"],
             )
+        release(_vectors)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         predict, "doc_id long, lang_pred string, score double"
@@ -254,6 +255,7 @@ def in_known_languages(
             short = np.array([len(t) < judged_chars for t in texts], bool)
             like = short | (best >= least_score) | (not profiles)
             yield part.filter(pa.array(lettered & like))
+        release(_vectors)
 
     return documents.mapInArrow(keep, documents.schema)
 

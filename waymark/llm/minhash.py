@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.components import connected_components
 from waymark.llm.storage import written
-from waymark.llm.words import Words, mix, slices
+from waymark.llm.words import Words, mix, release, slices
 
 BANDS, BAND_ROWS = 40, 5
 CIRCLE = 1 << 22
@@ -147,6 +147,7 @@ def shingled(
                 ],
                 ["doc_id", "text_hash", "n_shingles", "node", "keys", "cells"],
             )
+        release(_circle)
 
     return _hashed(documents).mapInArrow(
         run,

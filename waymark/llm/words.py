@@ -8,6 +8,7 @@ however many texts there are.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -142,6 +143,15 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def release(*caches) -> None:
+    """Give a task's tables back: its worker lives on and serves other stages."""
+    for cached in caches:
+        cached.cache_clear()
+    _powers.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum ``values`` over each text's range; an empty range sums to zero."""
     total = np.zeros(len(values) + 1, np.int64)

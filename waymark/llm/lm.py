@@ -202,7 +202,9 @@ def _add_level(model: Model, training: DataFrame, least: int, folder: str) -> No
         rows = _gathered(batches)
         if rows is None:
             return
-        parent, child, n = rows["parent"], rows["pair"] & ((1 << _CHILD) - 1), rows["n"]
+        pair, n, mass = rows.pop("pair"), rows.pop("n"), rows.pop("mass")
+        parent, child = pair >> _CHILD, pair & ((1 << _CHILD) - 1)
+        del pair
         if depth == 0:
             context = np.full(len(parent), model.texts, np.int64)
             inner = parent < model.start
@@ -210,9 +212,10 @@ def _add_level(model: Model, training: DataFrame, least: int, folder: str) -> No
             shorter = model.word_score(model.words.counts(child))
         else:
             context = model.levels[-1].counts(parent)
-            shorter = model.levels[-1].scores(rows["lower"])
-        left = np.maximum(1 - rows["mass"] / context, 1e-9)
+            shorter = model.levels[-1].scores(rows.pop("lower"))
+        left = np.maximum(1 - mass / context, 1e-9)
         chance = (n - DISCOUNT) / context + left * 10**shorter
+        del mass, context, shorter
         place = build_nodes(folder, parent, child, n, np.log10(chance), np.log10(left))
         yield pa.RecordBatch.from_pylist(
             [{"parent": int(parent[0]), "child": int(child[0]), "many": len(n), "place": place}]
@@ -232,6 +235,7 @@ def _add_level(model: Model, training: DataFrame, least: int, folder: str) -> No
     parts = -(-kept.count() // PART_ENTRIES)
     files = (
         kept.join(mass, "parent")
+        .drop("parent")
         .repartitionByRange(max(parts, 1), "pair")
         .sortWithinPartitions("pair")
         .mapInArrow(write, "parent long, child long, many long, place string")

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from waymark.llm.lm import score_corpus
 from waymark.llm.registry import query, table
 
-#: Least count of the pairs that the trie keeps; one number for each level.
-LEAST_COUNTS = (2,)
+#: Least counts of the pairs and triples that the trie keeps: all that occur.
+LEAST_COUNTS = (1, 1)
 
 
 @query()

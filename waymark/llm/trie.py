@@ -82,8 +82,13 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(middles, values).astype(np.uint8), book
 
 
+def narrowed(counts: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds the largest."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def build_words(folder: str, keys: np.ndarray, counts: np.ndarray) -> str:
-    return save(folder, [*EliasFano.build(keys), counts.astype(np.int64)])
+    return save(folder, [*EliasFano.build(keys), narrowed(counts)])
 
 
 def build_nodes(
@@ -95,7 +100,8 @@ def build_nodes(
     weights: np.ndarray,
 ) -> str:
     """Write nodes sorted by parent and child; ``weights`` are of the parents."""
-    held, begins = np.unique(parents, return_index=True)
+    begins = np.flatnonzero(np.append(True, parents[1:] != parents[:-1])[: len(parents)])
+    held = parents[begins]
     pointers = np.append(begins, len(parents))
     most = np.maximum.reduceat(children, begins) + 1 if len(held) else begins
     bases = np.cumsum(most) - most
@@ -108,7 +114,7 @@ def build_nodes(
             *EliasFano.build(held),
             *EliasFano.build(pointers),
             *EliasFano.build(rising),
-            counts.astype(np.int64),
+            narrowed(counts),
             codes,
             book,
             weight_codes,

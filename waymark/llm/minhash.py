@@ -335,10 +335,27 @@ def near_duplicates(
     Documents are linked if the Jaccard similarity of their shingle sets is
     ``percent`` or more; ``component_id`` is the smallest doc_id reachable.
     """
+    return _decided(documents, shingle, percent, bands, band_rows, seed).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
+def _decided(
+    documents: DataFrame,
+    shingle: int = 5,
+    percent: int = 80,
+    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
+    seed: int = 7,
+) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``text_hash`` and ``stays``.
+
+    Of a component only the row least by id and text stays, rows equal to it too.
+    """
     nodes = written(shingled(documents, shingle, bands, band_rows, seed), "minhash-nodes")
     held = nodes.filter(F.col("node").isNotNull())
     classes = held.groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n")
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first"),
     )
     # Any row of a class stands for it: their keys and cells are equal.
     one = written(
@@ -378,18 +395,24 @@ def near_duplicates(
 
 
 def one_of_each(documents: DataFrame, **settings) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns.
+    """One document of each component, with all its columns.
 
-    Rows equal in id and text become one; rows without an id stay.
+    Each row follows its own decision, also where an id has several texts. Rows
+    equal in id and text become one; rows without an id stay.
     """
     decided = written(
-        near_duplicates(documents, **settings).filter(F.col("doc_id").isNotNull()), "minhash-decisions"
-    )
-    dropped = decided.filter(~F.col("kept")).select("doc_id")
-    repeated = decided.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = documents.join(dropped, "doc_id", "left_anti")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    several = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        _decided(documents, **settings)
+        .filter(F.col("doc_id").isNotNull())
+        .groupBy("doc_id", "text_hash")
+        .agg(F.min("stays").alias("stays"), F.count("*").alias("copies")),
+        "minhash-decisions",
+    ).withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"})
+    dropped = decided.filter(~F.col("stays"))
+    repeated = decided.filter("stays AND copies > 1")
+    same = (F.col("doc_id") == F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))
+    kept = documents.join(dropped, same, "left_anti")
+    single = kept.join(repeated, same, "left_anti")
+    several = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.union(several).select(*documents.columns)
 
 
@@ -413,14 +436,21 @@ def _texts_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _with_components(nodes: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     rooted = classes.join(labels, "node", "left").select(
-        "node", "first_id", F.coalesce("component", "node").alias("root")
+        "node", "first", F.coalesce("component", "node").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = rooted.join(least, "root").select(F.col("node").alias("of_node"), "component_id")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    found = rooted.join(least, "root").select(F.col("node").alias("of_node"), "least")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    own = F.struct("doc_id", "text_hash")
     return (
-        nodes.select("doc_id", "n_shingles", "node")
+        nodes.select("doc_id", "text_hash", "n_shingles", "node")
         .join(found, F.col("node") == F.col("of_node"), "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .select(
+            "doc_id",
+            "text_hash",
+            "n_shingles",
+            component.alias("component_id"),
+            (F.col("node").isNull() | own.eqNullSafe(F.col("least"))).alias("stays"),
+        )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

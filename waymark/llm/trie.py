@@ -219,10 +219,16 @@ class NodeLevel:
         for p in np.unique(part).tolist():
             at = np.flatnonzero(part == p)
             held = _nodes(self.parts[p][3])
-            found, _, weight[at] = held.find(parent[at], child[at])
+            found, begin, weight[at] = held.find(parent[at], child[at])
             ok = found >= 0
             node[at[ok]] = found[ok] + self.node[p]
             score[at[ok]] = held.book[held.codes[found[ok]]]
+            # A parent that this file ends before may begin the next one.
+            if p + 1 < len(self.parts):
+                late = at[(begin < 0) & (parent[at] == self.parent[p + 1])]
+                if len(late):
+                    after = _nodes(self.parts[p + 1][3])
+                    weight[late] = after.find(parent[late], child[late])[2]
         return node, score, weight
 
     def begin(self, parent: np.ndarray) -> np.ndarray:

@@ -271,3 +271,35 @@ def test_bundles_do_not_depend_on_their_neighbours():
     assert lettered.tolist() == [True, False, True, False, True]
     for k, text in enumerate(texts):
         assert (bundles([text], 3)[0][0] == together[k]).all()
+
+
+@pytest.mark.parametrize(
+    "cut",
+    [
+        "<span hidden>x</span>",
+        "<span class='share-count'>3</span>",
+        "<small class='ad'>x</small>",
+        "<span style='display:none'>x</span>",
+        "<span class='ad'>x <span>y</span> z</span>",
+        "<span class='ad'>x <b>y</span>",
+    ],
+)
+def test_text_goes_on_after_inline_furniture(cut):
+    assert main_text(f"<article><p>First part {cut} second part.</p></article>") == "First part second part."
+    assert main_text(f"<article><p>{cut}First <i>part.</i></p><p>Next.</p></article>") == "First part.\nNext."
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class='content sidebar-left'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<form><nav>Menu</nav><main><p>{LONG}</p></main></form>", LONG),
+        (f"<body><form><nav>Menu</nav><div>{LONG}</div></form></body>", LONG),
+        ("<form>Search</form>", ""),
+        (f"<article><p>{LONG}</p><figure><img><figcaption>A caption.</figcaption></figure></article>", f"{LONG}\nA caption."),
+        (f"<main><p>{LONG}</p><div class='comments'><article><p>Not {LONG}</p></article></div></main>", LONG),
+        (f"<aside><article><p>Not {LONG}</p></article></aside><p>{LONG}</p>", LONG),
+    ],
+)
+def test_regions_in_furniture(html, text):
+    assert main_text(html) == text

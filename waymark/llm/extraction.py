@@ -7,6 +7,9 @@ stop-word density. The second lets ambiguous blocks, short ones above all,
 inherit the label of their nearest decided neighbours in the same region. A
 page's ``article`` or ``main`` element is a region of its own: if there is one,
 nothing outside it counts, and an ambiguous block without neighbours is kept.
+A region is not furniture for lying in a form or in an element with a class or id
+of page layout; an ``article`` among comments, adverts or related pages is. An
+inline element of furniture interrupts its block, which goes on after it.
 
 Edge cases: null or empty html gives empty text; unclosed elements end with
 their container, an unfinished tag at the end is dropped; repeated rows are
@@ -47,7 +50,7 @@ INLINE = frozenset(
     "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-OUTSIDE = frozenset("nav footer aside form menu dialog head title figcaption".split())
+OUTSIDE = frozenset("nav footer aside form menu dialog head title".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu "
     "menubar toolbar".split()
@@ -63,6 +66,12 @@ FURNITURE = frozenset(
     "comment comments disqus respond replies discussion share sharing social related recommended "
     "recommendations pagination pager copyright legal disclaimer toolbar skip".split()
 )
+# Those that hold articles of others.
+OF_OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo "
+    "promotion comment comments disqus respond replies discussion related recommended "
+    "recommendations".split()
+)
 NOT_FURNITURE = frozenset(["has", "with", "no", "without"])
 
 _TOKEN = re.compile(
@@ -80,10 +89,28 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+#: Kinds of furniture, by what else can be main text in it: a region and, where
+#: there is no other text, all of it; a region; ``main`` alone; nothing.
+FORM, LAYOUT, OTHERS, NEVER = 1, 2, 3, 4
+
+
+@dataclass
+class Open:
+    """An open element, and what holds in it."""
+
+    tag: str
+    furniture: int
+    region: bool
+    inline: bool = False
+    #: Whether it is inline furniture, and the block that it interrupts.
+    cuts: bool = False
+    block: Block | None = None
+
+
 @dataclass
 class Block:
     region: bool
-    out: bool
+    out: int
     heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -91,49 +118,65 @@ class Block:
     label: bool | None = None
 
 
-def _is_furniture(tag: str, attributes: str, in_region: bool) -> bool:
-    if tag in OUTSIDE or (tag == "header" and not in_region):
-        return True
+def _furniture(tag: str, attributes: str, in_region: bool) -> int:
+    """The kind of furniture that an element is by itself, or 0."""
+    if tag == "form":
+        kind = FORM
+    elif tag in OUTSIDE or (tag == "header" and not in_region):
+        return NEVER
+    else:
+        kind = 0
     if not attributes or tag in REGIONS or tag in ("body", "html"):
-        return False
+        return kind
     for name, value, hidden in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if hidden or (name == "style" and _HIDDEN.search(value)):
-            return True
+            return NEVER
         if name == "role" and value.lower() in ROLES:
-            return True
+            return NEVER
         if name in ("class", "id"):
             for part in value.split():
                 words = {w.lower() for w in _NAME_WORD.findall(part)}
                 if words & FURNITURE and not words & NOT_FURNITURE:
-                    return True
+                    kind = max(kind, OTHERS if words & OF_OTHERS else LAYOUT)
                 if "header" in words and not in_region:
-                    return True
-    return False
+                    kind = max(kind, LAYOUT)
+    return kind
 
 
 def blocks_of(html: str) -> list[Block]:
     """Cut a page into blocks with text, in page order."""
     out: list[Block] = []
-    # Of each open element: its tag, and whether it lies in furniture and in a
-    # region, itself included.
-    stack: list[tuple[str, bool, bool]] = []
+    # Inline elements are counted only from an inline element of furniture on.
+    stack: list[Open] = []
     links = 0
     block: Block | None = None
 
     def close(tag: str) -> None:
         for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] == tag:
+            if stack[at].tag == tag:
                 del stack[at:]
                 return
 
+    def close_inline(tag: str) -> None:
+        nonlocal block
+        at = len(stack) - 1
+        while at >= 0 and stack[at].inline and stack[at].tag != tag:
+            at -= 1
+        if at < 0 or not stack[at].inline:
+            return
+        cut = next((e for e in stack[at:] if e.cuts), None)
+        del stack[at:]
+        if cut:
+            block = cut.block
+
     def add(text: str) -> None:
         nonlocal block
         if not text or (block is None and text.isspace()):
             return
         if block is None:
-            tag, furniture, region = stack[-1] if stack else ("", False, False)
-            block = Block(region, furniture, tag in CLOSED_BY_BLOCK and tag != "p")
+            top = stack[-1] if stack else Open("", 0, False)
+            block = Block(top.region, top.furniture, top.tag in CLOSED_BY_BLOCK and top.tag != "p")
             out.append(block)
         block.parts.append(text)
         if links:
@@ -152,23 +195,31 @@ def blocks_of(html: str) -> list[Block]:
             add(" ")
         if tag in INLINE:
             if ending or tag in VOID or tag == "a":
-                if ending and stack and stack[-1][0] == tag:
-                    stack.pop()
+                if ending:
+                    close_inline(tag)
+                continue
+            top = stack[-1] if stack else Open("", 0, False)
+            kind = _furniture(tag, token[4], top.region)
+            if token[4].endswith("/"):
                 continue
-            _, _, region = stack[-1] if stack else ("", False, False)
-            if _is_furniture(tag, token[4], region):
+            if kind:
+                stack.append(Open(tag, max(top.furniture, kind), top.region, True, True, block))
                 block = None
-                stack.append((tag, True, region))
+            elif top.inline:
+                stack.append(Open(tag, top.furniture, top.region, True))
             continue
         block = None
         links = 0
         if ending:
             close(tag)
             continue
-        if stack and stack[-1][0] in CLOSED_BY_BLOCK:
-            stack.pop()
+        inner = len(stack) - 1
+        while inner >= 0 and stack[inner].inline:
+            inner -= 1
+        if inner >= 0 and stack[inner].tag in CLOSED_BY_BLOCK:
+            del stack[inner:]
         if tag == "li":
-            for name, _, _ in reversed(stack):
+            for name in (e.tag for e in reversed(stack)):
                 if name in ("ul", "ol", "menu"):
                     break
                 if name == "li":
@@ -177,9 +228,12 @@ def blocks_of(html: str) -> list[Block]:
         elif tag == "body":
             close("head")
         if tag not in VOID and not token[4].endswith("/"):
-            _, furniture, region = stack[-1] if stack else ("", False, False)
-            furniture = furniture or _is_furniture(tag, token[4], region)
-            stack.append((tag, furniture, region or tag in REGIONS))
+            top = stack[-1] if stack else Open("", 0, False)
+            furniture = top.furniture
+            if furniture <= (OTHERS if tag == "main" else LAYOUT) and tag in REGIONS:
+                furniture = 0
+            furniture = max(furniture, _furniture(tag, token[4], top.region))
+            stack.append(Open(tag, furniture, top.region or tag in REGIONS))
     add(html[at:])
     for each in out:
         raw = "".join(each.parts)
@@ -194,8 +248,22 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def reads_as_text(b: Block) -> bool:
+    return (
+        len(b.text) >= LONG_CHARS
+        and not b.heading
+        and b.linked <= MOST_LINKED * len(b.text)
+        and stop_share(b.text) >= STOP_SHARE
+    )
+
+
 def classify(blocks: list[Block]) -> None:
     """Label each block: True for main text."""
+    forms = [b for b in blocks if b.out == FORM]
+    # The form of such a page holds the page.
+    if any(map(reads_as_text, forms)) and not any(reads_as_text(b) for b in blocks if not b.out):
+        for b in forms:
+            b.out = 0
     region = any(b.region and not b.out for b in blocks)
     for b in blocks:
         if b.out or b.region != region or b.linked > MOST_LINKED * len(b.text):

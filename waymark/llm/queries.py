@@ -10,6 +10,7 @@ from waymark.llm import (  # noqa: F401
     query_lm,
     query_minhash,
     query_mixing,
+    query_periods,
     query_private,
     query_quality,
     query_secrets,

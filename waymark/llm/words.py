@@ -11,7 +11,8 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ IS_SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 LEADS = (_BYTES & 0xC0) != 0x80
 
-#: Odd, so that its powers can be undone modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes beyond which a word is hashed by itself.
+LONG_WORD = 256
+_KEY = np.uint64(0x3C79AC492BA7B653)
+#: Masks that keep the first k of eight bytes.
+_LEADING = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def slices(
@@ -60,21 +63,6 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(n + 1, SLICE_BYTES + 1)
-    return _powers(1 << (size - 1).bit_length())
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all their bits, one to one."""
     x = x ^ (x >> np.uint64(32))
@@ -85,12 +73,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; equal bytes have equal hashes."""
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    value = (total[ends] - total[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * _LENGTH)
+    """A keyed 64-bit hash of each span's bytes; equal bytes have equal hashes.
+
+    Eight bytes at a time go into a state that is mixed by shifts and products
+    after each step, so no sum or power of bytes decides equality.
+    """
+    sizes = ends - starts
+    state = mix(sizes.astype(np.uint64) + _KEY)
+    eight = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", eight, 0, (1,))
+    left = np.flatnonzero(sizes <= LONG_WORD)
+    at = 0
+    while len(left):
+        rest = np.minimum(sizes[left] - at, 8)
+        chunk = eight[starts[left] + at] & _LEADING[rest]
+        state[left] = mix(state[left] ^ chunk) + _KEY
+        at += 8
+        left = left[sizes[left] > at]
+    for k in np.flatnonzero(sizes > LONG_WORD):
+        digest = blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest()
+        state[k] = int.from_bytes(digest, "little")
+    return state
 
 
 @dataclass
@@ -123,6 +126,19 @@ class Words:
         """Of each word, the position of its text."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def joined(self, chosen: np.ndarray) -> bytes:
+        """The chosen words, in the given order, joined by one space."""
+        if len(chosen) == 0:
+            return b""
+        starts, sizes = self.starts[chosen], self.ends[chosen] - self.starts[chosen]
+        ends = np.cumsum(sizes + 1)
+        at = np.arange(ends[-1]) - np.repeat(ends - sizes - 1 - starts, sizes + 1)
+        gap = ends - 1
+        at[gap] = 0
+        out = self.data[at]
+        out[gap] = 32
+        return out[:-1].tobytes()
+
     @cached_property
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends)
@@ -147,7 +163,6 @@ def release(*caches) -> None:
     """Give a task's tables back: its worker lives on and serves other stages."""
     for cached in caches:
         cached.cache_clear()
-    _powers.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
 

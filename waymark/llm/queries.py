@@ -8,6 +8,7 @@ from waymark.llm import (  # noqa: F401
     query_extraction,
     query_language,
     query_lm,
+    query_merkle,
     query_minhash,
     query_mixing,
     query_periods,

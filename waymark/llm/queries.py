@@ -15,6 +15,7 @@ from waymark.llm import (  # noqa: F401
     query_private,
     query_quality,
     query_secrets,
+    query_substrings,
 )
 from waymark.llm.registry import ORACLES, QUERIES
 

@@ -93,16 +93,16 @@ def held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def plain_scores(rows, levels=1):
+def plain_scores(rows, least):
     """Interpolated absolute discounting of words, pairs and triples, exact."""
     lower = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
     texts = [(k, [*WORD.findall((t or "").translate(lower)), None]) for k, t in rows]
     training = [t for k, t in texts if k is not None and not held(k)]
     one = Counter(w for t in training for w in t)
     two = Counter(p for t in training for p in zip(["<s>", *t], t))
-    two = {p: n for p, n in two.items() if n > 1}
+    two = {p: n for p, n in two.items() if n >= least}
     three = Counter(p for t in training for p in zip(["<s>", *t], t, t[1:]) if p[:2] in two and p[1:] in two)
-    three = {p: n for p, n in three.items() if n > 1 and levels > 1}
+    three = {p: n for p, n in three.items() if n >= least}
     kept = Counter()
     for level in (two, three):
         for p, n in level.items():
@@ -139,11 +139,11 @@ def close(found, expected):
 def test_scores_equal_plain_code(spark):
     docs = table(spark, "documents").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
-    for levels, found in (
+    for least, found in (
         (1, QUERIES["op10_lm_score"](spark, SF)),
         (2, score_corpus(docs, (2, 2))),
     ):
-        expected = plain_scores(rows, levels)
+        expected = plain_scores(rows, least)
         for row in found.collect():
             close(tuple(row)[1:], expected[row.doc_id])
 

@@ -20,7 +20,8 @@ DEAD = 0
 class _Nfa:
     """Byte transitions and empty moves; every state is a number."""
 
-    def __init__(self) -> None:
+    def __init__(self, backward: bool = False) -> None:
+        self.backward = backward
         self.moves: list[list[tuple[frozenset[int], int]]] = []
         self.empty: list[list[int]] = []
 
@@ -31,7 +32,7 @@ class _Nfa:
 
     def add(self, items, begin: int) -> int:
         """Hang the parsed ``items`` on ``begin``; return where they end."""
-        for kind, value in items:
+        for kind, value in reversed(items) if self.backward else items:
             if kind in (op.LITERAL, op.IN, op.NOT_LITERAL, op.ANY):
                 end = self.state()
                 self.moves[begin].append((_bytes(kind, value), end))
@@ -119,15 +120,16 @@ class Automaton:
 
 
 def compile_rules(
-    patterns: list[tuple[str, bool]], *, anywhere: bool
+    patterns: list[tuple[str, bool]], *, anywhere: bool, backward: bool = False
 ) -> Automaton:
     """One automaton of all ``(pattern, any_case)``.
 
     With ``anywhere`` a match may begin at each byte, so the automaton says
     after each byte which rules end there; otherwise it reads from a fixed
-    start and dies where no rule can go on.
+    start and dies where no rule can go on. With ``backward`` it reads texts from
+    their ends, and a rule ends where its matches begin.
     """
-    nfa = _Nfa()
+    nfa = _Nfa(backward)
     begin = nfa.state()
     ends: dict[int, int] = {}
     for rule, (pattern, any_case) in enumerate(patterns):

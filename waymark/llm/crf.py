@@ -32,12 +32,18 @@ def _log_sum(values: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit_features(
-    features: np.ndarray, labels: np.ndarray, size: int, kinds: int, steps: int = 300
+    features: np.ndarray,
+    labels: np.ndarray,
+    size: int,
+    kinds: int,
+    times: np.ndarray,
+    steps: int = 300,
 ) -> np.ndarray:
-    """Softmax regression; ``features`` holds the feature ids of each node."""
+    """Softmax regression; ``features`` holds the feature ids of each node, and
+    ``times`` how often it occurs."""
     rows, of = np.unique(features, axis=0, return_inverse=True)
     count = np.zeros((len(rows), kinds))
-    np.add.at(count, (of.ravel(), labels), 1)
+    np.add.at(count, (of.ravel(), labels), times)
     total = count.sum(axis=1, keepdims=True)
     weights = np.zeros((size, kinds))
     scale = np.full((size, kinds), 1e-8)
@@ -52,10 +58,12 @@ def fit_features(
     return weights
 
 
-def pair_weights(first: np.ndarray, second: np.ndarray, kinds: int, most: float = 3.0) -> np.ndarray:
+def pair_weights(
+    first: np.ndarray, second: np.ndarray, kinds: int, times: np.ndarray, most: float = 3.0
+) -> np.ndarray:
     """Log ratio of how often two labels meet and would meet by chance."""
     pairs = np.full((kinds, kinds), 0.5)
-    np.add.at(pairs, (first, second), 1.0)
+    np.add.at(pairs, (first, second), times)
     chance = pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True) / pairs.sum()
     return np.clip(np.log(pairs / chance), -most, most)
 

@@ -19,6 +19,7 @@ extracted each; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -73,25 +74,39 @@ OF_OTHERS = frozenset(
     "recommendations".split()
 )
 NOT_FURNITURE = frozenset(["has", "with", "no", "without"])
+# Those that are also subjects, and words that make them furniture.
+SUBJECTS = frozenset("social legal share sharing alert notice notices discussion skip".split())
+PARTS = frozenset(
+    "bar bars box btn button buttons block container content icon icons inner item items line "
+    "link links list outer panel row section site text top bottom wrap wrapper page post area".split()
+)
 
+# A quoted value ends where its quote is followed by the end of an attribute; a
+# tag whose quotes do not pair ends at the first ``>``. Nothing is read twice.
+_VALUES = (
+    r"(?:[^<>\"']++|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+"
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|iframe|object|canvas|select|button|textarea|title)"
-    r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"(?=[\s/>]){_VALUES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_VALUES}|[^<>]*+)>"
     r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^<>]*\Z",
+    r"|<[a-zA-Z][^<>]*+\Z",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b", re.I)
+_ATTRIBUTE = re.compile(
+    r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)|\b(hidden)\b", re.I
+)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-#: Kinds of furniture, by what else can be main text in it: a region and, where
-#: there is no other text, all of it; a region; ``main`` alone; nothing.
-FORM, LAYOUT, OTHERS, NEVER = 1, 2, 3, 4
+#: Kinds of furniture, by what else can be main text in it: what reads as text; a
+#: region and, where there is no other text, all of it; a region; ``main`` alone;
+#: nothing.
+DOUBTFUL, FORM, LAYOUT, OTHERS, NEVER = 1, 2, 3, 4, 5
 
 
 @dataclass
@@ -138,35 +153,56 @@ def _furniture(tag: str, attributes: str, in_region: bool) -> int:
             for part in value.split():
                 words = {w.lower() for w in _NAME_WORD.findall(part)}
                 if words & FURNITURE and not words & NOT_FURNITURE:
-                    kind = max(kind, OTHERS if words & OF_OTHERS else LAYOUT)
+                    kind = max(kind, _named(words))
                 if "header" in words and not in_region:
                     kind = max(kind, LAYOUT)
     return kind
 
 
+def _named(words: set[str]) -> int:
+    """The kind that the words of a class or id tell."""
+    if words & OF_OTHERS - SUBJECTS:
+        return OTHERS
+    # A subject with a word of its own, as in "share-price", proves little.
+    if words & FURNITURE <= SUBJECTS and words - FURNITURE - PARTS:
+        return DOUBTFUL
+    return OTHERS if words & OF_OTHERS else LAYOUT
+
+
 def blocks_of(html: str) -> list[Block]:
     """Cut a page into blocks with text, in page order."""
     out: list[Block] = []
     # Inline elements are counted only from an inline element of furniture on.
     stack: list[Open] = []
+    # How many elements of a name are open: an end tag without one is not sought.
+    opened: Counter[str] = Counter()
     links = 0
     block: Block | None = None
 
+    def push(element: Open) -> None:
+        stack.append(element)
+        opened[element.tag] += 1
+
+    def cut_off(at: int) -> None:
+        for element in stack[at:]:
+            opened[element.tag] -= 1
+        del stack[at:]
+
     def close(tag: str) -> None:
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at].tag == tag:
-                del stack[at:]
-                return
+        if opened[tag]:
+            cut_off(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
 
     def close_inline(tag: str) -> None:
         nonlocal block
+        if not opened[tag]:
+            return
         at = len(stack) - 1
         while at >= 0 and stack[at].inline and stack[at].tag != tag:
             at -= 1
         if at < 0 or not stack[at].inline:
             return
         cut = next((e for e in stack[at:] if e.cuts), None)
-        del stack[at:]
+        cut_off(at)
         if cut:
             block = cut.block
 
@@ -203,10 +239,10 @@ def blocks_of(html: str) -> list[Block]:
             if token[4].endswith("/"):
                 continue
             if kind:
-                stack.append(Open(tag, max(top.furniture, kind), top.region, True, True, block))
+                push(Open(tag, max(top.furniture, kind), top.region, True, True, block))
                 block = None
             elif top.inline:
-                stack.append(Open(tag, top.furniture, top.region, True))
+                push(Open(tag, top.furniture, top.region, True))
             continue
         block = None
         links = 0
@@ -217,8 +253,8 @@ def blocks_of(html: str) -> list[Block]:
         while inner >= 0 and stack[inner].inline:
             inner -= 1
         if inner >= 0 and stack[inner].tag in CLOSED_BY_BLOCK:
-            del stack[inner:]
-        if tag == "li":
+            cut_off(inner)
+        if tag == "li" and opened["li"]:
             for name in (e.tag for e in reversed(stack)):
                 if name in ("ul", "ol", "menu"):
                     break
@@ -233,7 +269,7 @@ def blocks_of(html: str) -> list[Block]:
             if furniture <= (OTHERS if tag == "main" else LAYOUT) and tag in REGIONS:
                 furniture = 0
             furniture = max(furniture, _furniture(tag, token[4], top.region))
-            stack.append(Open(tag, furniture, top.region or tag in REGIONS))
+            push(Open(tag, furniture, top.region or tag in REGIONS))
     add(html[at:])
     for each in out:
         raw = "".join(each.parts)
@@ -248,28 +284,60 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def reads_as_text(b: Block) -> bool:
+_SENTENCE = re.compile(r"[.!?…]+[\"'»”’)]*(?=\s|\Z)|[。！？।؟]")
+#: Letters, at most, of one sentence on average in running text.
+SENTENCE_LETTERS = 400
+
+
+def sentences_in(text: str) -> bool:
+    """Whether sentence marks are as dense as in running text of any language."""
+    marks = len(_SENTENCE.findall(text))
+    return marks > 0 and len(text) <= SENTENCE_LETTERS * marks
+
+
+def known_language(blocks: list[Block]) -> bool:
+    """Whether the long blocks hold some of the stop words at all."""
+    longest = [b.text for b in blocks if b.out < OTHERS and len(b.text) >= LONG_CHARS]
+    return not longest or stop_share(" ".join(longest)) >= STOP_SHARE / 3
+
+
+def reads_as_text(b: Block, known: bool = True) -> bool:
     return (
         len(b.text) >= LONG_CHARS
         and not b.heading
         and b.linked <= MOST_LINKED * len(b.text)
-        and stop_share(b.text) >= STOP_SHARE
+        and (stop_share(b.text) >= STOP_SHARE if known else sentences_in(b.text))
     )
 
 
 def classify(blocks: list[Block]) -> None:
-    """Label each block: True for main text."""
+    """Label each block: True for main text.
+
+    Where a page's language is not one of the stop words', sentence marks tell
+    running text. A region rules out the rest unless far more text is outside.
+    """
+    known = known_language(blocks)
+    doubtful = [b for b in blocks if b.out == DOUBTFUL]
+    if any(reads_as_text(b, known) and 10 * b.linked <= len(b.text) for b in doubtful):
+        for b in doubtful:
+            b.out = 0
     forms = [b for b in blocks if b.out == FORM]
     # The form of such a page holds the page.
-    if any(map(reads_as_text, forms)) and not any(reads_as_text(b) for b in blocks if not b.out):
+    if any(reads_as_text(b, known) for b in forms) and not any(
+        reads_as_text(b, known) for b in blocks if not b.out
+    ):
         for b in forms:
             b.out = 0
     region = any(b.region and not b.out for b in blocks)
+    if region:
+        readable = [(b.region, len(b.text)) for b in blocks if not b.out and reads_as_text(b, known)]
+        inside = sum(size for within, size in readable if within)
+        region = sum(size for within, size in readable if not within) <= 2 * inside or not readable
     for b in blocks:
         if b.out or b.region != region or b.linked > MOST_LINKED * len(b.text):
             b.label = False
         elif len(b.text) >= LONG_CHARS and not b.heading:
-            if stop_share(b.text) >= STOP_SHARE:
+            if reads_as_text(b, known):
                 b.label = True
             elif not region and b.linked:
                 b.label = False

@@ -233,14 +233,14 @@ def predict_languages(
 
 
 def in_known_languages(
-    documents: DataFrame, *, least_score: float = 0.2, judged_chars: int = 200, seed: int = 11
+    documents: DataFrame, *, least_score: float = 0.2, spread: float = 2.0, seed: int = 11
 ) -> DataFrame:
     """The documents whose text is in one of the languages they are labelled with.
 
-    A text without a letter goes, and so does one of ``judged_chars`` characters
-    or more that is less than ``least_score`` like every language; a shorter one
-    says too little to be judged. If no language can be learnt, only texts
-    without a letter go.
+    A text without a letter goes, and so does one that is less like every language
+    than ``least_score`` even if its cosine lies ``spread`` standard errors below
+    the true one: with n grams the standard error is 1 / sqrt(n). If no language
+    can be learnt, only texts without a letter go.
     """
     training = documents.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     profiles = learn_profiles(training, seed)
@@ -252,8 +252,9 @@ def in_known_languages(
             found, lettered = bundles(texts, seed)
             size = np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
             best = ((found / size) @ matrix).max(axis=1)
-            short = np.array([len(t) < judged_chars for t in texts], bool)
-            like = short | (best >= least_score) | (not profiles)
+            _, owner, _ = text_grams(texts)
+            grams = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+            like = (best + spread / np.sqrt(grams) >= least_score) | (not profiles)
             yield part.filter(pa.array(lettered & like))
         release(_vectors)
 

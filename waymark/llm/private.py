@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,8 @@ from waymark.llm.spans import SPAN_SCHEMA, SPAN_TYPE, code_points
 from waymark.llm.words import Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents, and tokens of theirs, that the field learns from at most.
+#: Documents, about, that the field learns from at most; all their tokens count.
 SAMPLE_DOCUMENTS = 20_000
-SAMPLE_TOKENS = 50_000
 #: Chance from which a token of the field's counts as personal.
 CERTAIN = 0.9
 _LABELS = len(KINDS) + 1
@@ -77,7 +77,8 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     """Start, kind and end of each well-formed item, in bytes, in order."""
     out = [(b, 0, e) for b, e in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip(b"0")) < 4 and int(p) <= 255 for p in m[0].split(b".")):
+        parts = [p.lstrip(b"0") or b"0" for p in m[0].split(b".")]
+        if all(len(p) < 4 and int(p) <= 255 for p in parts):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub(b"", m[0])
@@ -209,22 +210,28 @@ def learn_field(documents: DataFrame, total: int) -> Field | None:
         .mapInArrow(nodes, "features array<int>, label int, chain int, skip int")
         .groupBy("features", "label", "chain", "skip")
         .count()
-        .orderBy(F.desc("count"), "features", "label", "chain", "skip")
-        .limit(SAMPLE_TOKENS)
         .toPandas()
+        .sort_values(["label", "chain", "skip", "features"], key=_sortable)
     )
     if len(sample) == 0:
         return None
-    times = np.minimum(sample["count"].to_numpy(), 50)
-    features = np.repeat(np.stack(sample["features"].to_numpy()), times, axis=0)
-    label, chain, skip = (np.repeat(sample[c].to_numpy(), times) for c in ("label", "chain", "skip"))
+    times = sample["count"].to_numpy(float)
+    features = np.stack(sample["features"].to_numpy())
+    label, chain, skip = (sample[c].to_numpy() for c in ("label", "chain", "skip"))
+
+    def pairs(other: np.ndarray) -> np.ndarray:
+        met = other >= 0
+        return pair_weights(other[met], label[met], _LABELS, times[met])
+
     return Field(
-        fit_features(features, label, _FEATURES, _LABELS),
-        pair_weights(chain[chain >= 0], label[chain >= 0], _LABELS),
-        pair_weights(skip[skip >= 0], label[skip >= 0], _LABELS),
+        fit_features(features, label, _FEATURES, _LABELS, times), pairs(chain), pairs(skip)
     )
 
 
+def _sortable(column: pd.Series) -> pd.Series:
+    return column.map(tuple) if column.name == "features" else column
+
+
 _TRIM_LEFT, _TRIM_RIGHT = b"\"'<[{,;:", b"\"'>]}.,;:!?"
 
 

@@ -3,8 +3,10 @@
 The marks of all rules are compiled into one minimal automaton that runs over
 every byte once. Bytes that always lead back to its start let a slice of texts
 be cut into short lanes, which then move through the transition array together.
-Only texts with a mark are looked at again: the rule's own automaton reads from
-each possible start, so matches are leftmost, longest and do not overlap.
+Only texts with a mark are looked at again: the rule's backward automaton reads
+the text once from its end and tells where matches begin, and its forward one
+reads from there, so matches are leftmost, longest and do not overlap, and no
+text is read again from starts that lead to nothing.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned each;
 an empty table gives an empty result; further columns are ignored.
@@ -78,6 +80,25 @@ def rule_automaton(rule: SecretRule) -> Automaton:
     return compile_rules([(rule.pattern, rule.any_case)], anywhere=False)
 
 
+@lru_cache(maxsize=64)
+def begins_automaton(rule: SecretRule) -> tuple[list[int], int, int]:
+    """Transitions, start and first accepting state of the backward automaton."""
+    found = compile_rules([(rule.pattern, rule.any_case)], anywhere=True, backward=True)
+    return found.table.tolist(), found.start, found.accepting
+
+
+def match_begins(raw: bytes, rule: SecretRule) -> list[int]:
+    """Where a match of the rule can begin, in order."""
+    table, state, accepting = begins_automaton(rule)
+    found = []
+    for at in range(len(raw) - 1, -1, -1):
+        state = table[state << 8 | raw[at]]
+        if state >= accepting:
+            found.append(at)
+    found.reverse()
+    return found
+
+
 def marked(data: np.ndarray, offsets: np.ndarray, automaton: Automaton) -> np.ndarray:
     """Per text, the bits of the rules whose mark it holds."""
     out = np.zeros(len(offsets) - 1, np.int64)
@@ -110,15 +131,9 @@ def matches(data: np.ndarray, rule: SecretRule) -> list[tuple[int, int]]:
     """Leftmost longest matches of a rule in one text, as byte ranges."""
     automaton = rule_automaton(rule)
     table, accepting = automaton.table, automaton.accepting
-    codes = data.astype(np.int32)
-    first = table[(automaton.start << 8) | codes]
-    alive = first != 0
-    # Most starts die on the second byte; the rest are read one by one.
-    second = table[(first[:-1] << 8) | codes[1:]]
-    alive[:-1] &= (second != 0) | (first[:-1] >= accepting)
     raw = data.tobytes()
     out, free = [], 0
-    for begin in np.flatnonzero(alive).tolist():
+    for begin in match_begins(raw, rule):
         if begin < free:
             continue
         state, end, value = automaton.start, -1, 0

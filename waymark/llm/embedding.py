@@ -138,15 +138,25 @@ def _comparisons(cells: DataFrame, part_rows: int) -> DataFrame:
     return inside.union(lower).union(upper)
 
 
-def _close_pairs(u, v, low, high, budget, threshold, ranges, block, same):
-    """Positions in ``u`` and ``v`` of the tile's pairs that count here."""
+def _spread(turned: np.ndarray, left: bool) -> np.ndarray:
+    """Rows whose products, left with right, are squared distances."""
+    size = (turned * turned).sum(axis=1)
+    one = np.ones(len(turned))
+    parts = (turned, size, one) if left else (-2 * turned, one, size)
+    return np.column_stack(parts).astype(np.float32)
+
+
+def _close_pairs(u, v, near, low, high, budget, threshold, ranges, block, same):
+    """Positions in ``u`` and ``v`` of the tile's pairs that count here.
+
+    ``near`` marks the pairs whose block distance, in single precision and with
+    room for its rounding, keeps the budget; all else is in double precision.
+    """
     (unit_u, turn_u), (unit_v, turn_v) = u, v
-    p, q = turn_u[:, low:high], turn_v[:, low:high]
-    apart = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (p @ q.T)
-    i, j = np.nonzero(apart <= budget * (1 + 1e-3) + 1e-6)
+    i, j = np.divmod(np.flatnonzero(near), near.shape[1])
     if len(i) == 0:
         return i, j
-    if len(i) * 8 > apart.size:
+    if len(i) * 8 > near.size:
         ok = (unit_u @ unit_v.T)[i, j] >= threshold
         i, j = i[ok], j[ok]
     else:
@@ -189,6 +199,9 @@ def compare_parts(rows: pa.Table, threshold: float, blocks: int, seed: int) -> p
     left = left[np.argsort(first[left], kind="stable")]
     right = right[np.argsort(first[right], kind="stable")]
     radius = np.sqrt(budget) * 1.001
+    limit = np.float32(budget * (1 + 1e-3) + 1e-5)
+    of_left = _spread(turned[left, low:high], True)
+    of_right = _spread(turned[right, low:high], False).T
     links = np.zeros(len(node), np.int64)
     ends: list[np.ndarray] = []
     for at in range(0, len(left), _TILE):
@@ -196,11 +209,15 @@ def compare_parts(rows: pa.Table, threshold: float, blocks: int, seed: int) -> p
         begin = np.searchsorted(first[right], first[tile[0]] - radius)
         end = np.searchsorted(first[right], first[tile[-1]] + radius, "right")
         for strip in range(begin, end, _STRIP):
-            other = right[strip : min(strip + _STRIP, end)]
+            until = min(strip + _STRIP, end)
+            other = right[strip:until]
+            near = of_left[at : at + _TILE] @ of_right[:, strip:until] <= limit
+            if not near.any():
+                continue
             # Within one part each pair is met from its smaller position.
             same = None if across else (lambda i, j, t=tile, o=other: t[i] < o[j])
             i, j = _close_pairs(
-                (unit[tile], turned[tile]), (unit[other], turned[other]),
+                (unit[tile], turned[tile]), (unit[other], turned[other]), near,
                 low, high, budget, threshold, ranges, block, same,
             )
             a, b = tile[i], other[j]

@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.components import connected_components
-from waymark.llm.storage import written
+from waymark.llm.components import connected_components, joined_components
+from waymark.llm.storage import dropped, written
 from waymark.llm.words import Words, mix, release, slices
 
 BANDS, BAND_ROWS = 40, 5
@@ -386,11 +386,13 @@ def _decided(
         verified(_bounded(stars, cells, percent), texts, shingle, percent), "minhash-links"
     )
     labels = connected_components(links)
+    dropped(links)
     for likeliest in (True, False):
         pairs = _between_components(shared, labels, cells, percent, likeliest=likeliest)
-        more = written(verified(pairs, texts, shingle, percent), "minhash-links")
-        links = links.union(more)
-        labels = connected_components(links)
+        links = written(verified(pairs, texts, shingle, percent), "minhash-links")
+        labels = joined_components(labels, links)
+        dropped(links)
+    dropped(one, shared, texts)
     return _with_components(nodes, classes, labels)
 
 
@@ -407,10 +409,10 @@ def one_of_each(documents: DataFrame, **settings) -> DataFrame:
         .agg(F.min("stays").alias("stays"), F.count("*").alias("copies")),
         "minhash-decisions",
     ).withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"})
-    dropped = decided.filter(~F.col("stays"))
+    leaving = decided.filter(~F.col("stays"))
     repeated = decided.filter("stays AND copies > 1")
     same = (F.col("doc_id") == F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))
-    kept = documents.join(dropped, same, "left_anti")
+    kept = documents.join(leaving, same, "left_anti")
     single = kept.join(repeated, same, "left_anti")
     several = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.union(several).select(*documents.columns)

@@ -29,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     gc.collect(0)
     spark.sparkContext._jvm.System.gc()
     back = spark.read.schema(df.schema).parquet(path)

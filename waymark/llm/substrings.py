@@ -20,7 +20,7 @@ that covers it also stands in a document with a smaller id.
    factor boundaries are looked up too. Factors are the repeated spans.
 5. An anchor with more than ``crowd`` segments would overfill its block. There
    every window is a segment of its own, so step 3 alone already finds which
-   document has it first.
+   document has it first, and such segments are dealt out by their words.
 
 Passages are compared as words, not as hashes; classes and segments are known by
 128-bit digests.
@@ -48,7 +48,7 @@ WINDOW = 13
 #: Words of an anchor.
 ANCHOR = 5
 #: Segments beyond which an anchor is a crowd; segments of one block.
-CROWD, BLOCK_SEGMENTS = 5_000, 40_000
+CROWD, BLOCK_SEGMENTS = 2_000, 40_000
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _LAST = (1 << 63) - 1
 RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -134,18 +134,22 @@ def _segments(chosen: DataFrame, window: int, anchor: int) -> DataFrame:
                     pa.array(begin - words.bounds[text]),
                     pa.array(end - words.bounds[text]),
                     pa.array(values[first]),
+                    pa.array(alone[first]),
                     pa.array(
                         [line[a:b] for a, b in zip(place[begin].tolist(), (place[end] - 1).tolist())],
                         pa.binary(),
                     ).cast(pa.string()),
                 ],
-                ["row", "id", "start", "end", "anchor", "body"],
+                ["row", "id", "start", "end", "anchor", "alone", "body"],
             )
         release()
 
-    return chosen.select("row", "id", "text", "anchors", "crowds").mapInArrow(
-        run, "row long, id long, start long, end long, anchor long, body string"
+    found = chosen.select("row", "id", "text", "anchors", "crowds").mapInArrow(
+        run, "row long, id long, start long, end long, anchor long, alone boolean, body string"
     )
+    # A window of its own is compared with equal ones only: any block will do.
+    block = F.when(F.col("alone"), F.xxhash64("body")).otherwise(F.col("anchor"))
+    return found.withColumn("anchor", block).drop("alone")
 
 
 class Reference:

@@ -14,7 +14,9 @@ from waymark.operators.default_model import build_default_model
 from waymark.operators.incremental import (
     FoldModel,
     fit_models,
+    packed,
     training_scales,
+    unpacked,
 )
 from waymark.operators.permutation import shuffled_copies
 from waymark.operators.sampling import stratified_folds
@@ -416,3 +418,47 @@ def test_shap_frame_size(spark):
     assert explain.shap_rows(contributions, features=["x"]).count() == 24
     ranked = scores(explain.shap_importance(rows))
     assert ranked["y"] == pytest.approx(0.0) and ranked["x"] > 0
+
+
+def plain_newton(x, y, steps=100):
+    """Standardised columns with an intercept; the unregularised fit."""
+    design = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / x.std(axis=0)])
+    beta = np.zeros(design.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.solve((design.T * (p * (1 - p))) @ design, design.T @ (y - p))
+    return beta
+
+
+def test_forty_features_without_each(spark):
+    """Models without one feature start from the full fit and end where they would alone."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 40)) @ (np.eye(40) + 0.2 * rng.normal(size=(40, 40)))
+    y = (x[:, 0] - x[:, 1] + rng.logistic(size=900) * 2 > 0).astype(int)
+    names = [f"f{k}" for k in range(40)]
+    rows = spark.createDataFrame(
+        [(k, int(t), k % 2, *map(float, v)) for k, (t, v) in enumerate(zip(y, x))],
+        f"__row_id long, {ranking.TARGET} int, fold int, " + ", ".join(f"{n} double" for n in names),
+    ).repartition(7)
+    means, scales = training_scales(rows, names, 2)
+    every = list(range(40))
+    full = [FoldModel(held, every) for held in range(2)]
+    starts = fit_models(rows, names, full, means, scales)
+    assert sorted(starts) == [0, 1] and all(len(s) == 40 for s in starts.values())
+    part = []
+    for held in range(2):
+        for left_out in (0, 17, 39):
+            model = FoldModel(held, [k for k in every if k != left_out])
+            model.coefficients = starts[held][left_out]
+            part.append(model)
+    fit_models(rows, names, part, means, scales)
+    for model in [*full, *part]:
+        train = np.arange(900) % 2 != model.fold
+        expected = plain_newton(x[train][:, model.used], y[train])
+        assert model.done and model.coefficients == pytest.approx(expected, abs=1e-5)
+
+
+def test_packed_triangles():
+    matrix = np.array([[1.0, 2, 3], [2, 4, 5], [3, 5, 6]])
+    assert packed(matrix).tolist() == [1, 2, 3, 4, 5, 6]
+    assert (unpacked(packed(matrix), 3) == matrix).all()

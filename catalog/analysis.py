@@ -25,6 +25,7 @@ from .registry import (
     line_items,
     query,
 )
+from .newton import newton_ctes
 from .profiling import PICKED
 from .scoring import LINEAR
 
@@ -292,7 +293,33 @@ def permutation_importance(spark, sf_dir):
     return permutation_of(frame, LINEAR, ["value", "k"], POINTS)
 
 
-@query()
+_STEPS = 9
+_FOLDED = f"""{EV}, fo AS (SELECT row_id, CAST(label = 'matched' AS INTEGER) AS y,
+    value::DOUBLE AS x1, k::DOUBLE AS x2, time::DOUBLE AS x3,
+    (row_number() OVER (PARTITION BY label ORDER BY md5(concat('7:', row_id)), row_id) - 1) % 5
+      AS fold FROM ev),
+sc AS (SELECT held, {", ".join(
+    f"avg(x{i}) AS c{i}, stddev_pop(x{i}) AS d{i}" for i in (1, 2, 3))}
+  FROM fo, range(5) t(held) WHERE fold <> held GROUP BY held),
+ro AS MATERIALIZED (SELECT y, fold, held AS of_held, {", ".join(
+    f"(x{i} - c{i}) / d{i} AS z{i}" for i in (1, 2, 3))} FROM fo, sc),
+mo AS (SELECT held, name, CAST(name <> 'value' AS INTEGER) AS m1,
+    CAST(name <> 'k' AS INTEGER) AS m2, CAST(name <> 'time' AS INTEGER) AS m3
+  FROM range(5) t(held), (VALUES (''), ('value'), ('k'), ('time')) f(name))"""
+
+
+# The twin fits every model from zero by Newton steps spelled out in SQL.
+@query(f"""WITH {_FOLDED},
+{newton_ctes("ro", "mo", ["name", "held"], 4, match="of_held = held AND fold <> held",
+             steps=_STEPS, ridge="1e-4")},
+lf AS (SELECT name AS feature, y,
+    1 / (1 + exp(-(b0 + b1 * m1 * z1 + b2 * m2 * z2 + b3 * m3 * z3))) AS value
+  FROM mo JOIN w{_STEPS} USING (name, held) JOIN ro ON of_held = held AND fold = held),
+auc AS ({_AUC}),
+gain AS (SELECT a.feature, b.score - a.score AS score FROM auc a, auc b
+  WHERE b.feature = '' AND a.feature <> '')
+{_result(ranking.INCREMENTAL_AUC, "SELECT * FROM gain", "greatest(score, 0)", DIRECTION, 5)}""",
+       digits=5)
 def incremental_cv_auc(spark, sf_dir):
     frame = ranking.labelled_features(
         event_points(spark, sf_dir), ["value", "k", "time"], "label", "matched", POINTS

@@ -6,6 +6,7 @@ from waymark.functions.scores import with_model_path
 from waymark.operators import explain, ranking
 from waymark.operators.default_model import build_default_model
 
+from .newton import newton_ctes
 from .registry import EV, POINTS, event_points, query
 from .scoring import LINEAR
 
@@ -126,7 +127,23 @@ def _scored(spark, sf_dir, spec):
     return scored.select("row_id", "label", "model_score", "model")
 
 
-@query()
+_FIT_STEPS = 9
+
+
+# Balanced class weights, standardised inputs and a squared penalty of 1/2.
+@query(f"""WITH {EV}, st AS (SELECT avg(value) AS c1, stddev_pop(value) AS d1, avg(k) AS c2,
+    stddev_pop(k) AS d2, count(*) AS n, count(*) FILTER (WHERE label = 'matched') AS p FROM ev),
+ro AS MATERIALIZED (SELECT row_id, label, CAST(label = 'matched' AS INTEGER) AS y,
+    (value - c1) / d1 AS z1, (k - c2) / d2 AS z2,
+    CASE WHEN label = 'matched' THEN n / (2 * p) ELSE n / (2 * (n - p)) END AS class_weight
+  FROM ev, st),
+mo AS (SELECT 0 AS one, 1 AS m1, 1 AS m2),
+{newton_ctes("ro", "mo", ["one"], 3, match="true", steps=_FIT_STEPS, weight="class_weight",
+             penalty="1.0")},
+sd AS (SELECT row_id, label, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))) AS s
+  FROM ro, w{_FIT_STEPS})
+SELECT row_id, label, round(s, 3) AS model_score, CAST(s >= 0.5 AS TINYINT) AS model FROM sd""",
+       digits=3)
 def default_logistic_scores(spark, sf_dir):
     return _scored(spark, sf_dir, _model(spark, sf_dir, "Logistic regression"))
 

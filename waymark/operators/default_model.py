@@ -42,6 +42,9 @@ BOOSTING_DEFAULTS = {
     "subsample": 1.0,
 }
 
+#: Relative change of the objective at which a logistic fit ends.
+LOGISTIC_TOLERANCE = 1e-13
+
 # Spark ML's own limit on the depth of a tree.
 DEEPEST_TREE = 30
 
@@ -133,6 +136,7 @@ def _fit_logistic(frame, features, given, total_weight, seed) -> LinearModel:
         estimator.setRegParam(1.0 / (settings["C"] * total_weight))
         .setElasticNetParam(1.0 if settings["penalty"] == "l1" else 0.0)
         .setMaxIter(int(settings["max_iter"]))
+        .setTol(LOGISTIC_TOLERANCE)
         .setFitIntercept(bool(settings["fit_intercept"]))
     )
     fitted = estimator.fit(_assembled(scaled, features))

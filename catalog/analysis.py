@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from waymark.functions.bijection import PRIME, ROUNDS, SPARE, round_keys
 from waymark.operators import ranking
 from waymark.operators.incremental import incremental_auc
 from waymark.operators.permutation import permutation_importance as permutation_of
@@ -268,24 +269,44 @@ def sampled_feature_ranking(spark, sf_dir):
     )
 
 
+_MOVED = ["value", "k"]
+_TURNS = """SELECT f, num, turn, n, a, b, x // b AS u, x % b AS v, a AS mu, b AS mv
+  FROM wk, gr WHERE turn = 0 OR x >= n"""
+for _k in range(ROUNDS):
+    _key = " ".join(
+        f"WHEN '{name}' THEN {round_keys(7, place)[_k]}" for place, name in enumerate(_MOVED)
+    )
+    _c = f"((v + CASE f {_key} END) % {PRIME})"
+    _TURNS = (
+        f"SELECT f, num, turn, n, a, b, v AS u, (u + {_c} * {_c} % {PRIME} * {_c} % {PRIME}) % mu AS v, "
+        f"mv AS mu, mu AS mv FROM ({_TURNS})"
+    )
+
+
 # Near-equal scores are ties or not by the last bit of a sum, so the twin adds in
-# the same order and one digit less is compared.
-@query(f"""WITH {EV}, o AS (
+# the same order and two digits less are compared. ``wk`` turns the network until a
+# number is back in the range.
+@query(f"""WITH RECURSIVE {EV}, o AS MATERIALIZED (
   SELECT *, CAST(label = 'matched' AS INTEGER) AS y,
-    row_number() OVER (ORDER BY md5(concat('7:', row_id)), row_id) AS place,
-    row_number() OVER (ORDER BY md5(concat('8:', row_id)), row_id) AS at_value,
-    row_number() OVER (ORDER BY md5(concat('9:', row_id)), row_id) AS at_k FROM ev),
+    row_number() OVER (ORDER BY row_id) - 1 AS num FROM ev),
+sz AS (SELECT count(*) AS n FROM ev),
+gr AS (SELECT n, max(t.a) AS a, (n + max(t.a) - 1) // max(t.a) AS b FROM sz, range(1, 10001) t(a)
+  WHERE t.a * t.a <= n AND (t.a - n % t.a) % t.a <= {SPARE} GROUP BY n),
+wk AS (
+  SELECT f, num, num AS x, 0 AS turn FROM o, (VALUES ('value'), ('k')) t(f)
+  UNION ALL SELECT f, num, u * b + v, turn + 1 FROM ({_TURNS})),
+sent AS (SELECT f, num AS origin, x AS num FROM wk, gr WHERE turn > 0 AND x < n),
 lf AS (
   SELECT '' AS feature, y, 1 / (1 + exp(-(-0.5 + 0.02 * value + -0.05 * k))) AS value FROM o
   UNION ALL SELECT 'value', o.y, 1 / (1 + exp(-(-0.5 + 0.02 * s.value + -0.05 * o.k)))
-    FROM o JOIN o s ON o.at_value = s.place
+    FROM o JOIN sent ON sent.f = 'value' AND sent.num = o.num JOIN o s ON s.num = origin
   UNION ALL SELECT 'k', o.y, 1 / (1 + exp(-(-0.5 + 0.02 * o.value + -0.05 * s.k)))
-    FROM o JOIN o s ON o.at_k = s.place),
+    FROM o JOIN sent ON sent.f = 'k' AND sent.num = o.num JOIN o s ON s.num = origin),
 auc AS ({_AUC}),
 loss AS (SELECT a.feature, b.score - a.score AS score FROM auc a, auc b
   WHERE b.feature = '' AND a.feature <> '')
-{_result(ranking.PERMUTATION, "SELECT * FROM loss", "abs(score)", DIRECTION, 5)}""",
-       digits=5)
+{_result(ranking.PERMUTATION, "SELECT * FROM loss", "abs(score)", DIRECTION, 4)}""",
+       digits=4)
 def permutation_importance(spark, sf_dir):
     frame = ranking.labelled_features(
         event_points(spark, sf_dir), ["value", "k"], "label", "matched", POINTS

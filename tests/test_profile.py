@@ -1,14 +1,17 @@
+import math
 import random
 from bisect import bisect_right
 
+import numpy as np
 import pytest
 from frames import frame
+from pyspark.sql import functions as F
 
+from waymark.functions.bijection import grid, round_keys, shuffled
 from waymark.functions.ranges import RangeFilter
-from waymark.operators import sampling
-from waymark.operators.ordering import bucket_cuts, bucket_of, cumulative_counts, hash_ranks
+from waymark.operators import ordering, sampling
+from waymark.operators.ordering import bucket_of, cumulative_counts, hash_ranks
 from waymark.operators.profile import ecdf, histogram
-from pyspark.sql import functions as F
 
 
 def skewed(spark, size=3000, seed=1):
@@ -49,20 +52,64 @@ def test_ecdf_matches_brute_force(spark):
         assert all(r.ecdf == pytest.approx(bisect_right(values, r.x) / len(values)) for r in mine)
 
 
-def test_buckets_are_monotone_and_balanced(spark):
-    points, data = skewed(spark, 8000)
-    cuts = bucket_cuts(points, "x")
-    assert cuts == sorted(set(cuts)) and len(cuts) >= 8
-    placed = points.select("x", bucket_of(F.col("x"), cuts).alias("b")).collect()
-    assert all(r.b == bisect_right(cuts, r.x) for r in placed)
-    distinct = points.select("x").distinct().select(bucket_of(F.col("x"), cuts).alias("b"))
-    sizes = [r["count"] for r in distinct.groupBy("b").count().collect()]
-    assert max(sizes) < 4 * sum(sizes) / len(cuts)
-    whole = spark.range(5000)
-    cuts = bucket_cuts(whole, "id")
-    assert all(isinstance(cut, int) for cut in cuts)
-    placed = whole.select("id", bucket_of(F.col("id"), cuts).alias("b")).collect()
-    assert all(r.b == bisect_right(cuts, r.id) for r in placed)
+NUMBERS = [
+    0.0, -0.0, 1e-300, 1e-9, 0.5, 1.0, 1.0 + 1e-15, 2.0, 1e15, 1e15 + 0.5, 1e308, math.inf,
+    -1e-9, -0.5, -1.0, -1e15, -1e308, -math.inf,
+]
+
+
+@pytest.mark.parametrize("scale", [ordering.COARSE, ordering.FINE])
+def test_buckets_never_fall(spark, scale):
+    rng = random.Random(1)
+    values = NUMBERS + [rng.uniform(-1, 1) * 10 ** rng.uniform(-12, 18) for _ in range(2000)]
+    points = frame(spark, "x double", [(x,) for x in [*values, math.nan]])
+    placed = points.select("x", bucket_of(F.col("x"), scale).alias("b")).collect()
+    known = sorted((r.x, r.b) for r in placed if not math.isnan(r.x))
+    assert [b for _, b in known] == sorted(b for _, b in known)
+    assert all(r.b == ordering.LARGEST_LONG for r in placed if math.isnan(r.x))
+
+
+def test_crowded_buckets_are_cut_finer(spark, monkeypatch):
+    points, data = skewed(spark, 3000)
+    weights = {"n": F.lit(1)}
+
+    def counted():
+        return sorted(tuple(r) for r in cumulative_counts(points, ["g"], "x", weights).collect())
+
+    whole = counted()
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 3)
+    assert counted() == whole
+    for g, x, n, upto, total in whole:
+        same = [v for _, v, h in data if h == g]
+        assert (n, upto, total) == (same.count(x), sum(v <= x for v in same), len(same))
+
+
+def test_numbers_have_no_gaps(spark):
+    ids = spark.range(0, 3000, 7, numPartitions=5).select((F.col("id") * -3).alias("id"))
+    rows, size = ordering.numbered(ids, "id", "number")
+    found = {r.id: r.number for r in rows.collect()}
+    assert size == len(found)
+    assert [found[k] for k in sorted(found)] == list(range(len(found)))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 17, 256, 997, 4099])
+def test_places_are_a_permutation(spark, size):
+    orders = [
+        [r[0] for r in spark.range(size).select(shuffled(F.col("id"), size, round_keys(7, f))).collect()]
+        for f in range(3)
+    ]
+    assert all(sorted(order) == list(range(size)) for order in orders)
+    if size > 900:
+        for order in orders:
+            assert sum(k == x for k, x in enumerate(order)) < 12
+            assert abs(np.corrcoef(order, range(size))[0, 1]) < 0.15
+        assert abs(np.corrcoef(orders[0], orders[1])[0, 1]) < 0.15
+
+
+def test_large_grids_have_few_spare_cells():
+    for size in (10**9 + 7, 10**12 + 39, 2**31 - 1):
+        a, b = grid(size)
+        assert 0 <= a * b - size <= 15 and a > 1000
 
 
 def test_cumulative_counts_with_null_group_and_nan(spark):

@@ -4,12 +4,13 @@ Everything here follows one scheme. Rows are first reduced to one row per
 (group, value), so a value held by a third of the table costs one row. The
 value axis is then cut into buckets, each bucket is summed and sorted on its
 own task, and the small per-bucket totals give every bucket its starting
-offset. Cut points only steer the balance; results do not depend on them.
+offset. A bucket follows from the value itself: an interval of a logarithmic axis,
+cut finer where it is crowded. So nothing runs before the query does, and
+results do not depend on the cuts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,92 +18,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import written
+
 BUCKET = "__bucket"
 _CELL = "__cell"
 
-#: Rows that one bucket should hold; the number of buckets follows the table.
+#: Different values of one group from which a bucket is cut finer.
 BUCKET_ROWS = 1_000_000
-LEAST_BUCKETS = 16
-_SKETCH_SHARDS = 64
+#: Intervals of a bucket per unit of ``log(1 + |value|)``. Of the fine ones, one
+#: holds at most some four million different doubles.
+COARSE, FINE = 64.0, 2.0**30
+#: Leading hex digits of a hash that make its bucket: 65,536 buckets.
+HASH_DIGITS = 4
 LARGEST_LONG = 2**63 - 1
 
 
-def bucket_cuts(df: DataFrame, value: str) -> list:
-    """Return sorted cut points of ``value``, as many as the rows ask for.
-
-    The quantile sketches are merged in up to 64 tasks, then the driver merges
-    64 arrays of one number a bucket. A table whose rows ask for more buckets
-    than the first sketch has is sketched once more.
-    """
-    buckets = LEAST_BUCKETS
-    while True:
-        sketches = _quantile_sketches(df, value, buckets)
-        total = sum(row.rows for row in sketches)
-        wanted = -(-total // BUCKET_ROWS)
-        if wanted <= buckets:
-            return _merged_cuts(sketches, buckets)
-        buckets = wanted
-
-
-def _quantile_sketches(df: DataFrame, value: str, buckets: int) -> list:
-    shares = [step / buckets for step in range(1, buckets)]
-    return (
-        df.select(value, (F.spark_partition_id() % _SKETCH_SHARDS).alias("shard"))
-        .groupBy("shard")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.percentile_approx(value, shares, 4 * buckets).alias("quantiles"),
-        )
-        .select("rows", "quantiles")
-        .collect()
-    )
-
-
-def _merged_cuts(sketches: list, buckets: int) -> list:
-    weighted = sorted(
-        (quantile, row.rows / len(row.quantiles))
-        for row in sketches
-        for quantile in row.quantiles or []
-        if not math.isnan(quantile)
-    )
-    step = sum(weight for _, weight in weighted) / buckets
-    cuts, seen = [], 0.0
-    for quantile, weight in weighted:
-        seen += weight
-        if seen >= step * (len(cuts) + 1) and (not cuts or quantile > cuts[-1]):
-            cuts.append(quantile)
-    return cuts
-
-
-def bucket_of(value: Column, cuts: Sequence) -> Column:
-    """Count the cut points at or below ``value`` by binary search."""
-    if not cuts:
-        return F.lit(0)
-    size = 1
-    while size <= len(cuts):
-        size *= 2
-    exact = all(isinstance(cut, int) for cut in cuts)
-    # Filler sorts after every value.
-    filler = LARGEST_LONG if exact else float("nan")
-    padding = [filler] * (size - 1 - len(cuts))
-    text = ",".join(repr(cut) for cut in [*cuts, *padding])
-    ladder = F.split(F.lit(text), ",").cast(
-        "array<bigint>" if exact else "array<double>"
+def bucket_of(value: Column, scale: float) -> Column:
+    """The interval of a value, which never falls as the value rises; NaN is last."""
+    x = value.cast("double")
+    place = F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(scale))
+    return F.when(F.isnan(x), F.lit(LARGEST_LONG)).otherwise(place)
+
+
+def _bucketed(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Add the bucket of each row: a coarse interval, and a fine one in crowds."""
+    coarse = counts.withColumn("__coarse", bucket_of(F.col(value), COARSE))
+    # At most one row for every ``BUCKET_ROWS`` rows of ``counts``.
+    crowds = (
+        coarse.groupBy(*groups, "__coarse")
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .filter(F.col("__rows") > BUCKET_ROWS)
+        .select("__coarse")
+        .distinct()
+        .withColumn("__crowd", F.lit(True))
     )
-    strides = []
-    while size > 1:
-        size //= 2
-        strides.append(size)
-    place = F.aggregate(
-        F.array(*[F.lit(stride) for stride in strides]),
-        F.lit(0),
-        lambda below, stride: F.when(
-            F.element_at(ladder, below + stride) <= value, below + stride
-        ).otherwise(below),
+    fine = F.when(F.col("__crowd"), bucket_of(F.col(value), FINE)).otherwise(F.lit(0))
+    bucket = F.struct(F.col("__coarse").alias("coarse"), fine.cast("long").alias("fine"))
+    return (
+        coarse.join(F.broadcast(crowds), "__coarse", "left")
+        .withColumn(BUCKET, bucket)
+        .drop("__coarse", "__crowd")
     )
-    # The optimizer does not see a column that occurs inside a lambda only, and
-    # then infers a join filter on the side that lacks it.
-    return F.when(value.isNotNull(), place).otherwise(F.lit(0))
 
 
 def cumulative_counts(
@@ -119,12 +75,10 @@ def cumulative_counts(
     """
     if isinstance(df.schema[value].dataType, T.DecimalType):
         df = df.withColumn(value, F.col(value).cast("double"))
-    cuts = bucket_cuts(df, value)
     counts = df.groupBy(*groups, value).agg(
         *[F.sum(weight).alias(name) for name, weight in weights.items()]
     )
-    counts = counts.withColumn(BUCKET, bucket_of(F.col(value), cuts))
-    return _running(counts, groups, [value], list(weights))
+    return _running(_bucketed(counts, groups, value), groups, [value], list(weights))
 
 
 def hash_ranks(
@@ -138,15 +92,10 @@ def hash_ranks(
 ) -> DataFrame:
     """Add the 1-based rank of an md5 hex column within each group.
 
-    The leading hex digits of a hash are uniform, so they are the buckets and
-    no quantile pass is needed. The row count tells how many digits it takes.
+    The leading hex digits of a hash are uniform, so they are the buckets.
     """
-    hex_digits = 1
-    rows = df.count()
-    while 16**hex_digits * BUCKET_ROWS < rows:
-        hex_digits += 1
     keyed = df.withColumn("__order", order).withColumn(
-        BUCKET, F.substring("__order", 1, hex_digits)
+        BUCKET, F.substring("__order", 1, HASH_DIGITS)
     ).withColumn(rank, F.lit(1).cast("long"))
     ranked = _running(keyed, groups, ["__order", tie_breaker], [rank])
     ranked = ranked.withColumn(rank, F.col(f"{rank}_upto"))
@@ -155,6 +104,70 @@ def hash_ranks(
     return ranked.drop("__order", f"{rank}_upto", f"{rank}_total")
 
 
+def numbered(df: DataFrame, key: str, number: str) -> tuple[DataFrame, int]:
+    """Add ``number``, the place of each row by ``key``, from 0 without gaps; the
+    second result is how many rows there are.
+
+    Rows are sorted in key ranges and written; a range's rows are numbered on from
+    the counts of the ranges before it, one number a range.
+    """
+    placed = written(
+        df.repartitionByRange(key)
+        .sortWithinPartitions(key)
+        .withColumn("__at", F.monotonically_increasing_id()),
+        "numbered",
+    )
+    # The upper bits of the id tell the range, the lower 33 the place in it.
+    ranged = placed.withColumn("__range", F.shiftright("__at", 33)).withColumn(
+        "__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
+    begins = counts.select(
+        "__range",
+        (F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).alias("__begin"),
+    )
+    rows = ranged.join(begins, "__range").select(
+        *df.columns, (F.col("__begin") + F.col("__at")).alias(number)
+    )
+    return rows, placed.count()
+
+
+def leading_share(
+    df: DataFrame, key: str, tie_breaker: str, size: int, weight: str | None = None
+) -> Column | None:
+    """Predicate of the first rows by a hash key whose weights reach ``size``.
+
+    Counts per leading digits tell the bucket in which the sum is reached, and only
+    that bucket, one of 65,536, is ordered. None means that all rows are needed.
+    ``key`` and ``tie_breaker`` must tell the rows apart.
+    """
+    digits = F.substring(key, 1, HASH_DIGITS)
+    amount = F.lit(1) if weight is None else F.col(weight)
+    upto = Window.orderBy("__digits")
+    cut = (
+        df.groupBy(digits.alias("__digits"))
+        .agg(F.sum(amount).alias("__sum"))
+        .withColumn("__upto", F.sum("__sum").over(upto))
+        .filter(F.col("__upto") >= size)
+        .orderBy("__digits")
+        .first()
+    )
+    if cut is None:
+        return None
+    missing = size - (cut["__upto"] - cut["__sum"])
+    inside = Window.orderBy(key, tie_breaker).rowsBetween(Window.unboundedPreceding, -1)
+    last = (
+        df.filter(digits == cut["__digits"])
+        .select(key, tie_breaker, F.coalesce(F.sum(amount).over(inside), F.lit(0)).alias("__before"))
+        .filter(F.col("__before") < missing)
+        .agg(F.max(F.struct(key, tie_breaker)).alias("last"))
+        .first()["last"]
+    )
+    return (F.col(key) < last[0]) | (
+        (F.col(key) == last[0]) & (F.col(tie_breaker) <= F.lit(last[1]))
+    )
+
+
 def _running(
     counts: DataFrame,
     groups: Sequence[str],

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import Columns
+from ..functions.bijection import round_keys, shuffled
 from ..functions.scores import score_column
 from ..sources.models import ModelSpec
-from .ordering import hash_ranks
+from .ordering import numbered
 from .ranking import PERMUTATION, TARGET, direction, method_rows, score_auc
-from .sampling import shuffle_key
 
 _BASELINE = ""
 
@@ -26,33 +26,46 @@ def shuffled_copies(
     seed: int = 7,
 ) -> DataFrame:
     """One copy of every row per feature, with ``drawn`` holding a value of that
-    feature from a random other row.
+    feature from a random row; each value is used exactly once.
 
-    Two seeded orders are matched by rank, so each value is used exactly once.
+    Rows are numbered once. Where a value goes is computed from its row's number,
+    so nothing is sorted for a feature, and what travels is the place and the
+    value; the other inputs stay where they are until their copies are scored.
     """
     row = columns.row
-    source = hash_ranks(
-        frame.select(row, *features), [], shuffle_key(seed, row), row, rank="position"
+    rows, size = numbered(
+        frame.select(row, TARGET, *dict.fromkeys([*inputs, *features])), row, "__number"
     )
-    values = source.select(
-        "position",
+    sent = rows.select(
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(name).alias("feature"), F.col(name).alias("drawn"))
-                    for name in features
+                    F.struct(
+                        shuffled(F.col("__number"), size, round_keys(seed, place)).alias("__number"),
+                        F.lit(place).alias("place"),
+                        F.col(name).alias("drawn"),
+                    )
+                    for place, name in enumerate(features)
                 ]
             )
-        ),
+        )
+    )
+    # One value of each feature arrives at every number.
+    arrived = sent.groupBy("__number").agg(
+        F.array_sort(F.collect_list(F.struct("place", "drawn"))).alias("__arrived")
+    )
+    names = F.array(*[F.lit(name) for name in features])
+    return (
+        rows.join(arrived, "__number")
+        .select(row, TARGET, *inputs, F.explode("__arrived").alias("__one"))
+        .select(
+            row,
+            TARGET,
+            *inputs,
+            F.get(names, F.col("__one.place")).alias("feature"),
+            F.col("__one.drawn").alias("drawn"),
+        )
     )
-    # Each feature has a seed of its own.
-    copies = frame.select(
-        row, TARGET, *inputs, F.posexplode(F.array(*[F.lit(f) for f in features]))
-    ).withColumnRenamed("col", "feature")
-    own_seed = (F.col("pos") + F.lit(seed + 1)).cast("string")
-    order = F.md5(F.concat(own_seed, F.lit(":"), F.col(row).cast("string")))
-    ranked = hash_ranks(copies, ["feature"], order, row, rank="position")
-    return ranked.join(values, ["feature", "position"]).drop("pos", "position")
 
 
 def permutation_importance(

@@ -69,20 +69,11 @@ def aggregate_tracks(
         for name, chosen in wanted.items()
     }
     rolled = _aggregate(points, columns, simple, carried, keep)
-    for name, chosen in wanted.items():
-        if "median" in chosen:
-            found = (
-                cumulative_counts(
-                    points.filter(F.col(name).isNotNull()),
-                    [columns.track],
-                    name,
-                    {"n": F.lit(1)},
-                )
-                .groupBy(F.col(columns.track).alias("__track"))
-                .agg(median_of(name, "n").alias(f"{name}_median"))
-            )
-            same = F.col(columns.track).eqNullSafe(F.col("__track"))
-            rolled = rolled.join(found, same, "left").drop("__track")
+    halved = [name for name, chosen in wanted.items() if "median" in chosen]
+    if halved:
+        found = track_medians(points, halved, columns.track)
+        same = F.col(columns.track).eqNullSafe(F.col("__track"))
+        rolled = rolled.join(found, same, "left").drop("__track")
     return rolled.select(
         columns.track,
         "track_length",
@@ -91,6 +82,42 @@ def aggregate_tracks(
     )
 
 
+def track_medians(points: DataFrame, names: Sequence[str], track: str) -> DataFrame:
+    """``__track`` and the median of each column, from one table of all values.
+
+    However many columns there are, the points are read once and their values go
+    through one exchange as (track, column, value) counts.
+    """
+    values = F.array(
+        *[
+            F.struct(F.lit(place).alias("__place"), F.col(name).cast("double").alias("__value"))
+            for place, name in enumerate(names)
+        ]
+    )
+    running = cumulative_counts(
+        points.select(F.col(track).alias("__track"), F.inline(values)).filter(
+            F.col("__value").isNotNull()
+        ),
+        ["__track", "__place"],
+        "__value",
+        {"n": F.lit(1)},
+    )
+    of_place = {
+        f"__value{place}": F.when(F.col("__place") == place, F.col("__value"))
+        for place in range(len(names))
+    }
+    return (
+        running.withColumns(of_place)
+        .groupBy("__track")
+        .agg(
+            *[
+                median_of(column, "n").alias(f"{name}_median")
+                for column, name in zip(of_place, names, strict=True)
+            ]
+        )
+    )
+
+
 def _aggregate(
     points: DataFrame,
     columns: Columns,

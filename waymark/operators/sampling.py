@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..columns import Columns
-from .ordering import hash_ranks
+from .ordering import hash_ranks, leading_share
 
 BACKGROUND_ROWS = 100
 
@@ -23,8 +22,10 @@ def shuffle_key(seed: int, name: str) -> Column:
 def random_sample(
     points: DataFrame, size: int, columns: Columns = Columns(), *, seed: int = 7
 ) -> DataFrame:
-    """``size`` rows in random order; each task keeps only its best ``size``."""
-    return points.orderBy(shuffle_key(seed, columns.row), columns.row).limit(size)
+    """``size`` rows by the order of their hashes: a filter, once the cut is known."""
+    keyed = points.withColumn("__key", shuffle_key(seed, columns.row))
+    first = leading_share(keyed.select("__key", columns.row), "__key", columns.row, size)
+    return points if first is None else keyed.filter(first).drop("__key")
 
 
 def group_sizes(points: DataFrame, group: str) -> DataFrame:
@@ -34,23 +35,14 @@ def group_sizes(points: DataFrame, group: str) -> DataFrame:
 def picked_groups(
     points: DataFrame, group: str, size: int, *, seed: int = 7
 ) -> DataFrame:
-    """Randomly ordered groups until their rows reach ``size``.
-
-    A group has at least one row, so the first ``size`` groups always suffice
-    and the running sum covers at most that many.
-    """
-    first = (
+    """Randomly ordered groups until their rows reach ``size``."""
+    sizes = (
         group_sizes(points, group)
         .filter(F.col(group).isNotNull())
         .withColumn("__key", shuffle_key(seed, group))
-        .orderBy("__key", group)
-        .limit(size)
-    )
-    upto = Window.orderBy("__key", group).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
     )
-    running = first.withColumn("__before", F.sum("rows").over(upto) - F.col("rows"))
-    return running.filter(F.col("__before") < size).select(group, "rows")
+    first = leading_share(sizes, "__key", group, size, "rows")
+    return (sizes if first is None else sizes.filter(first)).select(group, "rows")
 
 
 def group_sample(

@@ -8,7 +8,7 @@ import pytest
 from frames import features_small, frame, incremental
 from pyspark.sql import functions as F
 
-from waymark.functions.trees import Tree, TreeEnsemble, product_games
+from waymark.functions.trees import Tree, TreeEnsemble
 from waymark.operators import explain, ranking
 from waymark.operators.default_model import build_default_model
 from waymark.operators.incremental import (
@@ -141,6 +141,22 @@ def test_correlation_matrix(spark):
     assert correlation_matrix(points, ["a"], **LABELS, sample_size=50).count() == 4
 
 
+def test_matrix_from_tiles_equals_expressions(spark, monkeypatch):
+    points, _ = noisy(spark, gaps=True)
+
+    def cells():
+        found = correlation_matrix(points.repartition(5), ["a", "b", "flat"], **LABELS, sample_size=None)
+        return {(r.row, r.column): r.correlation for r in found.collect()}
+
+    one_aggregate = cells()
+    monkeypatch.setattr(ranking, "EXPRESSION_PAIRS", 0)
+    for columns in (1, 2, 3, 128):
+        monkeypatch.setattr(ranking, "TILE_COLUMNS", columns)
+        tiled = cells()
+        assert tiled.keys() == one_aggregate.keys()
+        assert all(tiled[k] == pytest.approx(v, abs=1e-9) for k, v in one_aggregate.items())
+
+
 def test_permutation_importance(spark):
     model = ModelSpec("signal_model", lambda batch: batch["signal"] / 10, ("signal", "noise"))
     found = analyze_features(
@@ -294,21 +310,55 @@ def test_tree_models_score_and_explain(spark, kind, parameters):
     assert auc > 0.6
 
 
-def test_product_games_by_enumeration():
-    known, unknown = np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.3, 0.9])
-    found, _ = product_games(np.array([known, 1 - known], bool), unknown)
+def grown(rng, depth, features):
+    """A random tree; features come again on a path, and covers add up."""
+    feature, threshold, left, right, value, cover = ([] for _ in range(6))
+
+    def add(level, rows):
+        node = len(feature)
+        inner = level < depth and rows >= 2 and rng.random() < 0.9
+        feature.append(int(rng.integers(features)) if inner else -1)
+        threshold.append(rng.uniform(0.2, 0.8))
+        left.append(-1)
+        right.append(-1)
+        value.append(rng.normal())
+        cover.append(float(rows))
+        if inner:
+            part = int(rng.integers(1, rows))
+            left[node] = add(level + 1, part)
+            right[node] = add(level + 1, rows - part)
+        return node
+
+    add(0, 10_000)
+    return Tree(*map(np.array, (feature, threshold, left, right, value, cover)))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_tree_values_by_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    features = 1 + seed % 5
+    tree = grown(rng, 7, features)
+    rows = rng.uniform(size=(6, features))
+    found = tree.shap(rows)
 
-    def v(s):
-        return np.prod([known[i] if i in s else unknown[i] for i in range(3)])
+    def expectation(known, at):
+        total = 0.0
+        for value, path in tree.leaves():
+            for f, (low, high, share) in path.items():
+                value *= float(low < at[f] <= high) if f in known else share
+            total += value
+        return total
 
-    for i in range(3):
-        others = [j for j in range(3) if j != i]
-        expected = sum(
-            factorial(n) * factorial(2 - n) / 6 * (v({*s, i}) - v(set(s)))
-            for n in range(3)
-            for s in combinations(others, n)
-        )
-        assert found[i] == pytest.approx(expected)
+    for at, values in zip(rows, found):
+        for i in range(features):
+            others = [j for j in range(features) if j != i]
+            expected = sum(
+                factorial(n) * factorial(features - n - 1) / factorial(features)
+                * (expectation({*s, i}, at) - expectation(set(s), at))
+                for n in range(features)
+                for s in combinations(others, n)
+            )
+            assert values[i] == pytest.approx(expected, abs=1e-9)
 
 
 def test_linear_equals_enumeration_on_the_margin(spark):

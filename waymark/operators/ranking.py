@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -24,6 +25,11 @@ METHODS = (
     CORRELATION, INFORMATION, MATRIX, UNIVARIATE_AUC, INCREMENTAL_AUC, PERMUTATION, SHAP,
 )
 
+#: Pairs of columns up to which a correlation matrix is one aggregate.
+EXPRESSION_PAIRS = 78
+#: Columns of a tile of a larger matrix, and partial sums a task adds up.
+TILE_COLUMNS, SUM_SHARDS = 128, 32
+
 TARGET = "__target"
 MAX_INFORMATION_BINS = 10
 
@@ -209,9 +215,11 @@ def correlation_matrix(
 ) -> DataFrame:
     """All pairs of features and the label indicator: ``row, column, correlation``.
 
-    Missing values are dropped pair by pair. Sums are per-partition matrix
-    products of what is left after subtracting the column means, so they stay
-    small.
+    Missing values are dropped pair by pair. Few columns are one aggregate of
+    expressions. For many, the columns are cut into tiles: a task adds up matrix
+    products, one packed row a pair of tiles, of what is left after subtracting
+    the column means, and the rows are added up in a tree of tasks. Both give the
+    same correlations; which one runs follows from their cost.
     """
     require_numeric(points, features)
     indicator = f"{label} = {positive}"
@@ -221,11 +229,14 @@ def correlation_matrix(
         *[F.when(~F.isnan(n), n).alias(f"c{i}") for i, n in enumerate(numbers)],
         binary_target(label, positive).cast("double").alias(f"c{len(features)}"),
     )
-    stats = frame.agg(
-        *[F.avg(name).alias(f"{name}_mean") for name in frame.columns]
-    ).first()
-    means = [stats[f"{name}_mean"] or 0.0 for name in frame.columns]
-    upper = _correlations(_sums_from_products(frame, means))
+    if len(names) * (len(names) + 1) // 2 <= EXPRESSION_PAIRS:
+        upper = _pairs_from_expressions(frame)
+    else:
+        stats = frame.agg(
+            *[F.avg(name).alias(f"{name}_mean") for name in frame.columns]
+        ).first()
+        means = [stats[f"{name}_mean"] or 0.0 for name in frame.columns]
+        upper = _pairs_from_tiles(frame, means)
     mirrored = upper.select(
         "correlation",
         F.explode(
@@ -254,40 +265,77 @@ def matrix_labels(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("display_value", shown)
 
 
-def _sums_from_products(frame: DataFrame, means: Sequence[float]) -> DataFrame:
+def _pairs_from_expressions(frame: DataFrame) -> DataFrame:
+    """``i, j, correlation`` of the upper triangle, from one aggregate."""
+    names = frame.columns
+    cells = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.lit(j).alias("j"),
+            _safe_correlation(F.col(names[i]), F.col(names[j])).alias("correlation"),
+        )
+        for i in range(len(names))
+        for j in range(i, len(names))
+    ]
+    return frame.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def _pairs_from_tiles(frame: DataFrame, means: Sequence[float]) -> DataFrame:
+    """``i, j, correlation`` of the upper triangle, from products of tiles."""
     shift = np.array(means, dtype=float)
-    upper_i, upper_j = np.triu_indices(len(shift))
+    size = len(shift)
+    tiles = [slice(at, min(at + TILE_COLUMNS, size)) for at in range(0, size, TILE_COLUMNS)]
+    packed = "a int, b int, shard int, sums array<double>"
 
-    def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((6, len(upper_i)))
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             values = batch.to_numpy(dtype=float) - shift
             known = ~np.isnan(values)
             filled, present = np.where(known, values, 0.0), known.astype(float)
-            totals, squares = filled.T @ present, (filled**2).T @ present
-            for k, matrix in enumerate(
-                (present.T @ present, totals, totals.T, squares, squares.T, filled.T @ filled)
-            ):
-                sums[k] += matrix[upper_i, upper_j]
-        yield pd.DataFrame(
-            {"i": upper_i, "j": upper_j, **{f"s{k}": sums[k] for k in range(6)}}
+            squares = filled**2
+            for a, left in enumerate(tiles):
+                for b, right in list(enumerate(tiles))[a:]:
+                    here, there = present[:, left], present[:, right]
+                    sums = np.stack(
+                        [
+                            here.T @ there,
+                            filled[:, left].T @ there,
+                            here.T @ filled[:, right],
+                            squares[:, left].T @ there,
+                            here.T @ squares[:, right],
+                            filled[:, left].T @ filled[:, right],
+                        ]
+                    )
+                    total[a, b] = total.get((a, b), 0.0) + sums
+        shard = TaskContext.get().partitionId() % SUM_SHARDS
+        for (a, b), sums in total.items():
+            yield pd.DataFrame({"a": [a], "b": [b], "shard": [shard], "sums": [sums.ravel()]})
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        one = parts.iloc[:1].copy()
+        one["sums"] = [np.sum(np.stack(parts["sums"].to_list()), axis=0)]
+        return one
+
+    def correlate(parts: pd.DataFrame) -> pd.DataFrame:
+        left, right = tiles[int(parts["a"].iloc[0])], tiles[int(parts["b"].iloc[0])]
+        shape = (6, left.stop - left.start, right.stop - right.start)
+        sums = np.sum(np.stack(parts["sums"].to_list()), axis=0).reshape(shape)
+        n, sx, sy, sxx, syy, sxy = sums
+        # What is left of a constant column after centering is rounding noise.
+        var_x, var_y = n * sxx - sx * sx, n * syy - sy * sy
+        flat = (var_x <= 1e-12 * n * sxx) | (var_y <= 1e-12 * n * syy)
+        ratio = np.where(flat, 0.0, n * sxy - sx * sy) / np.sqrt(np.where(flat, 1.0, var_x * var_y))
+        i, j = np.indices(shape[1:])
+        i, j = i.ravel() + left.start, j.ravel() + right.start
+        upper = i <= j
+        return pd.DataFrame(
+            {"i": i[upper], "j": j[upper], "correlation": ratio.ravel()[upper]}
         )
 
-    fields = ", ".join(f"s{k} double" for k in range(6))
-    partial = frame.mapInPandas(partial_sums, f"i int, j int, {fields}")
-    return partial.groupBy("i", "j").agg(
-        *[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)]
-    )
-
-
-def _correlations(sums: DataFrame) -> DataFrame:
-    """Pearson correlation from count, sums, squares and product of a pair."""
-    n, sx, sy, sxx, syy, sxy = (F.col(f"s{k}") for k in range(6))
-    # What is left of a constant column after centering is rounding noise.
-    var_x, var_y = n * sxx - sx * sx, n * syy - sy * sy
-    flat = (var_x <= 1e-12 * n * sxx) | (var_y <= 1e-12 * n * syy)
-    ratio = (n * sxy - sx * sy) / F.sqrt(F.when(~flat, var_x * var_y))
-    return sums.select("i", "j", F.coalesce(ratio, F.lit(0.0)).alias("correlation"))
+    partial = frame.mapInPandas(multiply, packed)
+    merged = partial.groupBy("a", "b", "shard").applyInPandas(add, packed)
+    return merged.groupBy("a", "b").applyInPandas(correlate, "i int, j int, correlation double")
 
 
 def class_profile(

@@ -69,14 +69,14 @@ def test_config_files(tmp_path):
     section = cfg.track_qa_section(cfg.read_config(path))
     assert [p["name"] for p in cfg.configured_paths(section)] == ["quality_path", "limb_path"]
     path.write_text("[1]")
-    with pytest.raises(ValueError, match="JSON object"):
+    with pytest.raises(ValueError, match="config: an object expected"):
         cfg.read_config(path)
     for bad in ({}, {"dynamic_specific": 3}, {"dynamic_specific": {"track_qa_config": 1}}):
         with pytest.raises(ValueError):
             cfg.track_qa_section(bad)
-    with pytest.raises(ValueError, match="must be a list"):
+    with pytest.raises(ValueError, match="paths: a list expected"):
         cfg.configured_paths({"paths": {}})
-    with pytest.raises(ValueError, match="needs a name"):
+    with pytest.raises(ValueError, match="confirmation_paths.0..name: a text"):
         cfg.configured_paths({"confirmation_paths": [{"ranges": {}}]})
 
 

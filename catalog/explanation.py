@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from waymark.functions.scores import with_model_path
+from waymark.functions.trees import Tree, TreeEnsemble
 from waymark.operators import explain, ranking
 from waymark.operators.default_model import build_default_model
+from waymark.sources.models import ModelSpec
 
 from .newton import newton_ctes
 from .registry import EV, POINTS, event_points, query
@@ -188,3 +193,87 @@ def permutation_shap(spark, sf_dir):
         _frame(spark, sf_dir), LINEAR, POINTS, explainer="Permutation"
     )
     return explain.shap_rows(contributions, POINTS)
+
+
+def _ensemble() -> TreeEnsemble:
+    """Two small trees: value, then k, then value again; and k alone."""
+    first = Tree(
+        feature=np.array([0, 1, 0, -1, -1, -1, -1]),
+        threshold=np.array([60.0, 4.0, 150.0, 0.0, 0.0, 0.0, 0.0]),
+        left=np.array([1, 3, 5, -1, -1, -1, -1]),
+        right=np.array([2, 4, 6, -1, -1, -1, -1]),
+        value=np.array([0.0, 0.0, 0.0, 0.125, 0.5, 0.75, -0.25]),
+        cover=np.array([80.0, 48.0, 32.0, 12.0, 36.0, 24.0, 8.0]),
+    )
+    second = Tree(
+        feature=np.array([1, -1, -1]),
+        threshold=np.array([6.0, 0.0, 0.0]),
+        left=np.array([1, -1, -1]),
+        right=np.array([2, -1, -1]),
+        value=np.array([0.0, 0.25, 1.0]),
+        cover=np.array([64.0, 40.0, 24.0]),
+    )
+    return TreeEnsemble([first, second], [0.5, 0.25], logistic=False)
+
+
+# With two features a value is the mean of what it adds alone and to the other. An
+# unknown split goes both ways by its shares: 48 and 32 of 80, 12 and 36 of 48, 24
+# and 8 of 32, 40 and 24 of 64.
+@query(f"""WITH {EV}, v AS (SELECT row_id, value, k,
+    CASE WHEN value <= 60 THEN CASE WHEN k <= 4 THEN 0.125 ELSE 0.5 END
+      WHEN value <= 150 THEN 0.75 ELSE -0.25 END AS both1,
+    CASE WHEN value <= 60 THEN 0.25 * 0.125 + 0.75 * 0.5
+      WHEN value <= 150 THEN 0.75 ELSE -0.25 END AS value1,
+    0.6 * CASE WHEN k <= 4 THEN 0.125 ELSE 0.5 END + 0.4 * (0.75 * 0.75 + 0.25 * -0.25) AS k1,
+    0.6 * (0.25 * 0.125 + 0.75 * 0.5) + 0.4 * (0.75 * 0.75 + 0.25 * -0.25) AS none1,
+    CASE WHEN k <= 6 THEN 0.25 ELSE 1 END AS k2, 0.625 * 0.25 + 0.375 * 1 AS none2 FROM ev),
+s AS (SELECT *, 0.5 * none1 + 0.25 * none2 AS base,
+    0.5 * (both1 - k1 + value1 - none1) / 2 AS of_value,
+    0.5 * (both1 - value1 + k1 - none1) / 2 + 0.25 * (k2 - none2) AS of_k FROM v)
+SELECT row_id AS row_index, round(base, 9)::DOUBLE AS base_value, 'value' AS feature,
+  round(value, 9)::DOUBLE AS feature_value, round(of_value, 9)::DOUBLE AS shap_value FROM s
+UNION ALL SELECT row_id, round(base, 9)::DOUBLE, 'k', round(k, 9)::DOUBLE, round(of_k, 9)::DOUBLE FROM s""", digits=9)
+def tree_shap_two_trees(spark, sf_dir):
+    """Path-dependent values of a given ensemble, whose covers are stated."""
+    spec = ModelSpec("two trees", _ensemble(), tuple(FEATURES))
+    frame = _frame(spark, sf_dir)
+    return explain.shap_rows(explain.shap_contributions(frame, spec, POINTS), POINTS)
+
+
+def _explained(spark, sf_dir, kind, **parameters):
+    """Rows, whether scores rank above chance, and whether values add up to scores."""
+    spec = _model(spark, sf_dir, kind, **parameters)
+    frame = _frame(spark, sf_dir)
+    scored = with_model_path(frame, "model", spec, 0.5)
+    added = F.col("base_value") + F.aggregate(
+        "contributions", F.lit(0.0), lambda total, part: total + part["shap_value"]
+    )
+    margin = F.col("model_score")
+    if spec.model.logistic:
+        margin = F.log(margin / (1 - margin))
+    explained = explain.shap_contributions(frame, spec, POINTS).select(
+        "row_id", added.alias("added")
+    )
+    both = scored.join(explained, "row_id").withColumn("one", F.lit(""))
+    auc = ranking.score_auc(both, "one", "model_score").select(
+        (F.col("score") > 0.5).alias("above_chance")
+    )
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bool_and(F.abs(F.col("added") - margin) < 1e-6).alias("adds_up"),
+        F.bool_and(F.col("model_score").between(0, 1)).alias("shares"),
+    ).join(auc)
+
+
+_EXPLAINED = """SELECT count(*) AS rows, true AS adds_up, true AS shares, true AS above_chance
+FROM events"""
+
+
+@query(_EXPLAINED)
+def default_forest_explained(spark, sf_dir):
+    return _explained(spark, sf_dir, "Random forest", n_estimators=8, max_depth=5)
+
+
+@query(_EXPLAINED)
+def default_boosting_explained(spark, sf_dir):
+    return _explained(spark, sf_dir, "Gradient boosting", n_estimators=4)

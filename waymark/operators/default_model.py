@@ -13,12 +13,12 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import Columns
 from ..functions.trees import Tree, TreeEnsemble
-from ..session import scratch_directory
+from ..session import remove_folder, scratch_directory
 from ..sources.models import LinearModel, ModelSpec
 from .ranking import TARGET, class_counts, labelled_features
 
@@ -203,6 +203,13 @@ def _exported_trees(frame: DataFrame, fitted, node_value) -> list[Tree]:
     spark = frame.sparkSession
     folder = f"{scratch_directory(spark)}/model-{uuid4().hex}"
     fitted.write().save(folder)
+    try:
+        return _read_trees(spark, folder, node_value)
+    finally:
+        remove_folder(spark, folder)
+
+
+def _read_trees(spark: SparkSession, folder: str, node_value) -> list[Tree]:
     nodes = (
         spark.read.parquet(f"{folder}/data")
         .select("treeID", "nodeData.*")

@@ -17,7 +17,7 @@ from ..functions.scores import share
 from ..functions.trees import TreeEnsemble
 from ..session import written
 from ..sources.models import LinearModel, ModelSpec
-from .ordering import cumulative_counts
+from .ordering import value_ranks
 from .ranking import SHAP, method_rows
 from .sampling import BACKGROUND_ROWS, background_rows
 
@@ -279,12 +279,7 @@ def shap_density(rows: DataFrame) -> DataFrame:
         # NULL where all contributions of the feature are equal.
         F.when(width > 0, F.least(position, F.col("bins") - 1)).cast("int").alias("bin"),
     )
-    ranks = cumulative_counts(
-        binned.select("feature", "bin", "row_index"),
-        ["feature", "bin"],
-        "row_index",
-        {"n": F.lit(1)},
-    )
+    ranked = value_ranks(binned, ["feature", "bin"], "row_index", rank="place", total="stack")
     fullest = F.broadcast(
         binned.groupBy("feature", "bin")
         .agg(F.count(F.lit(1)).alias("m"))
@@ -292,16 +287,12 @@ def shap_density(rows: DataFrame) -> DataFrame:
         .agg(F.max("m").alias("fullest"))
     )
     offset = (
-        (F.col("n_upto") - 1 - (F.col("n_total") - 1) / 2)
+        (F.col("place") - 1 - (F.col("stack") - 1) / 2)
         * F.lit(DENSITY_HEIGHT)
         / F.col("fullest")
     )
     return (
-        binned.join(
-            ranks.select("feature", "row_index", "n_upto", "n_total"),
-            ["feature", "row_index"],
-        )
-        .join(fullest, "feature")
+        ranked.join(fullest, "feature")
         .select(
             "feature",
             "row_index",

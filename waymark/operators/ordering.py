@@ -81,6 +81,23 @@ def cumulative_counts(
     return _running(_bucketed(counts, groups, value), groups, [value], list(weights))
 
 
+def value_ranks(
+    df: DataFrame, groups: Sequence[str], value: str, *, rank: str, total: str
+) -> DataFrame:
+    """Add the 1-based rank of a number within each group, and the group's rows.
+
+    The rows keep their columns on the way, so nothing is joined back. The number
+    must not be NULL and should differ within a group.
+    """
+    keyed = _bucketed(df, groups, value).withColumn(rank, F.lit(1).cast("long"))
+    ranked = _running(keyed, groups, [value], [rank])
+    return (
+        ranked.withColumn(rank, F.col(f"{rank}_upto"))
+        .withColumn(total, F.col(f"{rank}_total"))
+        .drop(f"{rank}_upto", f"{rank}_total")
+    )
+
+
 def hash_ranks(
     df: DataFrame,
     groups: Sequence[str],

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from waymark.functions.ranges import RangeRule
 from waymark.functions.scores import with_model_path
 from waymark.operators import confirm
-from waymark.operators.evaluators import batch_evaluator, row_evaluator
+from waymark.operators.evaluators import (
+    MergeableLogic,
+    batch_evaluator,
+    mergeable_evaluator,
+    row_evaluator,
+)
 from waymark.plans.comparison import compare, trigger_points
 from waymark.sources.models import LinearModel, ModelSpec
 
@@ -73,6 +78,35 @@ def python_evaluator_path(spark, sf_dir):
     )
 
 
+class Records(MergeableLogic):
+    """A point fires if it beats all before it by a margin."""
+
+    def summary(self, config, points):
+        return points["value"].max()
+
+    def merge(self, first, then):
+        return max(first, then)
+
+    def paths(self, config, points, before):
+        highest = points["value"].cummax().shift(1)
+        highest.iloc[0] = before
+        if before is not None:
+            highest = highest.clip(lower=before)
+        return pd.DataFrame({"record": (points["value"] > highest + config["by"]).astype("int8")})
+
+
+@query(f"""WITH {EV} SELECT row_id, CAST(coalesce(value > 1 + max(value) OVER (
+  PARTITION BY track_id ORDER BY time, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  false) AS TINYINT) AS record FROM ev""")
+def mergeable_evaluator_path(spark, sf_dir):
+    """History logic that needs no track to stay on one task."""
+    points = event_points(spark, sf_dir).select("row_id", "track_id", "time", "value")
+    found = mergeable_evaluator(
+        points, Records(), {"by": 1}, ["record"], POINTS, stretch_rows=5_000
+    )
+    return found.select("row_id", "record")
+
+
 @query(f"""WITH {EV}, tr AS (SELECT *, value >= 150 AND coalesce(lag(value) OVER (
     PARTITION BY track_id ORDER BY time, row_id) >= 40, false) AS fired FROM ev)
 SELECT track_id, arg_min(label, row_id) AS label,

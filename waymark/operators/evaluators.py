@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
+from abc import ABC, abstractmethod
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import Columns, require_columns
+from ..session import written
 
+_STRETCH = "__stretch"
 _ROW_FOR_ROW = "Confirmation logic has to answer every row it is given, once."
 
 # evaluator(config, points of one track in time order) -> path columns
@@ -47,8 +52,8 @@ def batch_evaluator(
     """Run logic that depends on a track's history, one bounded batch at a time.
 
     The evaluator sees the batches of one track in time order and keeps what it
-    needs between them, so a track of any length fits into memory. The order of
-    one track is sequential by nature and stays on one task.
+    needs between them, so a track of any length fits into memory. Such logic is
+    sequential and stays on one task a track; :func:`mergeable_evaluator` is not.
     """
     require_columns(points, [columns.track, columns.time, columns.row])
 
@@ -110,6 +115,93 @@ def track_evaluator(
     return batch_evaluator(points, whole, config, paths, columns)
 
 
+class MergeableLogic(ABC):
+    """Logic over a track's history whose state can be put together from parts.
+
+    A state is any picklable value. ``merge`` must be associative: the state of a
+    stretch is the same however it was cut.
+    """
+
+    @abstractmethod
+    def summary(self, config: dict[str, Any], points: pd.DataFrame) -> Any:
+        """The state after a stretch of points, seen on its own."""
+
+    @abstractmethod
+    def merge(self, first: Any, then: Any) -> Any:
+        """The state after two stretches, the second following the first."""
+
+    @abstractmethod
+    def paths(
+        self, config: dict[str, Any], points: pd.DataFrame, before: Any | None
+    ) -> pd.DataFrame:
+        """Path columns of a stretch, given the state of all points before it."""
+
+
+def mergeable_evaluator(
+    points: DataFrame,
+    logic: MergeableLogic,
+    config: dict[str, Any],
+    paths: Sequence[str],
+    columns: Columns = Columns(),
+    *,
+    stretch_rows: int = 100_000,
+) -> DataFrame:
+    """Run mergeable logic so that one long track is the work of many tasks.
+
+    Points are cut in time order into ranges of about ``stretch_rows``. Each stretch
+    of a track is summed up on its own, the few states of a track are added up in
+    order, and a second pass answers every stretch from the state before it.
+    """
+    require_columns(points, [columns.track, columns.time, columns.row])
+    order = [columns.track, columns.time, columns.row]
+    ranges = max(1, -(-points.count() // stretch_rows))
+    ordered = written(
+        points.repartitionByRange(ranges, *order).withColumn(_STRETCH, F.spark_partition_id()),
+        "stretches",
+    )
+    stretch = [columns.track, _STRETCH]
+    kept = [f.name for f in points.schema]
+    track_type = points.schema[columns.track].dataType.simpleString()
+    states = f"`{columns.track}` {track_type}, {_STRETCH} int, state binary"
+
+    def in_order(part: pd.DataFrame) -> pd.DataFrame:
+        return part.sort_values(order, ignore_index=True)
+
+    def row_of(part: pd.DataFrame, state: Any) -> pd.DataFrame:
+        return part[stretch].iloc[:1].assign(state=[pickle.dumps(state)])
+
+    def summarise(part: pd.DataFrame) -> pd.DataFrame:
+        return row_of(part, logic.summary(config, in_order(part)[kept]))
+
+    def add_up(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(_STRETCH, ignore_index=True)
+        before, out = None, []
+        for place in range(len(part)):
+            own = pickle.loads(part["state"].iloc[place])
+            out.append(pickle.dumps(before))
+            before = own if before is None else logic.merge(before, own)
+        return part.assign(state=out)
+
+    def answer(part: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        part = in_order(part)[kept]
+        before = pickle.loads(state["state"].iloc[0])
+        found = _with_paths(part, logic.paths(config, part, before), paths)
+        return found[[*[c for c in kept if c not in paths], *paths]]
+
+    # A track has as many states as it has stretches.
+    befores = (
+        ordered.groupBy(*stretch)
+        .applyInPandas(summarise, states)
+        .groupBy(columns.track)
+        .applyInPandas(add_up, states)
+    )
+    return (
+        ordered.groupBy(*stretch)
+        .cogroup(befores.groupBy(*stretch))
+        .applyInPandas(answer, _schema(points, paths))
+    )
+
+
 def _by_track(points: DataFrame, columns: Columns):
     # The grouping below reuses this exchange and this order.
     ordered = points.repartition(columns.track).sortWithinPartitions(

@@ -76,3 +76,25 @@ def test_mixed_texts_hold_the_taken_words(spark):
 def test_query_agrees_with_sql(spark):
     name = "op9_mix_sources"
     assert differences(QUERIES[name](spark, SF), connect(SF), ORACLES[name]) == ""
+
+
+def test_rows_of_one_id_are_spread(spark):
+    """A third of the rows repeat one id, another third one document."""
+    rows = [(k if k % 3 == 0 else 7, f"text {k}" if k % 3 < 2 else "same words here", "a", "en") for k in range(6000)]
+    rows += [(None, None, "a", "en")] * 900
+    df = documents(spark, rows).repartition(9)
+    mixed = mix_sources(df, range_rows=100)
+    once = rows_of(mixed)
+    assert rows_of(mix_sources(df.repartition(4), range_rows=100)) == once
+    assert sum(r.taken for r in mixed.collect()) == int(mixed.first().target)
+    # Keys of copies differ, so each range holds its share of them.
+    from pyspark.sql import functions as F
+
+    from waymark.llm.mixing import _copies_numbered
+
+    same = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("-"))))
+    numbered = _copies_numbered(
+        df.select(same.alias("same"), F.spark_partition_id().alias("part"))
+    )
+    for row in numbered.groupBy("same").agg(F.collect_set("copy").alias("s"), F.count("*").alias("n")).collect():
+        assert sorted(row.s) == list(range(row.n))

@@ -1,9 +1,10 @@
 """Mix sources to target weights by distributed prefix sums of word counts.
 
-Each document gets a hash-random key, the MD5 of its id and a seed. Within a
-source, documents are sorted by key: the key space is cut into ranges, the
-words of each range are summed, and a running sum over ranges tells where each
-range begins, so no task sorts more than one range. A document is taken whole
+Each document gets a hash-random key, the MD5 of a seed, its id, text and source and the
+number of its copy, so rows that repeat one id or one document are as spread out
+as others. Within a source, documents are sorted by key: the key space is cut into
+ranges, the words of each range are summed, and a running sum over ranges tells
+where each range begins, so no task sorts more than one range. A document is taken whole
 as often as whole passes over its source fit into the target; the last pass is
 cut at the exact word.
 
@@ -32,6 +33,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _copies_numbered(rows: DataFrame) -> DataFrame:
+    """Add ``copy``: rows with one ``same`` are numbered from 0.
+
+    They are numbered within the part of the table they lie in, after those in
+    the parts before, so many copies are no single task's work.
+    """
+    per_part = rows.groupBy("same", "part").agg(F.count("*").alias("here"))
+    begins = per_part.select(
+        "same",
+        "part",
+        (F.sum("here").over(Window.partitionBy("same").orderBy("part")) - F.col("here")).alias(
+            "begin"
+        ),
+    )
+    inside = Window.partitionBy("same", "part").orderBy(F.lit(0))
+    return (
+        rows.withColumn("at", F.row_number().over(inside) - 1)
+        .join(begins, ["same", "part"])
+        .withColumn("copy", F.col("begin") + F.col("at"))
+        .drop("begin", "at", "part")
+    )
+
+
 def source_targets(
     sizes: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -96,12 +120,15 @@ def mix_sources(
     are computed from the documents.
     """
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-"))
+    source = F.coalesce(F.concat(F.lit(":"), F.col("source").cast("string")), F.lit(""))
     sized = written(
         documents.select(
             "doc_id",
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), doc_id)).alias("key"),
+            F.md5(F.concat(doc_id, F.lit(":"), text, source)).alias("same"),
+            F.spark_partition_id().alias("part"),
             *carry,
         ),
         "mix-sizes",
@@ -118,10 +145,12 @@ def mix_sources(
         ),
         "mix-targets",
     )
+    key = F.md5(F.concat_ws(":", F.lit(seed), "same", F.col("copy").cast("string")))
+    keyed = _copies_numbered(sized).withColumn("key", key).drop("same", "copy")
     # The leading 32 bits of the key, as a fraction, tell its range.
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0
-    carried = [c for c in sized.columns if c != "source"]
-    ranged = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
+    carried = [c for c in keyed.columns if c != "source"]
+    ranged = keyed.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
         "source",
         *carried,
         "source_size",
@@ -174,21 +203,12 @@ def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     A document that is taken in full comes once per pass; the text of a partial
     pass ends with its last taken word. Documents without words are kept once.
     """
-    tie = F.xxhash64("text", "source").alias("__mix_tie")
-    # Rows that agree in id, text and source are interchangeable: number them.
-    same = Window.partitionBy("doc_id", "__mix_tie").orderBy(F.lit(0))
-    taken = (
-        mix_sources(documents, carry=(tie,), **settings)
-        .withColumn("__mix_copy", F.row_number().over(same))
-        .select(
-            F.col("doc_id").alias("__mix_id"),
-            F.col("__mix_tie").alias("__mix_other"),
-            F.col("__mix_copy").alias("__mix_number"),
-            F.col("size").alias("__mix_words"),
-            F.col("taken").alias("__mix_taken"),
-        )
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__mix_row")
+    taken = mix_sources(documents, carry=(row,), **settings).select(
+        "__mix_row",
+        F.col("size").alias("__mix_words"),
+        F.col("taken").alias("__mix_taken"),
     )
-    numbered = documents.select("*", tie).withColumn("__mix_copy", F.row_number().over(same))
     passes = F.transform(
         F.sequence(F.lit(0), F.ceil(F.col("__mix_taken") / F.greatest("__mix_words", F.lit(1))).cast("int")),
         lambda k: F.least(F.col("__mix_words"), F.col("__mix_taken") - k * F.col("__mix_words")),
@@ -197,12 +217,7 @@ def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     pieces = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("__mix_pass").cast("int")), "")
     return (
-        numbered.join(
-            taken,
-            F.col("doc_id").eqNullSafe(F.col("__mix_id"))
-            & (F.col("__mix_tie") == F.col("__mix_other"))
-            & (F.col("__mix_copy") == F.col("__mix_number")),
-        )
+        taken.select("__mix_row.*", "__mix_words", "__mix_taken")
         .withColumn(
             "__mix_pass",
             F.explode(

@@ -11,7 +11,9 @@ SQL = """
 WITH sized AS (
   SELECT doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+    md5('mix:' || md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '-')
+      || coalesce(':' || source, '')) || ':'
+      || (row_number() OVER (PARTITION BY doc_id, text, source) - 1)) AS key
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (

@@ -24,3 +24,32 @@ def test_weight_of_a_parent_that_begins_a_file(tmp_path):
             assert node[k] == (nodes.index(pair) if pair in nodes else -1)
             assert np.isclose(weight[k], weights.get(pair[0], 0), atol=0.05)
             assert np.isclose(score[k], -1.0 - pair[1] if pair in nodes else 0, atol=0.05)
+
+
+def test_packed_counts_round_trip():
+    from waymark.llm.lm import pack, unpack
+
+    rng = np.random.default_rng(1)
+    for keys in ([], [0], [5], np.unique(rng.integers(0, 1 << 62, 999)), np.arange(300)):
+        keys = np.array(keys, np.int64)
+        counts = rng.integers(1, 70_000, len(keys))
+        back = unpack(pack(keys, counts))
+        assert (back[0] == keys).all() and (back[1] == counts).all()
+
+
+def test_four_levels_in_shared_ranges(spark, monkeypatch):
+    """Contexts with more tokens than a range are cut and weigh the same."""
+    from waymark.llm import lm
+
+    rows = [(k, " ".join("abcdefgh"[(k * j * j + j // 3) % 8] for j in range(60))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in lm.score_corpus(docs, (1, 1, 2)).collect()}
+    shared = []
+    counted = lm._counted
+    monkeypatch.setattr(lm, "PART_ENTRIES", 40)
+    monkeypatch.setattr(
+        lm, "_counted", lambda *a: shared.append(len(a)) or counted(*a)
+    )
+    for row in lm.score_corpus(docs, (1, 1, 2)).collect():
+        assert abs(row.score - whole[row.doc_id]) <= 0.02 * 61
+    assert 4 in shared

@@ -2,7 +2,12 @@
 
 Words and n-grams are counted by Spark over all training texts, level by level:
 an n-gram can only be as frequent as its two shorter parts, so each level is
-counted within the one below and kept from a least count on. Probabilities are
+counted within the one below and kept from a least count on. A level takes one
+shuffle: the counts of the level below tell key ranges of equally many tokens, a
+counting task hands on, for each range, its sorted n-grams as one packed row, and
+the task that holds a range adds them up and writes its file. A context with more
+tokens than a range is cut into several; what its n-grams leave over is then
+counted beforehand, in a pass over these contexts alone. Probabilities are
 interpolated with absolute discounting down to add-one word probabilities, and
 what the kept n-grams of a context leave over is its weight for shorter ones.
 Each level is written as sorted files in the shared folder; scoring maps them
@@ -16,7 +21,7 @@ rows count each; further columns are ignored.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,19 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.storage import shared_folder, written
-from waymark.llm.trie import NodeLevel, WordLevel, build_nodes, build_words
+from waymark.llm.storage import dropped, shared_folder, written
+from waymark.llm.trie import NodeLevel, WordLevel, build_nodes, build_words, narrowed
 from waymark.llm.words import Words, slices
 
 SLICE = 1 << 20
 #: Tokens that a counting task sums up before it hands the counts on.
 HELD_TOKENS = 4_000_000
-#: Entries of one file of the trie.
+#: Words of one file of the trie; training tokens of one file of n-grams.
 PART_ENTRIES = 4_000_000
 DISCOUNT = 0.75
 END = (1 << 63) - 1
-#: Bits of a child's number in a pair; its parent has the 32 above.
-_CHILD = 31
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,6 +85,29 @@ class Model:
     def word_score(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.words.size + 1))
 
+    def occurrences(self, parents: np.ndarray) -> np.ndarray:
+        """How often each context of the next level occurs in training."""
+        if self.levels:
+            return self.levels[-1].counts(parents)
+        out = np.full(len(parents), self.texts, np.int64)
+        inner = parents < self.start
+        out[inner] = self.words.counts(parents[inner])
+        return out
+
+    def suffix(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """The contexts that the nodes of a level are without their first word."""
+        parent, child = self.levels[level].pair(nodes)
+        if level == 0:
+            return child
+        return self.levels[level - 1].begin(self.suffix(level - 1, parent)) + child
+
+    def successors(self, parent: int) -> int:
+        """The children that a context of the next level has at most."""
+        if not self.levels:
+            return self.words.size
+        shorter = self.suffix(len(self.levels) - 1, np.array([parent]))
+        return self.levels[-1].children(int(shorter[0]))
+
     def chains(self, ids: np.ndarray, bounds: np.ndarray, levels: int):
         """Per level: parent, child, lower node, node, score and weight."""
         nodes, parents = ids, np.append(self.start, ids[:-1])
@@ -103,40 +129,111 @@ class Model:
 
 
 class _Tally:
-    """Counts of equal keys, handed on when enough tokens are held.
-
-    ``also`` is a column that follows from the key.
-    """
+    """Counts of equal words, handed on when enough tokens are held."""
 
-    def __init__(self, name: str, also: str | None = None):
-        self.names = [name, *([also] if also else []), "n"]
+    def __init__(self):
         self.keys: list[np.ndarray] = []
-        self.also: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, also: np.ndarray | None = None) -> None:
+    def add(self, keys: np.ndarray) -> None:
         self.keys.append(keys)
-        self.also.append(also if len(self.names) == 3 else keys[:0])
         self.size += len(keys)
 
     def batches(self, force: bool = False) -> Iterator[pa.RecordBatch]:
         if self.size == 0 or (self.size < HELD_TOKENS and not force):
             return
-        keys = np.concatenate(self.keys)
-        if len(self.names) == 3:
-            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            rows = [keys, np.concatenate(self.also)[first], counts]
-        else:
-            keys.sort()
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            rows = [keys[at], np.diff(np.append(at, len(keys)))]
-        self.keys, self.also, self.size = [], [], 0
-        for at in range(0, len(rows[0]), 1 << 16):
+        keys, counts = _summed(np.concatenate(self.keys))
+        self.keys, self.size = [], 0
+        for at in range(0, len(keys), 1 << 16):
+            part = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[at : at + (1 << 16)]) for c in rows], self.names
+                [pa.array(keys[part]), pa.array(counts[part])], ["key", "n"]
             )
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None):
+    """The different keys, in order, and how often each occurs."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    if counts is None:
+        return keys[at], np.diff(np.append(at, len(keys)))
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising keys and their counts: differences by byte planes, compressed."""
+    steps = np.diff(keys, prepend=0).astype("<u8")
+    planes = steps.view(np.uint8).reshape(-1, 8).T
+    wide = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    small = narrowed(counts)
+    body = np.ascontiguousarray(planes[:wide]).tobytes() + small.tobytes()
+    head = np.array([len(keys), wide, small.itemsize, len(body)], "<i8").tobytes()
+    return head + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, wide, itemsize, size = np.frombuffer(data[:32], "<i8").tolist()
+    body = pa.decompress(data[32:], decompressed_size=size, codec="zstd", asbytes=True)
+    planes = np.zeros((8, n), np.uint8)
+    planes[:wide] = np.frombuffer(body, np.uint8, wide * n).reshape(wide, n)
+    steps = np.ascontiguousarray(planes.T).view("<u8").ravel()
+    counts = np.frombuffer(body, f"u{itemsize}", n, wide * n)
+    return np.cumsum(steps).astype(np.int64), counts.astype(np.int64)
+
+
+@dataclass
+class Ranges:
+    """Where the ranges of (parent, child) begin, in order."""
+
+    parent: np.ndarray
+    child: np.ndarray
+
+    @classmethod
+    def of(cls, cuts: Iterable[tuple[int, int]], width: Callable[[int], int]) -> Ranges:
+        """From parents that begin a range, and into how many each is cut."""
+        begins = [
+            (parent, width(parent) * piece // pieces if piece else 0)
+            for parent, pieces in sorted(cuts)
+            for piece in range(pieces)
+        ]
+        begins = sorted({(0, 0), *begins})
+        return cls(*np.array(begins, np.int64).T)
+
+    def place(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.parent, parent, "right") - 1
+        while True:
+            back = (self.parent[at] == parent) & (self.child[at] > child)
+            if not back.any():
+                return at
+            at = at - back
+
+    @property
+    def shared(self) -> np.ndarray:
+        """Parents that lie in several ranges."""
+        return np.unique(self.parent[self.child > 0])
+
+
+def cut_points(counts: np.ndarray, first: int) -> list[dict]:
+    """Nodes at which a range of the next level begins, by their counts.
+
+    A node with more tokens than a range is a row of ranges of its own.
+    """
+    total = np.cumsum(counts)
+    chunk = (total - counts) // PART_ENTRIES
+    begins = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])[: len(chunk)])
+    large = np.flatnonzero(counts > PART_ENTRIES)
+    at = np.unique(np.concatenate([begins, large, large + 1]))
+    at = at[at < len(counts)]
+    pieces = -(-counts[at] // PART_ENTRIES)
+    return [
+        {"node": int(k) + first, "pieces": max(1, int(p))} for k, p in zip(at, pieces)
+    ]
+
+
 def _gathered(batches: Iterable[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
     table = [b for b in batches if b.num_rows]
     if not table:
@@ -145,9 +242,12 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> dict[str, np.ndarray] | None
     return {c: whole[c].to_numpy() for c in whole.column_names}
 
 
+_CUTS = "cuts array<struct<node:long,pieces:long>>"
+
+
 def _count_words(training: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally("key")
+        tally = _Tally()
         for part in slices(batches, limit=SLICE):
             tally.add(Tokens.of(part.column("text")).keys)
             yield from tally.batches()
@@ -157,95 +257,150 @@ def _count_words(training: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _write_words(counted: DataFrame, entries: int, folder: str) -> WordLevel:
+def _write_words(counted: DataFrame, entries: int, folder: str) -> tuple[WordLevel, list]:
+    """The level, and where ranges of pairs begin."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _gathered(batches)
         if rows is not None:
             place = build_words(folder, rows["key"], rows["n"])
-            yield pa.RecordBatch.from_pylist(
-                [{"first": int(rows["key"][0]), "many": len(rows["key"]), "place": place}]
-            )
+            row = {"first": int(rows["key"][0]), "many": len(rows["key"]), "place": place}
+            yield pa.RecordBatch.from_pylist([{**row, "cuts": cut_points(rows["n"], 0)}])
 
     parts = -(-entries // PART_ENTRIES)
     files = (
         counted.repartitionByRange(max(parts, 1), "key")
         .sortWithinPartitions("key")
-        .mapInArrow(run, "first long, many long, place string")
+        .mapInArrow(run, f"first long, many long, place string, {_CUTS}")
         .collect()
     )
-    out, at = [], 0
-    for first, many, place in sorted(files):
-        out.append((first, at, place))
-        at += many
-    return WordLevel(out, at)
+    out, cuts, at = [], [], 0
+    for row in sorted(files, key=lambda r: r.first):
+        out.append((row.first, at, row.place))
+        cuts += [(cut.node + at, cut.pieces) for cut in row.cuts]
+        at += row.many
+    return WordLevel(out, at), cuts
+
 
+def _counted(
+    model: Model, training: DataFrame, ranges: Ranges, only: np.ndarray | None = None
+) -> DataFrame:
+    """``part`` and packed counts of the n-grams of one more level, by range.
 
-def _add_level(model: Model, training: DataFrame, least: int, folder: str) -> NodeLevel:
+    A key is the parent, counted from the range's first, times the number of
+    words, plus the child. ``only`` limits the parents.
+    """
     depth = len(model.levels)
-    nodes = model.levels[-1].size if depth else model.words.size + 1
-    if nodes >= 1 << 32 or model.words.size >= 1 << _CHILD:
-        raise ValueError("The level below has too many nodes to be numbered.")
+    probe = Model(model.words, [*model.levels, NodeLevel([], 0)], model.tokens, model.texts)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally("pair", "lower" if depth else None)
-        for part in slices(batches, limit=SLICE):
-            tokens = Tokens.of(part.column("text"))
-            probe = Model(model.words, [*model.levels, NodeLevel([], 0)], model.tokens, model.texts)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for part in sorted(held):
+                data = pack(*_summed(np.concatenate(held[part])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int64()), pa.array([data], pa.binary())],
+                    ["part", "data"],
+                )
+            held.clear()
+
+        for batch in slices(batches, limit=SLICE):
+            tokens = Tokens.of(batch.column("text"))
             ids = _ids(model, tokens)[0]
-            parent, child, lower, *_ = list(probe.chains(ids, tokens.bounds, depth + 1))[-1]
+            parent, child, *_ = list(probe.chains(ids, tokens.bounds, depth + 1))[-1]
             ok = (parent >= 0) & (child >= 0)
-            tally.add(parent[ok] << _CHILD | child[ok], lower[ok])
-            yield from tally.batches()
-        yield from tally.batches(force=True)
-
-    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _gathered(batches)
-        if rows is None:
-            return
-        pair, n, mass = rows.pop("pair"), rows.pop("n"), rows.pop("mass")
-        parent, child = pair >> _CHILD, pair & ((1 << _CHILD) - 1)
-        del pair
-        if depth == 0:
-            context = np.full(len(parent), model.texts, np.int64)
-            inner = parent < model.start
-            context[inner] = model.words.counts(parent[inner])
-            shorter = model.word_score(model.words.counts(child))
-        else:
-            context = model.levels[-1].counts(parent)
-            shorter = model.levels[-1].scores(rows.pop("lower"))
-        left = np.maximum(1 - mass / context, 1e-9)
-        chance = (n - DISCOUNT) / context + left * 10**shorter
-        del mass, context, shorter
-        place = build_nodes(folder, parent, child, n, np.log10(chance), np.log10(left))
-        yield pa.RecordBatch.from_pylist(
-            [{"parent": int(parent[0]), "child": int(child[0]), "many": len(n), "place": place}]
-        )
-
-    sums = {"n": F.sum("n")} | ({"lower": F.first("lower")} if depth else {})
-    kept = written(
-        training.select("text")
-        .mapInArrow(count, "pair long, " + "lower long, " * (depth > 0) + "n long")
-        .groupBy("pair")
-        .agg(*[column.alias(name) for name, column in sums.items()])
-        .filter(F.col("n") >= least)
-        .withColumn("parent", F.shiftright("pair", _CHILD)),
-        "lm-nodes",
-    )
-    mass = kept.groupBy("parent").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
-    parts = -(-kept.count() // PART_ENTRIES)
-    files = (
-        kept.join(mass, "parent")
-        .drop("parent")
-        .repartitionByRange(max(parts, 1), "pair")
-        .sortWithinPartitions("pair")
-        .mapInArrow(write, "parent long, child long, many long, place string")
-        .collect()
-    )
-    out, at = [], 0
-    for parent, child, many, place in sorted(files):
-        out.append((parent, child, at, place))
-        at += many
-    return NodeLevel(out, at)
+            if only is not None:
+                ok &= np.isin(parent, only)
+            parent, child = parent[ok], child[ok]
+            place = ranges.place(parent, child)
+            keys = (parent - ranges.parent[place]) * model.words.size + child
+            order = np.argsort(place, kind="stable")
+            parts, begins = np.unique(place[order], return_index=True)
+            for part, own in zip(parts.tolist(), np.split(keys[order], begins[1:])):
+                held.setdefault(part, []).append(own)
+            size += len(keys)
+            if size >= HELD_TOKENS:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return training.select("text").mapInArrow(run, "part long, data binary")
+
+
+def _add_level(
+    model: Model, training: DataFrame, least: int, folder: str, cuts: list
+) -> tuple[NodeLevel, list]:
+    """The next level, and where ranges of the one after it begin."""
+    depth = len(model.levels)
+    ranges = Ranges.of(cuts, model.successors)
+
+    def entries(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        """Parents, children and counts of a range's kept n-grams."""
+        chunks = [unpack(d) for d in rows["data"].to_pylist()]
+        keys, n = _summed(*(np.concatenate(c) for c in zip(*chunks)))
+        keys, n = keys[n >= least], n[n >= least]
+        first = ranges.parent[rows["part"][0].as_py()]
+        return keys // model.words.size + first, keys % model.words.size, n
+
+    def taken(parent: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different parents, how many children each has, their mass."""
+        begins = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])[: len(parent)])
+        sizes = np.diff(np.append(begins, len(parent)))
+        return parent[begins], sizes, np.add.reduceat(n - DISCOUNT, begins)
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        parent, _, n = entries(rows)
+        if len(n) == 0:
+            return pa.table({"parent": pa.array([], pa.int64()), "mass": pa.array([], pa.float64())})
+        parents, _, mass = taken(parent, n)
+        return pa.table({"parent": parents, "mass": mass})
+
+    shared: dict[int, float] = {}
+    if len(ranges.shared):
+        # One row for each range of a parent that lies in several.
+        for row in (
+            _counted(model, training, ranges, ranges.shared)
+            .groupBy("part")
+            .applyInArrow(weigh, "parent long, mass double")
+            .collect()
+        ):
+            shared[row.parent] = shared.get(row.parent, 0.0) + row.mass
+
+    fields = f"parent long, child long, many long, place string, {_CUTS}"
+
+    def write(rows: pa.Table) -> pa.Table:
+        parent, child, n = entries(rows)
+        out = []
+        if len(n):
+            parents, sizes, mass = taken(parent, n)
+            for k in np.flatnonzero(np.isin(parents, list(shared))):
+                mass[k] = shared[int(parents[k])]
+            context = model.occurrences(parents)
+            left = np.repeat(np.maximum(1 - mass / context, 1e-9), sizes)
+            if depth == 0:
+                shorter = model.word_score(model.words.counts(child))
+            else:
+                begin = model.levels[-1].begin(model.suffix(depth - 1, parents))
+                shorter = model.levels[-1].scores(np.repeat(begin, sizes) + child)
+            chance = (n - DISCOUNT) / np.repeat(context, sizes) + left * 10**shorter
+            del shorter
+            place = build_nodes(folder, parent, child, n, np.log10(chance), np.log10(left))
+            row = {"parent": int(parent[0]), "child": int(child[0]), "many": len(n)}
+            out.append({**row, "place": place, "cuts": cut_points(n, 0)})
+        cut = pa.list_(pa.struct([("node", pa.int64()), ("pieces", pa.int64())]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), cut]
+        names = ["parent", "child", "many", "place", "cuts"]
+        return pa.Table.from_pylist(out, pa.schema(list(zip(names, kinds))))
+
+    files = _counted(model, training, ranges).groupBy("part").applyInArrow(write, fields).collect()
+    out, after, at = [], [], 0
+    for row in sorted(files, key=lambda r: (r.parent, r.child)):
+        out.append((row.parent, row.child, at, row.place))
+        after += [(cut.node + at, cut.pieces) for cut in row.cuts]
+        at += row.many
+    return NodeLevel(out, at), after
 
 
 def _ids(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -264,9 +419,14 @@ def train_model(training: DataFrame, least_counts: Sequence[int] = (2,)) -> Mode
         F.coalesce(F.sum("n"), F.lit(0)),
         F.coalesce(F.sum(F.when(F.col("key") == END, F.col("n"))), F.lit(0)),
     ).first()
-    model = Model(_write_words(counted, entries, folder), [], tokens, texts)
+    words, cuts = _write_words(counted, entries, folder)
+    dropped(counted)
+    model = Model(words, [], tokens, texts)
+    # The context before a first word follows the words.
+    cuts.append((model.start, max(1, -(-texts // PART_ENTRIES))))
     for least in least_counts:
-        model.levels.append(_add_level(model, training, least, folder))
+        level, cuts = _add_level(model, training, least, folder, cuts)
+        model.levels.append(level)
     return model
 
 

@@ -156,6 +156,23 @@ class _Nodes:
         return node, begin[of], weight[of]
 
 
+    def pair(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parent and child of each node of the file."""
+        starts = self.pointers.value(np.arange(self.held.n + 1))
+        group, of = np.unique(np.searchsorted(starts, node, "right") - 1, return_inverse=True)
+        base = np.zeros(len(group), np.int64)
+        inner = starts[group] > 0
+        base[inner] = self.rising.value(starts[group[inner]] - 1)
+        return self.held.value(group)[of], self.rising.value(node) - base[of] - 1
+
+    def children(self, parent: int) -> int:
+        """How many children of a parent are in this file."""
+        at = int(self.held.find(np.array([parent]))[0])
+        if at < 0:
+            return 0
+        return int(np.diff(self.pointers.value(np.array([at, at + 1])))[0])
+
+
 @lru_cache(maxsize=256)
 def _nodes(place: str) -> _Nodes:
     return _Nodes(place)
@@ -246,6 +263,25 @@ class NodeLevel:
                 out[at[ok]] = first[ok] + self.node[p]
         return out
 
+    def pair(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parent and child of each node."""
+        parent, child = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+        part = np.searchsorted(self.node, nodes, "right") - 1
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            parent[at], child[at] = _nodes(self.parts[p][3]).pair(nodes[at] - self.node[p])
+        return parent, child
+
+    def children(self, parent: int) -> int:
+        last = int(np.searchsorted(self.parent, parent, "right")) - 1
+        found = 0
+        while last >= 0:
+            found += _nodes(self.parts[last][3]).children(parent)
+            if self.parent[last] < parent:
+                break
+            last -= 1
+        return found
+
     def counts(self, nodes: np.ndarray) -> np.ndarray:
         return self._each(nodes, lambda held, i: held.counts[i], np.int64)
 

@@ -217,21 +217,19 @@ class Ranges:
         return np.unique(self.parent[self.child > 0])
 
 
-def cut_points(counts: np.ndarray, first: int) -> list[dict]:
-    """Nodes at which a range of the next level begins, by their counts.
+def cut_points(counts: np.ndarray, size: int) -> list[dict]:
+    """Nodes of a file at which a range of ``size`` tokens of the next level begins.
 
     A node with more tokens than a range is a row of ranges of its own.
     """
     total = np.cumsum(counts)
-    chunk = (total - counts) // PART_ENTRIES
+    chunk = (total - counts) // size
     begins = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])[: len(chunk)])
-    large = np.flatnonzero(counts > PART_ENTRIES)
+    large = np.flatnonzero(counts > size)
     at = np.unique(np.concatenate([begins, large, large + 1]))
     at = at[at < len(counts)]
-    pieces = -(-counts[at] // PART_ENTRIES)
-    return [
-        {"node": int(k) + first, "pieces": max(1, int(p))} for k, p in zip(at, pieces)
-    ]
+    pieces = -(-counts[at] // size)
+    return [{"node": int(k), "pieces": max(1, int(p))} for k, p in zip(at, pieces)]
 
 
 def _gathered(batches: Iterable[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
@@ -259,13 +257,14 @@ def _count_words(training: DataFrame) -> DataFrame:
 
 def _write_words(counted: DataFrame, entries: int, folder: str) -> tuple[WordLevel, list]:
     """The level, and where ranges of pairs begin."""
+    size = PART_ENTRIES
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _gathered(batches)
         if rows is not None:
             place = build_words(folder, rows["key"], rows["n"])
             row = {"first": int(rows["key"][0]), "many": len(rows["key"]), "place": place}
-            yield pa.RecordBatch.from_pylist([{**row, "cuts": cut_points(rows["n"], 0)}])
+            yield pa.RecordBatch.from_pylist([{**row, "cuts": cut_points(rows["n"], size)}])
 
     parts = -(-entries // PART_ENTRIES)
     files = (
@@ -333,7 +332,7 @@ def _add_level(
     model: Model, training: DataFrame, least: int, folder: str, cuts: list
 ) -> tuple[NodeLevel, list]:
     """The next level, and where ranges of the one after it begin."""
-    depth = len(model.levels)
+    depth, size = len(model.levels), PART_ENTRIES
     ranges = Ranges.of(cuts, model.successors)
 
     def entries(rows: pa.Table) -> tuple[np.ndarray, ...]:
@@ -388,7 +387,7 @@ def _add_level(
             del shorter
             place = build_nodes(folder, parent, child, n, np.log10(chance), np.log10(left))
             row = {"parent": int(parent[0]), "child": int(child[0]), "many": len(n)}
-            out.append({**row, "place": place, "cuts": cut_points(n, 0)})
+            out.append({**row, "place": place, "cuts": cut_points(n, size)})
         cut = pa.list_(pa.struct([("node", pa.int64()), ("pieces", pa.int64())]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), cut]
         names = ["parent", "child", "many", "place", "cuts"]

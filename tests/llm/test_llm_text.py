@@ -8,7 +8,7 @@ import pytest
 from corpus import documents, rows_of, with_clashes
 from tokenizers import Tokenizer as Library
 
-from waymark.llm import private, secrets
+from waymark.llm import language, private, secrets
 from waymark.llm.automaton import compile_rules
 from waymark.llm.bpe import Tokenizer, encode_documents
 from waymark.llm.extraction import extract_pages, main_text
@@ -265,10 +265,54 @@ def test_language_edges(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 4, 5, 6]
 
 
+def plain_bundle(text, seed=11):
+    """Every three neighbours of letters and gaps, bound and added one by one."""
+    import numpy as np
+
+    total = np.zeros(language.DIMENSIONS)
+    cleaned = "".join(c.lower()[0] if c.isalpha() else " " for c in f" {text} ")
+    cleaned = re.sub(" +", " ", cleaned)
+    for k in range(1, len(cleaned) - 1):
+        if cleaned[k] != " ":
+            gram = np.ones(language.DIMENSIONS)
+            for place, c in enumerate(cleaned[k - 1 : k + 2]):
+                point = 0 if c == " " else ord(c)
+                gram *= np.roll(language.letter_vector(point, seed), 2 - place)
+            total += gram
+    return total
+
+
+def test_languages_equal_plain_code(spark):
+    """The query's learning and prediction, over whole texts, gram by gram."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.filter("length(text) < 900").limit(60)
+    rows = docs.collect() + [(901, "Привет, мир", "ru"), (902, "你好 世界 你好", "zh"), (903, "мир", None)]
+    df = spark.createDataFrame([tuple(r) for r in rows], docs.schema)
+    sums = {}
+    for doc_id, text, lang in rows:
+        if lang is not None and __import__("zlib").crc32(str(doc_id).encode()) % 3 != 1:
+            sums[lang] = sums.get(lang, 0) + plain_bundle(text)
+    profiles = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if np.linalg.norm(v)}
+    found = {r.doc_id: r for r in identify_languages(df).collect()}
+    for doc_id, text, _ in rows:
+        bundle = plain_bundle(text)
+        size = np.linalg.norm(bundle)
+        if size == 0:
+            assert found[doc_id].lang_pred == "und" and found[doc_id].score == 0
+            continue
+        cosine = {k: float(v @ bundle) / size for k, v in profiles.items()}
+        best = max(cosine, key=cosine.get)
+        assert found[doc_id].lang_pred == best
+        assert abs(found[doc_id].score - min(max(cosine[best], 0), 1)) < 1e-5
+
+
 def test_bundles_do_not_depend_on_their_neighbours():
     texts = ["one two three", "", "été à la plage", "1234", "x"]
-    together, lettered = bundles(texts, 3)
+    together, grams, lettered = bundles(texts, 3)
     assert lettered.tolist() == [True, False, True, False, True]
+    assert grams.tolist() == [11, 0, 11, 0, 1]
     for k, text in enumerate(texts):
         assert (bundles([text], 3)[0][0] == together[k]).all()
 

@@ -1,13 +1,15 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A three-letter gram binds the
+Each letter has a random vector of +1 and -1, drawn from its code point, so
+letters of all scripts are told apart. A three-letter gram binds the
 vectors of its letters, rotated by their place, into one vector by
 multiplication; a text bundles its grams by addition, and so does a language
 over its training texts. A text gets the language whose bundle is nearest by
-cosine. Letters beyond a-z share a few vectors by hash, which bounds the grams.
+cosine.
 
-Counts of grams are summed by Spark, bundles of a language are made on the
-executors, and only one vector for each language reaches the driver.
+Counts of grams are summed by Spark; each task bundles the grams that it has
+counted, a language's bundles are added up, and only one vector for each language
+reaches the driver.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and
 so is every text if no language can be learnt; training skips a null lang or
@@ -27,70 +29,69 @@ from pyspark.sql import functions as F
 
 from waymark.llm.words import release, slices
 
-SYMBOLS = 40
 GRAM = 3
-DIMENSIONS = 512
+DIMENSIONS = 2048
 UNKNOWN = "und"
-_GRAMS = SYMBOLS**GRAM
-#: Cells of the table of texts by grams that a worker fills at once.
-_CELLS = 1 << 22
-#: Languages whose counts a training task holds before it hands them on.
-_HELD_LANGUAGES = 64
+#: Bits of a code point in a gram's code.
+_BITS = 21
+#: Texts bundled at once, and grams whose vectors are held meanwhile.
+_TEXTS, _BLOCK = 256, 4096
+#: Letters whose vectors a worker keeps; grams that a training task holds.
+_LETTERS, _HELD_GRAMS = 16_384, 4_000_000
 
 
 @lru_cache(maxsize=1)
-def _symbols() -> np.ndarray:
-    """The symbol of each code point; 0 for all but letters."""
-    out = np.zeros(0x110000, np.uint8)
+def _lowered() -> np.ndarray:
+    """The lower-case code point of each letter; 0 for all but letters."""
+    out = np.zeros(0x110000, np.int64)
     for point in range(0x110000):
         letter = chr(point)
         if letter.isalpha():
-            low = letter.lower()[0]
-            if "a" <= low <= "z":
-                out[point] = 1 + ord(low) - ord("a")
-            else:
-                out[point] = 27 + (ord(low) * 2654435761 >> 7) % (SYMBOLS - 27)
+            out[point] = ord(letter.lower()[0])
     return out
 
 
 def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grams of all texts, each gram's text, and whether each text has a letter.
 
-    A run of other characters is one gap; a text begins and ends with a gap.
+    A gram is the code of three letters or gaps. A run of other characters is one
+    gap; a text begins and ends with a gap.
     """
     # The separator is not a letter, so each text ends with a gap of its own.
     joined = "\0".join(["", *texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    symbols = _symbols()[points]
+    letters = _lowered()[points]
     lengths = np.array([len(t) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths + 1)
-    owner = np.concatenate([[0], owner])[: len(symbols)]
-    letter = symbols > 0
+    owner = np.concatenate([[0], owner])[: len(letters)]
+    letter = letters > 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep[0] = True
-    symbols, owner = symbols[keep].astype(np.int64), owner[keep]
-    lettered = np.bincount(owner, weights=symbols > 0, minlength=len(texts)) > 0
-    if len(symbols) < GRAM:
+    letters, owner = letters[keep], owner[keep]
+    lettered = np.bincount(owner, weights=letters > 0, minlength=len(texts)) > 0
+    if len(letters) < GRAM:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), lettered
-    codes = (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
+    codes = (letters[:-2] << _BITS | letters[1:-1]) << _BITS | letters[2:]
     # The letter in the middle belongs to the gram's text; a gap there would
     # join two words, or two texts.
-    inside = symbols[1:-1] > 0
+    inside = letters[1:-1] > 0
     return codes[inside], owner[1:-1][inside], lettered
 
 
-@lru_cache(maxsize=2)
-def letter_vectors(seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return rng.choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
+@lru_cache(maxsize=_LETTERS)
+def letter_vector(point: int, seed: int) -> np.ndarray:
+    """The random signs of a code point, of its own whatever else occurs."""
+    rng = np.random.default_rng([seed, point])
+    return rng.integers(0, 2, DIMENSIONS, np.int8) * 2 - 1
 
 
 def gram_vectors(codes: np.ndarray, seed: int) -> np.ndarray:
     """Bind the rotated vectors of each gram's letters."""
-    letters = letter_vectors(seed)
-    first, rest = np.divmod(codes, SYMBOLS * SYMBOLS)
-    second, third = np.divmod(rest, SYMBOLS)
+    parts = np.stack([codes >> 2 * _BITS, codes >> _BITS, codes]) & ((1 << _BITS) - 1)
+    points, at = np.unique(parts, return_inverse=True)
+    letters = np.array([letter_vector(p, seed) for p in points.tolist()], np.int8)
+    first, second, third = at.reshape(3, -1)
     return (
         np.roll(letters, 2, axis=1)[first]
         * np.roll(letters, 1, axis=1)[second]
@@ -98,46 +99,30 @@ def gram_vectors(codes: np.ndarray, seed: int) -> np.ndarray:
     )
 
 
-class _Vectors:
-    """Vectors of the grams met so far by a worker."""
-
-    def __init__(self, seed: int):
-        self.seed = seed
-        self.column = np.full(_GRAMS, -1, np.int64)
-        self.rows = np.zeros((0, DIMENSIONS), np.float32)
-
-    def columns(self, codes: np.ndarray) -> np.ndarray:
-        at = self.column[codes]
-        if (at < 0).any():
-            new = np.unique(codes[at < 0])
-            self.column[new] = len(self.rows) + np.arange(len(new))
-            made = gram_vectors(new, self.seed).astype(np.float32)
-            self.rows = np.concatenate([self.rows, made])
-            at = self.column[codes]
-        return at
-
-
-@lru_cache(maxsize=2)
-def _vectors(seed: int) -> _Vectors:
-    return _Vectors(seed)
-
-
-def bundles(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bundle of each text, and whether it has a letter."""
+def bundles(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bundle of each text, how many grams it has, and whether a letter."""
     codes, owner, lettered = text_grams(texts)
-    known = _vectors(seed)
-    at = known.columns(codes)
-    width = max(len(known.rows), 1)
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    step = max(1, _CELLS // width)
-    for begin in range(0, len(texts), step):
-        end = min(begin + step, len(texts))
-        low, high = np.searchsorted(owner, [begin, end])
-        cells = (owner[low:high] - begin) * width + at[low:high]
-        counts = np.bincount(cells, minlength=(end - begin) * width)
-        counts = counts.reshape(end - begin, width).astype(np.float32)
-        out[begin:end] = counts[:, : len(known.rows)] @ known.rows
-    return out, lettered
+    met, at = np.unique(codes, return_inverse=True)
+    for begin in range(0, len(met), _BLOCK):
+        block = met[begin : begin + _BLOCK]
+        own = (at >= begin) & (at < begin + len(block))
+        cells = owner[own] * len(block) + at[own] - begin
+        counts = np.bincount(cells, minlength=len(texts) * len(block))
+        counts = counts.reshape(len(texts), len(block)).astype(np.float32)
+        out += counts @ gram_vectors(block, seed).astype(np.float32)
+    return out, np.bincount(owner, minlength=len(texts)), lettered
+
+
+def compared(
+    column: pa.Array, matrix: np.ndarray, seed: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some texts at a time: cosines with unit vectors, grams, letters."""
+    texts = column.fill_null("").to_pylist()
+    for begin in range(0, len(texts), _TEXTS):
+        found, grams, lettered = bundles(texts[begin : begin + _TEXTS], seed)
+        size = np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+        yield (found / size) @ matrix, grams, lettered
 
 
 def held_out(doc_id: Column) -> Column:
@@ -149,13 +134,14 @@ def learn_profiles(training: DataFrame, seed: int = 11) -> dict[str, np.ndarray]
     """A unit vector for each ``lang``, from all rows of ``lang`` and ``text``."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                seen = np.flatnonzero(counts)
+            for lang, parts in held.items():
+                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(seen)), pa.array(seen), pa.array(counts[seen])],
+                    [pa.array([lang] * len(grams)), pa.array(grams), pa.array(counts)],
                     ["lang", "gram", "n"],
                 )
             held.clear()
@@ -165,28 +151,40 @@ def learn_profiles(training: DataFrame, seed: int = 11) -> dict[str, np.ndarray]
             langs = part.column("lang").to_pylist()
             bounds = np.searchsorted(owner, np.arange(len(langs) + 1))
             for lang, begin, end in zip(langs, bounds[:-1], bounds[1:]):
-                if lang not in held:
-                    if len(held) >= _HELD_LANGUAGES:
-                        yield from flush()
-                    held[lang] = np.zeros(_GRAMS, np.int64)
-                np.add.at(held[lang], codes[begin:end], 1)
+                held.setdefault(lang, []).append(codes[begin:end])
+            size += len(codes)
+            if size > _HELD_GRAMS:
+                yield from flush()
+                size = 0
         yield from flush()
 
-    def bundle(rows: pd.DataFrame) -> pd.DataFrame:
-        vector = np.zeros(DIMENSIONS)
-        codes, counts = rows["gram"].to_numpy(), rows["n"].to_numpy()
-        for at in range(0, len(codes), 4096):
-            vector += counts[at : at + 4096] @ gram_vectors(codes[at : at + 4096], seed).astype(float)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "vector": [vector]})
-
+    def bundle(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, rows in batch.groupby("lang"):
+                codes, counts = rows["gram"].to_numpy(), rows["n"].to_numpy(float)
+                total = sums.setdefault(lang, np.zeros(DIMENSIONS))
+                for at in range(0, len(codes), _BLOCK):
+                    vectors = gram_vectors(codes[at : at + _BLOCK], seed)
+                    total += counts[at : at + _BLOCK] @ vectors.astype(float)
+        for lang, total in sums.items():
+            yield pd.DataFrame({"lang": [lang], "vector": [total]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum(np.stack(rows["vector"].to_list()), axis=0)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "vector": [total]})
+
+    kind = "lang string, vector array<double>"
+    # A task bundles the grams it counts; a language is a row for each of them.
     profiles = (
         training.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
         .select("lang", "text")
         .mapInArrow(count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
+        .mapInPandas(bundle, kind)
         .groupBy("lang")
-        .applyInPandas(bundle, "lang string, vector array<double>")
+        .applyInPandas(add, kind)
         .collect()
     )
     out = {}
@@ -207,14 +205,14 @@ def predict_languages(
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found, lettered = bundles(part.column("text").fill_null("").to_pylist(), seed)
-            size = np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
-            cosine = (found / size) @ matrix
+            found = list(compared(part.column("text"), matrix, seed))
+            cosine = np.concatenate([c for c, _, _ in found])
+            lettered = np.concatenate([has for _, _, has in found])
             cosine[:, -1] = 0.0
             if len(profiles):
                 best = cosine[:, :-1].argmax(axis=1)
             else:
-                best = np.zeros(len(found), np.int64)
+                best = np.zeros(len(cosine), np.int64)
             best = np.where(lettered, best, len(profiles))
             score = np.clip(cosine[np.arange(len(best)), best], 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
@@ -225,7 +223,7 @@ def predict_languages(
                 ],
                 ["doc_id", "lang_pred", "score"],
             )
-        release(_vectors)
+        release(letter_vector)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         predict, "doc_id long, lang_pred string, score double"
@@ -248,15 +246,13 @@ def in_known_languages(
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = part.column("text").fill_null("").to_pylist()
-            found, lettered = bundles(texts, seed)
-            size = np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
-            best = ((found / size) @ matrix).max(axis=1)
-            _, owner, _ = text_grams(texts)
-            grams = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+            found = list(compared(part.column("text"), matrix, seed))
+            best = np.concatenate([c.max(axis=1) for c, _, _ in found])
+            grams = np.maximum(np.concatenate([n for _, n, _ in found]), 1)
+            lettered = np.concatenate([has for _, _, has in found])
             like = (best + spread / np.sqrt(grams) >= least_score) | (not profiles)
             yield part.filter(pa.array(lettered & like))
-        release(_vectors)
+        release(letter_vector)
 
     return documents.mapInArrow(keep, documents.schema)
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.bpe import encode_documents
 from waymark.llm.registry import query, table
 
-TOKENIZER_FILE = Path("/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER_FILE = Path(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

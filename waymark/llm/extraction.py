@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -132,6 +133,12 @@ class Block:
     text: str = ""
     label: bool | None = None
 
+    @cached_property
+    def words(self) -> tuple[int, int]:
+        """How many stop words and words the text has."""
+        words = _LETTERS.findall(self.text.lower())
+        return sum(w in STOP_WORDS for w in words), len(words)
+
 
 def _furniture(tag: str, attributes: str, in_region: bool) -> int:
     """The kind of furniture that an element is by itself, or 0."""
@@ -279,9 +286,10 @@ def blocks_of(html: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def stop_share(text: str) -> float:
-    words = [w.lower() for w in _LETTERS.findall(text)]
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+def stop_share(blocks: list[Block]) -> float:
+    """Share of the blocks' words that are stop words."""
+    words = sum(b.words[1] for b in blocks)
+    return sum(b.words[0] for b in blocks) / words if words else 0.0
 
 
 _SENTENCE = re.compile(r"[.!?…]+[\"'»”’)]*(?=\s|\Z)|[。！？।؟]")
@@ -297,8 +305,8 @@ def sentences_in(text: str) -> bool:
 
 def known_language(blocks: list[Block]) -> bool:
     """Whether the long blocks hold some of the stop words at all."""
-    longest = [b.text for b in blocks if b.out < OTHERS and len(b.text) >= LONG_CHARS]
-    return not longest or stop_share(" ".join(longest)) >= STOP_SHARE / 3
+    longest = [b for b in blocks if b.out < OTHERS and len(b.text) >= LONG_CHARS]
+    return not longest or stop_share(longest) >= STOP_SHARE / 3
 
 
 def reads_as_text(b: Block, known: bool = True) -> bool:
@@ -306,7 +314,7 @@ def reads_as_text(b: Block, known: bool = True) -> bool:
         len(b.text) >= LONG_CHARS
         and not b.heading
         and b.linked <= MOST_LINKED * len(b.text)
-        and (stop_share(b.text) >= STOP_SHARE if known else sentences_in(b.text))
+        and (stop_share([b]) >= STOP_SHARE if known else sentences_in(b.text))
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.trees import Tree, TreeEnsemble
 from waymark.operators import explain, ranking
+from waymark.operators import incremental as incremental_sums
 from waymark.operators.default_model import build_default_model
 from waymark.operators.incremental import (
     FoldModel,
@@ -148,6 +149,7 @@ def test_matrix_from_tiles_equals_expressions(spark, monkeypatch):
         found = correlation_matrix(points.repartition(5), ["a", "b", "flat"], **LABELS, sample_size=None)
         return {(r.row, r.column): r.correlation for r in found.collect()}
 
+    monkeypatch.setattr(ranking, "EXPRESSION_PAIRS", 99)
     one_aggregate = cells()
     monkeypatch.setattr(ranking, "EXPRESSION_PAIRS", 0)
     for columns in (1, 2, 3, 128):
@@ -191,7 +193,9 @@ def test_incremental_auc(spark):
     assert scores(alone)["signal"] == pytest.approx(0.5)
 
 
-def test_newton_agrees_with_numpy(spark):
+@pytest.mark.parametrize("files", [32, -1], ids=["few files", "sums in a tree"])
+def test_newton_agrees_with_numpy(spark, monkeypatch, files):
+    monkeypatch.setattr(incremental_sums, "SUM_SHARDS", files)
     points, _ = noisy(spark, 200)
     frame_ = ranking.labelled_features(points, ["a", "b"], "label", "matched")
     rows = stratified_folds(frame_, ranking.TARGET, 3).persist()

@@ -105,7 +105,8 @@ def newton_sums(
     scales: np.ndarray,
     target: str = TARGET,
 ) -> DataFrame:
-    """One row per unfinished model: packed Hessian, then gradient."""
+    """Rows of each unfinished model, at most one a shard of a large table: packed
+    Hessian, then gradient."""
     names, size = list(features), len(features) + 1
     open_ = [(k, m.fold, [0, *[i + 1 for i in m.used]]) for k, m in enumerate(models) if not m.done]
     weights = np.zeros((size, len(open_)))
@@ -142,6 +143,9 @@ def newton_sums(
         return first
 
     partials = frame.select(target, "fold", *names).mapInPandas(partial, _SUMS)
+    if len(frame.inputFiles()) <= SUM_SHARDS:
+        # So few partial sums are added up where the step is taken.
+        return partials
     return partials.groupBy("model", "shard").applyInPandas(add, _SUMS)
 
 

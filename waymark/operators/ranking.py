@@ -25,8 +25,9 @@ METHODS = (
     CORRELATION, INFORMATION, MATRIX, UNIVARIATE_AUC, INCREMENTAL_AUC, PERMUTATION, SHAP,
 )
 
-#: Pairs of columns up to which a correlation matrix is one aggregate.
-EXPRESSION_PAIRS = 78
+#: Pairs of columns up to which a correlation matrix is one aggregate: with more,
+#: its code takes longer to compile than tiles take to add up.
+EXPRESSION_PAIRS = 6
 #: Columns of a tile of a larger matrix, and partial sums a task adds up.
 TILE_COLUMNS, SUM_SHARDS = 128, 32
 

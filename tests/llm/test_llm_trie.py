@@ -53,3 +53,41 @@ def test_four_levels_in_shared_ranges(spark, monkeypatch):
     for row in lm.score_corpus(docs, (1, 1, 2)).collect():
         assert abs(row.score - whole[row.doc_id]) <= 0.02 * 61
     assert 4 in shared
+
+
+def test_lookups_in_blocks_of_rare_bits():
+    """A dense run of values must not make a look-up walk its words one by one."""
+    from waymark.llm.eliasfano import EliasFano
+
+    rng = np.random.default_rng(4)
+    dense = np.arange(400_000)
+    sparse = np.sort(rng.integers(1 << 20, 1 << 44, 2000))
+    values = np.concatenate([dense, sparse])
+    sequence = EliasFano(EliasFano.build(values))
+    reads = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            reads.append(1)
+            return np.asarray(self)[at]
+
+    sequence.ones = sequence.ones.view(Counted)
+    asked = np.concatenate([values[::97], sparse + 1, [-1, 1 << 50]])
+    expected = {int(v): k for k, v in enumerate(values.tolist())}
+    assert sequence.find(asked).tolist() == [expected.get(int(v), -1) for v in asked]
+    assert len(reads) < 100
+    at = np.arange(0, len(values) - 1, 89)
+    first, after = sequence.value_and_next(at)
+    assert (first == values[at]).all() and (after == values[at + 1]).all()
+
+
+def test_pairs_beyond_one_key():
+    """Parents and children whose product passes 63 bits keep their order and counts."""
+    from waymark.llm.lm import _counts_of_pairs
+    from waymark.llm.trie import distinct
+
+    parent = np.array([1 << 40, 3, 1 << 40, 3, 1 << 40])
+    child = np.array([1 << 30, 5, 2, 5, 1 << 30])
+    found = [x.tolist() for x in _counts_of_pairs(parent, child)]
+    assert found == [[3, 1 << 40, 1 << 40], [5, 2, 1 << 30], [2, 1, 2]]
+    assert distinct(parent, child)[2].tolist() == [2, 0, 1, 0, 2]

@@ -9,30 +9,54 @@ from __future__ import annotations
 
 import numpy as np
 
-_SAMPLE = 5
-_PACK_ROWS = 1 << 14
+_SAMPLE = 3
+_TOPS = np.uint64(0x8080808080808080)
+_ONES = np.uint64(0x0101010101010101)
+_EIGHT = np.arange(8)
+#: The place of the r-th one of a byte b, at 8 * b + r.
+_IN_BYTE = np.array(
+    [np.append(np.flatnonzero(b >> _EIGHT & 1), _EIGHT)[:8] for b in range(256)], np.int64
+).ravel()
 
 
 def _packed(values: np.ndarray, bits: int) -> np.ndarray:
     """The low ``bits`` of each value, side by side in 64-bit words."""
     if bits == 0 or len(values) == 0:
         return np.zeros(2, np.uint64)
-    shifts = np.arange(bits, dtype=np.uint64)
-    parts = []
-    for at in range(0, len(values), _PACK_ROWS):
-        rows = values[at : at + _PACK_ROWS, None] >> shifts & np.uint64(1)
-        parts.append(np.packbits(rows.astype(np.uint8).ravel(), bitorder="little"))
-    data = np.concatenate(parts)
-    out = np.zeros(-(-len(data) // 8) + 1, np.uint64)
-    out.view(np.uint8)[: len(data)] = data
+    values = values & np.uint64((1 << bits) - 1)
+    at = np.arange(len(values)) * bits
+    off = (at & 63).astype(np.uint64)
+    at >>= 6
+    # As many bits as a word has at most, so a value begins in every word.
+    begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out = np.zeros(-(-len(values) * bits // 64) + 1, np.uint64)
+    out[: len(begins)] = np.bitwise_or.reduceat(values << off, begins)
+    over = (values >> np.uint64(1)) >> (np.uint64(63) - off)
+    out[1 : len(begins) + 1] |= np.bitwise_or.reduceat(over, begins)[: len(out) - 1]
     return out
 
 
+def _nth_one(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The place of the ``n``-th one of each word, from byte counts side by side."""
+    sums = value - (value >> np.uint64(1) & np.uint64(0x5555555555555555))
+    pairs = np.uint64(0x3333333333333333)
+    sums = (sums & pairs) + (sums >> np.uint64(2) & pairs)
+    sums = (sums + (sums >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    n = n.astype(np.uint64)
+    # Bytes with no more ones up to their end than n come before its byte.
+    before = np.bitwise_count((n * _ONES | _TOPS) - sums & _TOPS).astype(np.uint64)
+    before <<= np.uint64(3)
+    n -= (sums << np.uint64(8)) >> before & np.uint64(255)
+    byte = value >> before & np.uint64(255)
+    return before.astype(np.int64) + _IN_BYTE[(byte << np.uint64(3) | n).astype(np.int64)]
+
+
 class EliasFano:
-    """Made by ``build``, kept as a list of 64-bit arrays, opened by ``__init__``."""
+    """Made by ``build``, kept as a list of arrays, opened by ``__init__``."""
 
     def __init__(self, arrays: list[np.ndarray]):
-        head, self.low, self.bits, self.ones, self.zero_at, self.one_at = arrays
+        head, self.low, self.bits, ones, self.zero_at, self.one_at = arrays
+        self.ones = ones.view(np.int64)
         self.n, self.shift, self.zeros = (int(x) for x in head)
         self.mask = np.uint64((1 << self.shift) - 1)
 
@@ -58,35 +82,31 @@ class EliasFano:
             _packed(values, shift),
             bits,
             ones,
-            where[:: 1 << _SAMPLE].astype(np.uint64),
-            held[:: 1 << _SAMPLE].astype(np.uint64),
+            where[:: 1 << _SAMPLE].astype(np.uint32),
+            held[:: 1 << _SAMPLE].astype(np.uint32),
         ]
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of the ``k``-th one, or zero, in the bit vector."""
-        word = (self.one_at if one else self.zero_at)[k >> _SAMPLE].astype(np.int64)
+        samples, block = self.one_at if one else self.zero_at, k >> _SAMPLE
+        word = samples[block].astype(np.int64)
+        block += 1
+        high = samples[np.minimum(block, len(samples) - 1)].astype(np.int64)
+        high[block == len(samples)] = len(self.bits) - 1
 
         def before(w: np.ndarray) -> np.ndarray:
-            ones = self.ones[w].astype(np.int64)
-            return ones if one else (w << 6) - ones
-
-        late = np.flatnonzero(before(word + 1) <= k)
-        while len(late):
-            word[late] += 1
-            late = late[before(word[late] + 1) <= k[late]]
-        rest = k - before(word)
+            return self.ones[w] if one else (w << 6) - self.ones[w]
+
+        # A block of the rarer kind of bit may span many words.
+        open_ = np.flatnonzero(word < high)
+        while len(open_):
+            middle = word[open_] + high[open_] + 1 >> 1
+            ok = before(middle) <= k[open_]
+            word[open_] = np.where(ok, middle, word[open_])
+            high[open_] = np.where(ok, high[open_], middle - 1)
+            open_ = open_[word[open_] < high[open_]]
         value = self.bits[word]
-        if not one:
-            value = ~value
-        place = word << 6
-        for width in (32, 16, 8, 4, 2, 1):
-            part = value & np.uint64((1 << width) - 1)
-            count = np.bitwise_count(part).astype(np.int64)
-            over = rest >= count
-            rest = np.where(over, rest - count, rest)
-            value = np.where(over, value >> np.uint64(width), part)
-            place += over * width
-        return place
+        return (word << 6) + _nth_one(value if one else ~value, k - before(word))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if self.shift == 0:
@@ -98,10 +118,22 @@ class EliasFano:
         value |= (self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - off)
         return value & self.mask
 
-    def value(self, i: np.ndarray) -> np.ndarray:
-        high = (self._select(i, True) - i).astype(np.uint64)
+    def _joined(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
+        high = (place - i).astype(np.uint64)
         return (high << np.uint64(self.shift) | self._low(i)).astype(np.int64)
 
+    def value(self, i: np.ndarray) -> np.ndarray:
+        return self._joined(self._select(i, True), i)
+
+    def value_and_next(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at ``i`` and ``i + 1``."""
+        place = self._select(i, True)
+        rest = self.bits[place >> 6] >> (place & 63).astype(np.uint64) >> np.uint64(1)
+        after = place + 1 + np.bitwise_count(~rest & (rest - np.uint64(1))).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._select(i[far] + 1, True)
+        return self._joined(place, i), self._joined(after, i + 1)
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """The first position of each value, or -1."""
         out = np.full(len(x), -1, np.int64)
@@ -113,8 +145,15 @@ class EliasFano:
         if len(todo) == 0:
             return out
         h, low = high[todo], x[todo].astype(np.uint64) & self.mask
-        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0) - h
-        end = self._select(h, False) - h
+        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0)
+        # The ones from there on; where they reach the word's end, up to the next zero.
+        off = begin & 63
+        rest = self.bits[begin >> 6] >> off.astype(np.uint64)
+        run = np.bitwise_count(rest & ~(rest + np.uint64(1))).astype(np.int64)
+        begin -= h
+        end = begin + run
+        on = np.flatnonzero(run == 64 - off)
+        end[on] = self._select(h[on], False) - h[on]
         last = end.copy()
         # Values with equal high bits lie together, by rising low bits.
         open_ = np.flatnonzero(begin < end)

@@ -7,7 +7,7 @@ shuffle: the counts of the level below tell key ranges of equally many tokens, a
 counting task hands on, for each range, its sorted n-grams as one packed row, and
 the task that holds a range adds them up and writes its file. A context with more
 tokens than a range is cut into several; what its n-grams leave over is then
-counted beforehand, in a pass over these contexts alone. Probabilities are
+added up beforehand, from the counts of its ranges alone. Probabilities are
 interpolated with absolute discounting down to add-one word probabilities, and
 what the kept n-grams of a context leave over is its weight for shorter ones.
 Each level is written as sorted files in the shared folder; scoring maps them
@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.storage import dropped, shared_folder, written
-from waymark.llm.trie import NodeLevel, WordLevel, build_nodes, build_words, narrowed
+from waymark.llm.trie import NodeLevel, WordLevel, build_nodes, build_words, distinct, encoded, narrowed
 from waymark.llm.words import Words, slices
 
-SLICE = 1 << 20
+SLICE = 1 << 22
 #: Tokens that a counting task sums up before it hands the counts on.
 HELD_TOKENS = 4_000_000
 #: Words of one file of the trie; training tokens of one file of n-grams.
-PART_ENTRIES = 4_000_000
+PART_ENTRIES = 2_000_000
 DISCOUNT = 0.75
 END = (1 << 63) - 1
 
@@ -185,6 +185,17 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps).astype(np.int64), counts.astype(np.int64)
 
 
+def _merged(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed counts added up, in rising order of keys."""
+    sizes = [int(np.frombuffer(d.as_buffer(), "<i8", 1)[0]) for d in packed]
+    keys, n = np.empty(sum(sizes), np.int64), np.empty(sum(sizes), np.int64)
+    at = 0
+    for data, size in zip(packed, sizes):
+        keys[at : at + size], n[at : at + size] = unpack(data.as_py())
+        at += size
+    return _summed(keys, n)
+
+
 @dataclass
 class Ranges:
     """Where the ranges of (parent, child) begin, in order."""
@@ -281,51 +292,60 @@ def _write_words(counted: DataFrame, entries: int, folder: str) -> tuple[WordLev
     return WordLevel(out, at), cuts
 
 
+def _counts_of_pairs(parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different pairs, in order, and how often each occurs."""
+    wide = int(child.max(initial=0)) + 1
+    if (int(parent.max(initial=0)) + 1) * wide < 1 << 63:
+        keys, n = _summed(parent * wide + child)
+        return keys // wide, keys % wide, n
+    parent, child, of = distinct(parent, child)
+    return parent, child, np.bincount(of, minlength=len(parent))
+
+
 def _counted(
-    model: Model, training: DataFrame, ranges: Ranges, only: np.ndarray | None = None
+    model: Model, training: DataFrame, ranges: Ranges, twice: bool = False
 ) -> DataFrame:
     """``part`` and packed counts of the n-grams of one more level, by range.
 
     A key is the parent, counted from the range's first, times the number of
-    words, plus the child. ``only`` limits the parents.
+    words, plus the child. Counts that are read ``twice`` are written first.
     """
     depth = len(model.levels)
     probe = Model(model.words, [*model.levels, NodeLevel([], 0)], model.tokens, model.texts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for part in sorted(held):
-                data = pack(*_summed(np.concatenate(held[part])))
+            if not held:
+                return
+            parent, child = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            parent, child, n = _counts_of_pairs(parent, child)
+            place = ranges.place(parent, child)
+            parts, begins = np.unique(place, return_index=True)
+            for part, at, end in zip(parts.tolist(), begins, np.append(begins[1:], len(n))):
+                keys = (parent[at:end] - ranges.parent[part]) * model.words.size + child[at:end]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int64()), pa.array([data], pa.binary())],
+                    [pa.array([part], pa.int64()), pa.array([pack(keys, n[at:end])], pa.binary())],
                     ["part", "data"],
                 )
-            held.clear()
 
         for batch in slices(batches, limit=SLICE):
             tokens = Tokens.of(batch.column("text"))
             ids = _ids(model, tokens)[0]
             parent, child, *_ = list(probe.chains(ids, tokens.bounds, depth + 1))[-1]
             ok = (parent >= 0) & (child >= 0)
-            if only is not None:
-                ok &= np.isin(parent, only)
-            parent, child = parent[ok], child[ok]
-            place = ranges.place(parent, child)
-            keys = (parent - ranges.parent[place]) * model.words.size + child
-            order = np.argsort(place, kind="stable")
-            parts, begins = np.unique(place[order], return_index=True)
-            for part, own in zip(parts.tolist(), np.split(keys[order], begins[1:])):
-                held.setdefault(part, []).append(own)
-            size += len(keys)
+            held.append((parent[ok], child[ok]))
+            size += len(held[-1][0])
             if size >= HELD_TOKENS:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    return training.select("text").mapInArrow(run, "part long, data binary")
+    counted = training.select("text").mapInArrow(run, "part long, data binary")
+    return written(counted, "lm-counts") if twice else counted
 
 
 def _add_level(
@@ -337,9 +357,9 @@ def _add_level(
 
     def entries(rows: pa.Table) -> tuple[np.ndarray, ...]:
         """Parents, children and counts of a range's kept n-grams."""
-        chunks = [unpack(d) for d in rows["data"].to_pylist()]
-        keys, n = _summed(*(np.concatenate(c) for c in zip(*chunks)))
-        keys, n = keys[n >= least], n[n >= least]
+        keys, n = _merged(rows["data"])
+        if least > 1:
+            keys, n = keys[n >= least], n[n >= least]
         first = ranges.parent[rows["part"][0].as_py()]
         return keys // model.words.size + first, keys % model.words.size, n
 
@@ -354,13 +374,18 @@ def _add_level(
         if len(n) == 0:
             return pa.table({"parent": pa.array([], pa.int64()), "mass": pa.array([], pa.float64())})
         parents, _, mass = taken(parent, n)
-        return pa.table({"parent": parents, "mass": mass})
+        own = np.isin(parents, ranges.shared)
+        return pa.table({"parent": parents[own], "mass": mass[own]})
 
     shared: dict[int, float] = {}
-    if len(ranges.shared):
+    if not len(ranges.shared):
+        counted = _counted(model, training, ranges)
+    else:
+        counted = _counted(model, training, ranges, True)
         # One row for each range of a parent that lies in several.
+        of = np.flatnonzero(np.isin(ranges.parent, ranges.shared)).tolist()
         for row in (
-            _counted(model, training, ranges, ranges.shared)
+            counted.filter(F.col("part").isin(of))
             .groupBy("part")
             .applyInArrow(weigh, "parent long, mass double")
             .collect()
@@ -393,7 +418,9 @@ def _add_level(
         names = ["parent", "child", "many", "place", "cuts"]
         return pa.Table.from_pylist(out, pa.schema(list(zip(names, kinds))))
 
-    files = _counted(model, training, ranges).groupBy("part").applyInArrow(write, fields).collect()
+    files = counted.groupBy("part").applyInArrow(write, fields).collect()
+    if len(ranges.shared):
+        dropped(counted)
     out, after, at = [], [], 0
     for row in sorted(files, key=lambda r: (r.parent, r.child)):
         out.append((row.parent, row.child, at, row.place))
@@ -403,7 +430,7 @@ def _add_level(
 
 
 def _ids(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    keys, of = np.unique(tokens.keys, return_inverse=True)
+    keys, of = encoded(tokens.keys)
     ids, counts = model.words.find(keys)
     return ids[of], counts[of]
 

@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 
 from waymark.llm.eliasfano import EliasFano
@@ -123,6 +125,31 @@ def build_nodes(
     )
 
 
+def encoded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, in order of appearance, and which of them each is."""
+    found = pa.array(values).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
+def ordered(parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """The order by parent and child."""
+    wide = int(child.max(initial=0)) + 2
+    if (int(parent.max(initial=0)) + 2) * wide >= 1 << 63:
+        return np.lexsort((child, parent))
+    return np.argsort((parent + 1) * wide + child)
+
+
+def distinct(parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different pairs, in order, and which of them each pair is."""
+    order = ordered(parent, child)
+    parents, children = parent[order], child[order]
+    new = np.append(True, (parents[1:] != parents[:-1]) | (children[1:] != children[:-1]))
+    new = new[: len(parent)]
+    of = np.empty(len(parent), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return parents[new], children[new], of
+
+
 @lru_cache(maxsize=256)
 def _words(place: str) -> tuple[EliasFano, np.ndarray]:
     arrays = load(place)
@@ -138,23 +165,33 @@ class _Nodes:
         self.counts, self.codes, self.book, self.weight_codes, self.weight_book = arrays[18:]
 
     def find(self, parent: np.ndarray, child: np.ndarray):
-        """Node, first node and weight of the parent; -1 and 0 if there is none."""
-        one, of = np.unique(parent, return_inverse=True)
-        at = self.held.find(one)
+        """Node, first node and weight of the parent; -1 and 0 if there is none.
+
+        Parents are in order.
+        """
+        new = np.append(True, parent[1:] != parent[:-1])[: len(parent)]
+        of = np.cumsum(new) - 1
+        at = self.held.find(parent[new])
         found = at >= 0
-        begin = np.full(len(one), -1, np.int64)
-        base = np.zeros(len(one), np.int64)
-        end = np.zeros(len(one), np.int64)
-        weight = np.zeros(len(one))
-        begin[found] = self.pointers.value(at[found])
-        end[found] = self.pointers.value(at[found] + 1)
+        begin = np.full(len(at), -1, np.int64)
+        base = np.zeros(len(at), np.int64)
+        end = np.zeros(len(at), np.int64)
+        weight = np.zeros(len(at))
+        begin[found], end[found] = self.pointers.value_and_next(at[found])
         inner = begin > 0
         base[inner] = self.rising.value(begin[inner] - 1)
         weight[found] = self.weight_book[self.weight_codes[at[found]]]
-        node = np.where(found[of], self.rising.find(base[of] + child + 1), -1)
-        node = np.where((node >= begin[of]) & (node < end[of]), node, -1)
-        return node, begin[of], weight[of]
+        held, begin = np.flatnonzero(found[of]), begin[of]
+        node = np.full(len(parent), -1, np.int64)
+        node[held] = self.rising.find(base[of[held]] + child[held] + 1)
+        node[(node < begin) | (node >= end[of])] = -1
+        return node, begin, weight[of]
 
+    def begin(self, parent: np.ndarray) -> np.ndarray:
+        """The first node of each parent, or -1."""
+        at = self.held.find(parent)
+        at[at >= 0] = self.pointers.value(at[at >= 0])
+        return at
 
     def pair(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Parent and child of each node of the file."""
@@ -178,6 +215,14 @@ def _nodes(place: str) -> _Nodes:
     return _Nodes(place)
 
 
+def _runs(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of a rising sequence, and where it lies."""
+    values, begins = np.unique(part, return_index=True)
+    ends = np.append(begins[1:], len(part))
+    for value, begin, end in zip(values.tolist(), begins.tolist(), ends.tolist()):
+        yield value, slice(begin, end)
+
+
 class WordLevel:
     """``parts`` are (first key, first id, place), in order."""
 
@@ -228,40 +273,45 @@ class NodeLevel:
 
     def find(self, parent: np.ndarray, child: np.ndarray):
         """Node, score and the parent's weight: -1, 0 and 0 where unknown."""
+        if not self.parts:
+            nothing = np.zeros(len(parent))
+            return np.full(len(parent), -1, np.int64), nothing, nothing
+        parent, child, of = distinct(parent, child)
         node = np.full(len(parent), -1, np.int64)
         score, weight = np.zeros(len(parent)), np.zeros(len(parent))
-        if not self.parts:
-            return node, score, weight
-        part = self._part(parent, child)
-        for p in np.unique(part).tolist():
-            at = np.flatnonzero(part == p)
+        # Pairs in order lie in files in order.
+        for p, at in _runs(self._part(parent, child)):
             held = _nodes(self.parts[p][3])
             found, begin, weight[at] = held.find(parent[at], child[at])
             ok = found >= 0
-            node[at[ok]] = found[ok] + self.node[p]
-            score[at[ok]] = held.book[held.codes[found[ok]]]
+            node[at][ok] = found[ok] + self.node[p]
+            score[at][ok] = held.book[held.codes[found[ok]]]
             # A parent that this file ends before may begin the next one.
             if p + 1 < len(self.parts):
-                late = at[(begin < 0) & (parent[at] == self.parent[p + 1])]
+                late = at.start + np.flatnonzero((begin < 0) & (parent[at] == self.parent[p + 1]))
                 if len(late):
                     after = _nodes(self.parts[p + 1][3])
                     weight[late] = after.find(parent[late], child[late])[2]
-        return node, score, weight
+        return node[of], score[of], weight[of]
 
     def begin(self, parent: np.ndarray) -> np.ndarray:
         """The first node of each parent."""
+        given, of = encoded(parent)
+        order = np.argsort(given)
+        parent = given[order]
         out = np.full(len(parent), -1, np.int64)
         part = self._part(parent, np.zeros(len(parent), np.int64))
         # The first child may lie in this file, or be the first of the next one.
         for step in (0, 1):
             open_ = np.flatnonzero(out < 0)
-            for p in np.unique(np.minimum(part[open_] + step, len(self.parts) - 1)).tolist():
-                at = open_[np.minimum(part[open_] + step, len(self.parts) - 1) == p]
-                held = _nodes(self.parts[p][3])
-                first = held.find(parent[at], np.zeros(len(at), np.int64))[1]
+            for p, run in _runs(np.minimum(part[open_] + step, len(self.parts) - 1)):
+                at = open_[run]
+                first = _nodes(self.parts[p][3]).begin(parent[at])
                 ok = first >= 0
                 out[at[ok]] = first[ok] + self.node[p]
-        return out
+        own = np.empty_like(out)
+        own[order] = out
+        return own[of]
 
     def pair(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Parent and child of each node."""

@@ -17,6 +17,10 @@ from ..columns import Columns, require_columns
 from ..session import written
 
 _STRETCH = "__stretch"
+_CUT = "__cut"
+_NULL = "__null_"
+#: Rows that are put in order together at least; more stretches than one lie in them.
+RANGE_ROWS = 100_000
 _ROW_FOR_ROW = "Confirmation logic has to answer every row it is given, once."
 
 # evaluator(config, points of one track in time order) -> path columns
@@ -148,21 +152,40 @@ def mergeable_evaluator(
 ) -> DataFrame:
     """Run mergeable logic so that one long track is the work of many tasks.
 
-    Points are cut in time order into ranges of about ``stretch_rows``. Each stretch
-    of a track is summed up on its own, the few states of a track are added up in
-    order, and a second pass answers every stretch from the state before it.
+    Points are put in order, nulls last, and cut into stretches of ``stretch_rows``.
+    Most tracks lie in one stretch: a task answers these one after another, batch by
+    batch. Of a track that is cut, each stretch is summed up on its own, the few
+    states are added up in order, and a second pass answers every stretch from the
+    state before it.
     """
     require_columns(points, [columns.track, columns.time, columns.row])
     order = [columns.track, columns.time, columns.row]
-    ranges = max(1, -(-points.count() // stretch_rows))
+    by = [F.col(c).asc_nulls_last() for c in order]
+    ranges = max(1, -(-points.count() // max(stretch_rows, RANGE_ROWS)))
+    # Ids rise within a range and differ widely between ranges.
     ordered = written(
-        points.repartitionByRange(ranges, *order).withColumn(_STRETCH, F.spark_partition_id()),
+        points.repartitionByRange(ranges, *by)
+        .sortWithinPartitions(*by)
+        .withColumn(_STRETCH, F.expr(f"monotonically_increasing_id() div {stretch_rows}")),
         "stretches",
     )
+    # A cut belongs to one track, so there are at most as many as stretches.
+    cut = F.broadcast(
+        ordered.groupBy(F.col(columns.track).alias(_CUT))
+        .agg(F.min(_STRETCH).alias("first"), F.max(_STRETCH).alias("last"))
+        .filter("first < last")
+        .select(_CUT)
+    )
+    of_cut = F.col(columns.track).eqNullSafe(F.col(_CUT))
+    whole = ordered.join(cut, of_cut, "left_anti").repartition(ranges, _STRETCH)
+    answered = _answer_tracks(
+        whole.sortWithinPartitions(*by).drop(_STRETCH), logic, config, paths, columns
+    )
+    ordered = ordered.join(cut, of_cut, "left_semi")
     stretch = [columns.track, _STRETCH]
     kept = [f.name for f in points.schema]
     track_type = points.schema[columns.track].dataType.simpleString()
-    states = f"`{columns.track}` {track_type}, {_STRETCH} int, state binary"
+    states = f"`{columns.track}` {track_type}, {_STRETCH} long, state binary"
 
     def in_order(part: pd.DataFrame) -> pd.DataFrame:
         return part.sort_values(order, ignore_index=True)
@@ -195,13 +218,94 @@ def mergeable_evaluator(
         .groupBy(columns.track)
         .applyInPandas(add_up, states)
     )
-    return (
+    return answered.union(
         ordered.groupBy(*stretch)
         .cogroup(befores.groupBy(*stretch))
         .applyInPandas(answer, _schema(points, paths))
     )
 
 
+def _answer_tracks(
+    points: DataFrame,
+    logic: MergeableLogic,
+    config: dict[str, Any],
+    paths: Sequence[str],
+    columns: Columns,
+) -> DataFrame:
+    """Answer tracks that lie in order in their partitions, many to a batch.
+
+    Nulls turn a batch's integers into floats and its booleans into objects. So
+    they travel as flags beside such columns, and only a track that has nulls is
+    given them.
+    """
+    schema = _schema(points, paths)
+    kept = [f.name for f in points.schema]
+    plain = [
+        f.name
+        for f in points.schema
+        if f.nullable and isinstance(f.dataType, (T.IntegralType, T.BooleanType))
+    ]
+    boolean = {f.name for f in points.schema if isinstance(f.dataType, T.BooleanType)}
+
+    def given(field: T.StructField):
+        if field.name not in plain:
+            return F.col(field.name)
+        return F.coalesce(field.name, F.lit(0).cast(field.dataType)).alias(field.name)
+
+    flagged = [*plain, *([] if columns.track in plain else [columns.track])]
+    sent = points.select(
+        *map(given, points.schema), *(F.col(c).isNull().alias(_NULL + c) for c in flagged)
+    )
+
+    def seen(part: pd.DataFrame, nulls: list[str]) -> pd.DataFrame:
+        own = part[kept].reset_index(drop=True)
+        for name in nulls:
+            absent = part[_NULL + name].reset_index(drop=True)
+            if absent.any():
+                values = own[name].astype(object) if name in boolean else own[name]
+                own[name] = values.mask(absent, None if name in boolean else float("nan"))
+        return own
+
+    def answer(batch: pd.DataFrame, begins: list[int]) -> pd.DataFrame:
+        nulls = [c for c in plain if batch[_NULL + c].any()]
+        found: dict[str, list[pd.Series]] = {path: [] for path in paths}
+        for begin, end in zip(begins, [*begins[1:], len(batch)]):
+            part = seen(batch.iloc[begin:end], nulls)
+            for path, flags in _flags(part, logic.paths(config, part, None), paths).items():
+                found[path].append(pd.Series(flags))
+        out = {c: batch[c].reset_index(drop=True) for c in kept if c not in paths}
+        for name in set(nulls) & set(out):
+            kind = "boolean" if name in boolean else out[name].dtype.name.capitalize()
+            extension = pd.array(out[name].to_numpy(), dtype=kind)
+            extension[batch[_NULL + name].to_numpy()] = pd.NA
+            out[name] = pd.Series(extension)
+        return pd.DataFrame(out | {p: pd.concat(x, ignore_index=True) for p, x in found.items()})
+
+    def begins_of(batch: pd.DataFrame) -> list[int]:
+        track, absent = batch[columns.track], batch[_NULL + columns.track]
+        before = track.shift(1, fill_value=track.iloc[0])
+        new = (absent != absent.shift(1, fill_value=absent.iloc[0])) | (~absent & (track != before))
+        new.iloc[0] = True
+        return new.to_numpy().nonzero()[0].tolist()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A batch may end within a track; a track is no longer than a stretch.
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            if rest is not None:
+                batch = pd.concat([rest, batch], ignore_index=True)
+            *begins, last = begins_of(batch)
+            rest = batch.iloc[last:]
+            if begins:
+                yield answer(batch.iloc[:last], begins)
+        if rest is not None:
+            yield answer(rest, [0])
+
+    return sent.mapInPandas(run, schema)
+
+
 def _by_track(points: DataFrame, columns: Columns):
     # The grouping below reuses this exchange and this order.
     ordered = points.repartition(columns.track).sortWithinPartitions(
@@ -226,13 +330,16 @@ def _schema(points: DataFrame, paths: Sequence[str]) -> T.StructType:
     return T.StructType([f for f in points.schema if f.name not in paths] + extra)
 
 
-def _with_paths(
-    batch: pd.DataFrame, result: pd.DataFrame, paths: Sequence[str]
-) -> pd.DataFrame:
+def _flags(batch: pd.DataFrame, result: pd.DataFrame, paths: Sequence[str]) -> dict[str, Any]:
     if len(result) != len(batch):
         raise ValueError(_ROW_FOR_ROW)
     missing = sorted(set(paths) - set(result.columns))
     if missing:
         raise ValueError(f"The logic gave no column for the paths {missing}.")
-    flags = {path: pd.array(result[path], dtype="Int8") for path in paths}
-    return batch.assign(**flags)
+    return {path: pd.array(result[path], dtype="Int8") for path in paths}
+
+
+def _with_paths(
+    batch: pd.DataFrame, result: pd.DataFrame, paths: Sequence[str]
+) -> pd.DataFrame:
+    return batch.assign(**_flags(batch, result, paths))

@@ -347,3 +347,19 @@ def test_text_goes_on_after_inline_furniture(cut):
 )
 def test_regions_in_furniture(html, text):
     assert main_text(html) == text
+
+
+def test_ascii_texts_split_by_spelt_out_classes():
+    """Texts of ASCII take the quicker pattern, with the same words."""
+    import random
+
+    own = Tokenizer(TOKENIZER_FILE.read_text(encoding="utf-8"))
+    rng = random.Random(9)
+    signs = [chr(k) for k in range(128)] + list("' stmdrevl\n\t ") * 6
+    for _ in range(3000):
+        text = "".join(rng.choices(signs, k=rng.randint(0, 14)))
+        assert own._ascii_words.findall(text) == own._words.findall(text)
+    plain = "it's 42  plain\n\nwords, aren't they?"
+    expected = list(own.encode(plain))
+    own._words = None
+    assert list(own.encode(plain)) == expected

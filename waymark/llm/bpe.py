@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -42,8 +43,23 @@ from waymark.llm.words import release, slices
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
+
+
+def ascii_pattern() -> str:
+    """The same for texts of ASCII alone, with the classes spelt out."""
+    plain = [chr(k) for k in range(128)]
+    space, letter, digit = (
+        "".join(re.escape(c) for c in plain if regex.match(kind, c))
+        for kind in (r"\s", r"\p{L}", r"\p{N}")
+    )
+    return (
+        f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+"
+        f"|[{space}]+(?![^{space}])|[{space}]+"
+    )
+
+
 #: Words whose tokens a task remembers; it starts anew when there are more.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 500_000
 #: Transitions that a task holds; it starts anew when there are more.
 REMEMBERED_MOVES = 400_000
 _WIDE = 20
@@ -149,14 +165,16 @@ class TokenAutomaton:
     def path(self, word: bytes) -> tuple[int, ...]:
         """The tokens on the accepted path of ``word``."""
         moves, last, length = self.moves, self.last, self.length
-        states = [0]
+        states = []
         state = 0
         for byte in word:
-            after = moves.get(state << 8 | byte)
-            state = self._move(state, byte) if after is None else after
+            try:
+                state = moves[state << 8 | byte]
+            except KeyError:
+                state = self._move(state, byte)
             states.append(state)
-        out, at = [], len(word)
-        while at:
+        out, at = [], len(word) - 1
+        while at >= 0:
             arc = last[states[at]]
             out.append(arc)
             at -= length[arc]
@@ -198,6 +216,7 @@ class Tokenizer:
         self.automaton = TokenAutomaton(vocabulary, merges)
         self._known = _Known(self.automaton, self.special)
         self._words = regex.compile(WORD_PATTERN)
+        self._ascii_words = re.compile(ascii_pattern())
         marks = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self._marks = regex.compile("|".join(marks)) if marks else None
         labels = dict(self.automaton.label)
@@ -211,7 +230,8 @@ class Tokenizer:
     def encode(self, text: str) -> Iterable[int]:
         if self._marks is not None and self._marks.search(text):
             return self._encode_marked(text)
-        return chain.from_iterable(map(self._known.__getitem__, self._words.findall(text)))
+        words = self._ascii_words if text.isascii() else self._words
+        return chain.from_iterable(map(self._known.__getitem__, words.findall(text)))
 
     def _encode_marked(self, text: str) -> list[int]:
         out: list[int] = []
